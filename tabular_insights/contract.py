@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import operators as ops
 from .functions import all_present
 from .plans import IncidentSpec, forest_flow, mlp_flow, tree_flow
-from .session import new_path
+from .session import new_path, stage
 from .sources import INCIDENT_FIELDS, read_incidents, union_years, write_results
 from .sources.adapter import INCIDENT_COLUMNS, KEY_COLUMNS, incidents, table
 
@@ -39,9 +39,13 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean rows with integer flags and frequent categories: the input of every model."""
+    """Clean rows with integer flags and frequent categories: the input of every model.
+
+    Staged before the dictionaries are counted, so the tables are read and joined once.
+    """
     flags = ops.flag_to_int(clean(spark, sf_dir), ["arrest", "domestic"])
-    return ops.keep_top_k(flags, REDUCED)
+    rows = stage(flags.select(*KEY_COLUMNS, *MODEL_COLUMNS), "clean")
+    return ops.keep_top_k(rows, REDUCED)
 
 
 def readable(df: DataFrame) -> DataFrame:
@@ -345,7 +349,7 @@ def select_best(spark, sf_dir):
 def stump(spark, sf_dir):
     """A one-split tree on the primary type, and the tally it was trained on."""
     rows = ops.flag_to_int(clean(spark, sf_dir), ["arrest"])
-    counted = ops.tally(rows, ["primary_type", "arrest"])
+    counted = stage(ops.tally(rows, ["primary_type", "arrest"]), "tally")
     indexer = ops.category_indexer(counted, ["primary_type"], weight="rows")
     data = ops.assemble(indexer.transform(counted), ["primary_type_index"])
     model = ops.fit_tree(data, max_depth=1, label="arrest", weight="rows")
@@ -397,14 +401,14 @@ def tree_node_table(spark, sf_dir):
 @query
 def mlp_grid_search(spark, sf_dir):
     grid = ops.param_grid(block_size=[128], layers=[[6, 8, 2], [6, 8, 8, 10]])
-    results = mlp_flow(incidents(spark, sf_dir), TREE_SPEC, grid, max_iter=25).results
+    results = mlp_flow(incidents(spark, sf_dir), TREE_SPEC, grid, max_iter=100).results
     return results.drop("layers")
 
 
 @query
 def mlp_report(spark, sf_dir):
     grid = ops.param_grid(block_size=[128], layers=[[6, 8, 2]])
-    return mlp_flow(incidents(spark, sf_dir), TREE_SPEC, grid, max_iter=25).report
+    return mlp_flow(incidents(spark, sf_dir), TREE_SPEC, grid, max_iter=100).report
 
 
 @query

@@ -30,12 +30,15 @@ def row_counts(df: DataFrame, stages: dict[str, Column | None]) -> DataFrame:
     return totals.unpivot([], list(stages), "stage", "rows")
 
 
-def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
+def preview(df: DataFrame, n: int, order_by: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` rows in ascending order, nulls last.
 
     Each task keeps its own ``n`` rows only. The result is the same on every run
-    if ``order_by`` leaves no ties between different rows.
+    if ``order_by`` leaves no ties between different rows. Without ``order_by``
+    it is any ``n`` rows, from as few partitions as it takes.
     """
+    if not order_by:
+        return df.limit(n)
     return df.orderBy(*[F.asc_nulls_last(c) for c in order_by]).limit(n)
 
 

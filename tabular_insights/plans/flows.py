@@ -1,9 +1,9 @@
 """The three complete runs: hold-out tree grid, hold-out perceptron grid, forest by folds.
 
-Each run reads the raw rows once to make a tally of the model columns, staged in the
-shared folder. Dictionaries, category numbers, tree training and every score come from
-the tally. The perceptron and the forest train on single rows, so they read the raw
-rows a second time, now filtered by the dictionaries, and stage the training rows.
+Each run reads its input once. Dictionaries, category numbers, tree training and the
+hold-out scores come from a tally of the model columns, staged in the shared folder.
+The perceptron and the forest train on single rows, so their runs first stage the model
+columns of every clean row, one folder per split, and tally those.
 """
 
 from __future__ import annotations
@@ -41,7 +41,9 @@ from ..operators import (
     tree_nodes,
 )
 from ..operators.models import SEED
-from ..session import stage
+from ..session import enough_tasks, stage
+
+IS_TRAIN = "split = 'train'"
 
 # The published search grids.
 TREE_GRID = param_grid(max_depth=[2, 5, 10, 15, 20], min_instances_per_node=[2, 5, 10, 15, 20])
@@ -102,40 +104,46 @@ class Flow:
 
 @dataclass(frozen=True)
 class _Prepared:
-    clean: DataFrame  # one row per incident, lazy
-    lists: dict[str, list[str]]
     indexer: PipelineModel
     tally: DataFrame  # split, label, features, rows
+    rows: DataFrame | None  # split, label, features, extra columns; one row per incident
 
 
-def _prepare(df: DataFrame, spec: IncidentSpec) -> _Prepared:
+def _prepare(
+    df: DataFrame, spec: IncidentSpec, single_rows: bool = False, folds: int = 0
+) -> _Prepared:
+    """Clean, split, count, reduce, number and assemble; one pass over ``df``."""
     if spec.fit_on not in ("all", "train"):
         raise ValueError("fit_on must be 'all' or 'train'")
     columns = [spec.label, *spec.categories, *spec.flags, *spec.numbers]
     clean = flag_to_int(drop_null_rows(df, spec.required), [spec.label, *spec.flags])
     clean = hash_split(clean, spec.keys, seed=spec.seed)
-    counted = stage(tally(clean, ["split", *columns]), "tally", partition_by=["split"])
+    extra = ["fold"] if folds else []
+    if folds:
+        clean = add_folds(clean, spec.keys, folds, seed=spec.seed)
+    rows = clean.select("split", *extra, *columns)
+    if single_rows:
+        rows = stage(rows, "rows", ["split"], rebalance=True)
+    counted = stage(tally(rows, ["split", *columns]), "tally", ["split"])
+
     lists = top_k_lists(counted, spec.reduced, spec.k, weight="rows")
     kept = counted.filter(in_lists(counted, lists))
     on_train = spec.fit_on == "train"
     indexer = category_indexer(
-        kept.filter(F.col("split") == "train") if on_train else kept,
+        kept.filter(IS_TRAIN) if on_train else kept,
         spec.categories,
         handle_invalid="keep" if on_train else "error",
         weight="rows",
     )
-    ready = assemble(
-        indexer.transform(kept), spec.features, keep=["split", spec.label, "rows"]
-    )
-    return _Prepared(clean, lists, indexer, ready)
 
+    def ready(data: DataFrame, keep: Sequence[str]) -> DataFrame:
+        return assemble(indexer.transform(data), spec.features, keep=["split", *keep, spec.label])
 
-def _staged_rows(prepared: _Prepared, spec: IncidentSpec, rows: DataFrame, extra=()) -> DataFrame:
-    """Model columns of single rows, staged and assembled."""
-    columns = [*extra, spec.label, *spec.features]
-    indexed = prepared.indexer.transform(rows.filter(in_lists(rows, prepared.lists)))
-    staged = stage(indexed.select("split", *columns), "rows", partition_by=["split"])
-    return assemble(staged, spec.features, keep=["split", *extra, spec.label])
+    return _Prepared(
+        indexer,
+        ready(kept, ["rows"]),
+        ready(rows.filter(in_lists(rows, lists)), extra) if single_rows else None,
+    )
 
 
 def tree_flow(
@@ -148,8 +156,7 @@ def tree_flow(
 ) -> Flow:
     """Tree grid by validation f1, nodes of the best tree, and its metrics on the test split."""
     data = _prepare(df, spec)
-    is_train = F.col("split") == "train"
-    train = spread_tally(data.tally.filter(is_train))
+    train = enough_tasks(spread_tally(data.tally.filter(IS_TRAIN)))
     total = train.agg(F.sum("rows").alias("n")).first()["n"]
     fit = partial(
         fit_tree, label=spec.label, max_bins=max_bins, seed=seed, weight="rows", weight_total=total
@@ -179,14 +186,12 @@ def mlp_flow(
     parallelism: int = 4,
 ) -> Flow:
     """Perceptron grid by validation f1 on standardised features; test metrics of the best."""
-    data = _prepare(df, spec)
-    is_train = F.col("split") == "train"
-    wanted = data.clean.filter(is_train) if spec.fit_on == "train" else data.clean
-    rows = _staged_rows(data, spec, wanted)
+    data = _prepare(df, spec, single_rows=True)
+    train = data.rows.filter(IS_TRAIN)
     scaler = StandardScaler(
         inputCol="features", outputCol="scaled_features", withMean=True, withStd=True
-    ).fit(rows)
-    train = scaler.transform(rows.filter(is_train)).select("scaled_features", spec.label)
+    ).fit(train if spec.fit_on == "train" else data.rows)
+    train = enough_tasks(scaler.transform(train).select("scaled_features", spec.label))
     scored = scaler.transform(data.tally)
     fit = partial(fit_mlp, label=spec.label, max_iter=max_iter, seed=seed)
     found = grid_search(
@@ -216,12 +221,9 @@ def forest_flow(
     the metrics on the test split.
     """
     spark = df.sparkSession
-    data = _prepare(df, spec)
+    data = _prepare(df, spec, single_rows=True, folds=folds)
     check_bins(data.tally, min(point.get("max_bins", 32) for point in grid))
-    rows = add_folds(
-        data.clean.filter(F.col("split") == "train"), spec.keys, folds, seed=spec.seed
-    )
-    train = _staged_rows(data, spec, rows, extra=["fold"])
+    train = enough_tasks(data.rows.filter(IS_TRAIN))
     forest = RandomForestClassifier(labelCol=spec.label, featuresCol="features", seed=seed)
     found = cross_validate(
         train,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,12 +36,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage(
+    df: DataFrame, name: str, partition_by: Sequence[str] = (), rebalance: bool = False
+) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and return a frame that reads it.
 
-    With ``partition_by``, later filters on those columns skip whole folders.
+    With ``partition_by``, later filters on those columns skip whole folders. A frame
+    that still has the partitions of a large scan should be rebalanced: its rows are
+    gathered by folder into files of the session's advisory size, instead of one
+    small file per task and folder. Adaptive execution cuts a large folder into many
+    tasks, so without it nothing is gathered.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    out = df
+    if rebalance and partition_by and adaptive:
+        columns = ", ".join(f"`{c}`" for c in partition_by)
+        out = spark.sql(f"SELECT /*+ REBALANCE({columns}) */ * FROM {{df}}", df=df)
+    out.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def enough_tasks(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """Spread a small staged frame over more tasks, up to the cores of the session.
+
+    A frame with enough partitions, as every large one has, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    found = df.rdd.getNumPartitions()
+    wanted = cores if found >= cores else min(cores, -(-df.count() // rows_per_task))
+    return df if found >= wanted else df.repartition(wanted)
