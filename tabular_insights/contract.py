@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import operators as ops
@@ -282,6 +283,13 @@ def random_split_counts(spark, sf_dir):
     return union_years(named).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def random_split_rows(spark, sf_dir):
+    """The parts together: every row once, whatever part it fell into."""
+    parts = ops.random_split(table(spark, sf_dir, "lineitem").select(*KEY_COLUMNS, "l_partkey"))
+    return union_years(list(parts.values()))
+
+
 # Metrics
 
 
@@ -343,6 +351,15 @@ def select_best(spark, sf_dir):
     return rounded(ops.select_best(found, "f1"), METRICS)
 
 
+@query
+def results_roundtrip(spark, sf_dir):
+    """A results table written as CSV and read back."""
+    found = select_best(spark, sf_dir)
+    path = new_path(spark, "results")
+    write_results(found, path)
+    return spark.read.schema(found.schema).option("header", True).csv(path)
+
+
 # Models
 
 
@@ -377,6 +394,41 @@ def stump_metrics(spark, sf_dir):
     return rounded(ops.final_report(model, data, "arrest", "rows"), METRICS)
 
 
+@query
+def estimator_chain_metrics(spark, sf_dir):
+    """The same one-split tree as a chain of category model, assembly and tree over rows."""
+    rows = ops.flag_to_int(clean(spark, sf_dir), ["arrest"])
+    rows = stage(rows.select("primary_type", "arrest"), "clean")
+    tree = DecisionTreeClassifier(labelCol="arrest", featuresCol="features", maxDepth=1, seed=1)
+    numbers = ops.category_indexer(rows, ["primary_type"])
+    chain = ops.build_pipeline(tree, ["primary_type_index"], before=[numbers])
+    return rounded(ops.final_report(chain.fit(rows), rows, "arrest"), METRICS)
+
+
+def one_split_flow(spark, sf_dir):
+    """A whole run whose trees SQL can follow: no split, or the best one of four features."""
+    grid = ops.param_grid(max_depth=[0, 1], min_instances_per_node=[1])
+    return tree_flow(incidents(spark, sf_dir), FOREST_SPEC, grid)
+
+
+@query
+def tree_flow_results(spark, sf_dir):
+    return rounded(one_split_flow(spark, sf_dir).results, ["training_f1", "validation_f1"])
+
+
+@query
+def tree_flow_report(spark, sf_dir):
+    return rounded(one_split_flow(spark, sf_dir).report, METRICS)
+
+
+@query
+def tree_flow_nodes(spark, sf_dir):
+    nodes = one_split_flow(spark, sf_dir).nodes
+    nodes = nodes.withColumn("left_categories", F.array_join("left_categories", ","))
+    nodes = nodes.withColumn("rows", F.col("rows").cast("bigint"))
+    return rounded(nodes.drop("tree_id", "class_rows", "threshold"), ["impurity", "gain"])
+
+
 @query
 def tree_grid_search(spark, sf_dir):
     grid = ops.param_grid(max_depth=[2, 5], min_instances_per_node=[2, 20])

@@ -129,6 +129,58 @@ _STUMP = """, types AS (
   FROM clean
 )"""
 
+# A whole run: the best single split of four features on the training rows, against no
+# split at all. Categories go by their rate of positives, the flag by its value.
+_ONE_SPLIT = f"""{_TOP}, parts AS (
+  SELECT *, CASE WHEN {_KEY17} < 0.6 * 4294967296 THEN 'train'
+    WHEN {_KEY17} < 0.8 * 4294967296 THEN 'validation' ELSE 'test' END AS split
+  FROM kept
+), long AS (
+  SELECT 0 AS f, primary_type AS v, arrest FROM parts WHERE split = 'train'
+  UNION ALL SELECT 1, description, arrest FROM parts WHERE split = 'train'
+  UNION ALL SELECT 2, location_description, arrest FROM parts WHERE split = 'train'
+  UNION ALL SELECT 3, CAST(domestic AS VARCHAR), arrest FROM parts WHERE split = 'train'
+), vals AS (
+  SELECT f, v, count(*) AS vn, sum(arrest) AS vpos FROM long GROUP BY f, v
+), prefixes AS (
+  SELECT f, v, row_number() OVER w AS place, count(*) OVER (PARTITION BY f) AS places,
+         sum(vn) OVER w AS ln, sum(vpos) OVER w AS lp,
+         sum(vn) OVER (PARTITION BY f) AS n, sum(vpos) OVER (PARTITION BY f) AS pos
+  FROM vals WINDOW w AS (PARTITION BY f ORDER BY
+    CASE WHEN f = 3 THEN CAST(v = '1' AS INTEGER) ELSE vpos * 1.0 / vn END, v
+    ROWS UNBOUNDED PRECEDING)
+), ginis AS (
+  SELECT f, place, ln, lp, n, pos, n - ln AS rn, pos - lp AS rp,
+         2.0 * pos / n * (1 - pos * 1.0 / n) AS g,
+         2.0 * lp / ln * (1 - lp * 1.0 / ln) AS lg,
+         2.0 * (pos - lp) / (n - ln) * (1 - (pos - lp) * 1.0 / (n - ln)) AS rg
+  FROM prefixes WHERE place < places
+), best AS (
+  SELECT *, g - ln * 1.0 / n * lg - rn * 1.0 / n * rg AS gain FROM ginis
+  ORDER BY gain DESC, f LIMIT 1
+), left_values AS (
+  SELECT v FROM prefixes WHERE f = (SELECT f FROM best) AND place <= (SELECT place FROM best)
+), guesses_of AS (
+  SELECT split, arrest, (SELECT CAST(2 * pos > n AS INTEGER) FROM best) AS whole,
+         CASE (SELECT f FROM best) WHEN 0 THEN primary_type WHEN 1 THEN description
+           WHEN 2 THEN location_description ELSE CAST(domestic AS VARCHAR) END
+           IN (SELECT v FROM left_values) AS goes_left,
+         (SELECT CAST(2 * lp > ln AS INTEGER) FROM best) AS l,
+         (SELECT CAST(2 * rp > rn AS INTEGER) FROM best) AS r
+  FROM parts
+), scored AS (
+  SELECT '0' || split AS point, arrest AS label, whole AS prediction FROM guesses_of
+  UNION ALL
+  SELECT '1' || split, arrest, CASE WHEN goes_left THEN l ELSE r END FROM guesses_of
+){_metrics("point")}, results AS (
+  SELECT CAST(t.i AS INTEGER) AS grid_index, CAST(t.i AS INTEGER) AS max_depth,
+         1 AS min_instances_per_node, t.f1 AS training_f1, v.f1 AS validation_f1,
+         row_number() OVER (ORDER BY v.f1 DESC, t.i) = 1 AS is_best
+  FROM (SELECT left(point, 1) AS i, f1 FROM metrics WHERE point LIKE '%train') t
+  JOIN (SELECT left(point, 1) AS i, f1 FROM metrics WHERE point LIKE '%validation') v
+    ON t.i = v.i
+)"""
+
 _MODEL_COLUMNS = (
     "primary_type, description, location_description, arrest, domestic, ward, year"
 )
@@ -248,6 +300,23 @@ FROM incidents GROUP BY 1""",
   SELECT 2, arrest, domestic FROM clean
 ){_metrics("grid_index")} SELECT grid_index, {_METRIC_COLUMNS},
   row_number() OVER (ORDER BY f1 DESC, grid_index) = 1 AS is_best FROM metrics""",
+    "random_split_rows": f"SELECT {_KEYS}, l_partkey FROM lineitem",
+    "tree_flow_results": f"{_CLEAN}{_ONE_SPLIT} SELECT * FROM results",
+    "tree_flow_report": f"""{_CLEAN}{_ONE_SPLIT} SELECT {_METRIC_COLUMNS} FROM metrics
+WHERE point = (SELECT grid_index || 'test' FROM results WHERE is_best)""",
+    "tree_flow_nodes": f"""{_CLEAN}{_ONE_SPLIT}
+SELECT 0 AS node_id, 1 AS left_child, 2 AS right_child,
+  CASE WHEN 2 * pos > n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction,
+  round(g, 6) AS impurity, round(gain, 6) AS gain, CAST(n AS BIGINT) AS rows,
+  ['primary_type_index', 'description_index', 'location_description_index', 'domestic'][f + 1]
+    AS feature,
+  CASE WHEN f < 3 THEN (SELECT string_agg(v, ',' ORDER BY v) FROM left_values) END
+    AS left_categories
+FROM best
+UNION ALL SELECT 1, NULL, NULL, CASE WHEN 2 * lp > ln THEN 1.0 ELSE 0.0 END, round(lg, 6), NULL,
+  CAST(ln AS BIGINT), NULL, NULL FROM best
+UNION ALL SELECT 2, NULL, NULL, CASE WHEN 2 * rp > rn THEN 1.0 ELSE 0.0 END, round(rg, 6), NULL,
+  CAST(rn AS BIGINT), NULL, NULL FROM best""",
     "stump_nodes": f"""{_CLEAN}{_STUMP}
 SELECT 0 AS node_id, 1 AS left_child, 2 AS right_child,
   CASE WHEN 2 * pos > n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction,
@@ -263,3 +332,6 @@ UNION ALL SELECT 2, NULL, NULL, CASE WHEN 2 * rp > rn THEN 1.0 ELSE 0.0 END, rou
     "FROM scored GROUP BY 1, 2",
     "stump_metrics": f"{_CLEAN}{_STUMP}{_metrics()} SELECT {_METRIC_COLUMNS} FROM metrics",
 }
+
+ORACLES["estimator_chain_metrics"] = ORACLES["stump_metrics"]
+ORACLES["results_roundtrip"] = ORACLES["select_best"]

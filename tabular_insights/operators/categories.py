@@ -7,6 +7,7 @@ the bound the same result comes from a join that Spark distributes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel
@@ -15,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..session import shared_folder
 from .profile import row_total, value_counts
 
-MAX_LITERALS = 1_000  # dictionary values that may become literals of a plan
-MAX_BROADCAST = 100_000  # dictionary rows that may be broadcast by hint
+MAX_LITERALS = 1_000  # dictionary values that may become literals or a broadcast
 MAX_LABELS = 10_000  # labels per column that a category model may hold
 
 
@@ -33,18 +33,52 @@ def _counts_per_column(df: DataFrame, cols: Sequence[str], weight: str | None) -
     return long.groupBy("column", "value").agg(row_total(weight).alias("count"))
 
 
+def _ranked_counts(df: DataFrame, col: str, weight: str | None) -> DataFrame:
+    """``(value, count, rank)`` for any number of values, without a single-task sort.
+
+    The sorted counts are checkpointed, which fixes their partitions; a value's rank
+    is its place in its partition plus the sizes of the partitions before.
+    """
+    shared_folder(df.sparkSession)
+    counts = value_counts(df.withColumn(col, _text(df, col)), col, weight).checkpoint()
+    placed = counts.select(
+        "value",
+        "count",
+        F.spark_partition_id().alias("part"),
+        (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1).alias("place"),
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("part")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    )
+    return placed.join(F.broadcast(starts), "part").select(
+        "value", "count", (F.col("start") + F.col("place")).alias("rank")
+    )
+
+
 def top_k_values(
     df: DataFrame, cols: str | Sequence[str], k: int = 32, weight: str | None = None
 ) -> DataFrame:
     """``(column, value, count, rank)`` of the ``k`` most frequent values of each column.
 
-    Equal counts rank by value. The columns are counted independently, in one
-    pass, and every task passes on at most ``k`` candidates per column.
+    Equal counts rank by value. The columns are counted independently. For a small
+    ``k`` one pass serves all columns, and every task passes on at most ``k``
+    candidates per column; for a large one each column is sorted across the cluster.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("value"))
-    ranked = _counts_per_column(df, cols, weight).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k)
+    if k <= MAX_LITERALS:
+        order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("value"))
+        counts = _counts_per_column(df, cols, weight)
+        return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    tops = [
+        _ranked_counts(df, c, weight)
+        .filter(F.col("rank") <= k)
+        .select(F.lit(c).alias("column"), "value", "count", F.col("rank").cast("int").alias("rank"))
+        for c in cols
+    ]
+    return reduce(DataFrame.unionByName, tops)
 
 
 def top_k_lists(
@@ -70,7 +104,7 @@ def in_lists(df: DataFrame, lists: dict[str, list[str]]) -> Column:
 def _top_k_side(df: DataFrame, col: str, k: int, weight: str | None) -> DataFrame:
     """The top values of one column as the small side of a join."""
     top = top_k_values(df, col, k, weight).select(F.col("value").alias("__top"))
-    return F.broadcast(top) if k <= MAX_BROADCAST else top
+    return F.broadcast(top) if k <= MAX_LITERALS else top
 
 
 def _use_literals(how: str, cells: int) -> bool:
@@ -89,8 +123,8 @@ def keep_top_k(
     """Rows whose value is among the ``k`` most frequent in every one of ``cols``.
 
     All columns are counted on the unfiltered ``df``. ``literal`` runs one job for
-    all dictionaries and leaves a filter that can reach the scan; ``join`` stays
-    lazy and takes any ``k``.
+    all dictionaries and leaves a filter that can reach the scan; ``join`` takes any
+    ``k``, broadcasting a dictionary of bounded size and shuffling a larger one.
     """
     if _use_literals(how, k * len(cols)):
         return df.filter(in_lists(df, top_k_lists(df, cols, k, weight)))
@@ -166,28 +200,9 @@ def category_indexer(
 
 
 def ranked_labels(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
-    """``(value, index)`` for any number of values, without a single-task sort.
-
-    The sorted counts are checkpointed, which fixes their partitions; each value's
-    index is its place in its partition plus the sizes of the partitions before.
-    """
-    shared_folder(df.sparkSession)
-    known = df.withColumn(col, _text(df, col)).filter(F.col(col).isNotNull())
-    counts = value_counts(known, col, weight).checkpoint()
-    placed = counts.select(
-        "value",
-        F.spark_partition_id().alias("part"),
-        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"),
-    )
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("part")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    )
-    return placed.join(F.broadcast(starts), "part").select(
-        "value", (F.col("start") + F.col("place")).cast("double").alias("index")
-    )
+    """``(value, index)``: the index a category model would give, for any number of values."""
+    ranked = _ranked_counts(df.filter(F.col(col).isNotNull()), col, weight)
+    return ranked.select("value", (F.col("rank") - 1).cast("double").alias("index"))
 
 
 def _index_by_join(df, fit_on, col, output, handle_invalid, weight) -> DataFrame:

@@ -36,26 +36,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def gather(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Bring rows of equal ``columns`` together before they are written to folders.
+
+    Keeps a scan of very many tasks from writing one small file per task and folder.
+    Adaptive execution cuts a large folder into tasks of the session's advisory size;
+    without it a folder would be one task, so nothing is gathered.
+    """
+    spark = df.sparkSession
+    if not columns or spark.conf.get("spark.sql.adaptive.enabled") != "true":
+        return df
+    names = ", ".join(f"`{c}`" for c in columns)
+    return spark.sql(f"SELECT /*+ REBALANCE({names}) */ * FROM {{df}}", df=df)
+
+
 def stage(
     df: DataFrame, name: str, partition_by: Sequence[str] = (), rebalance: bool = False
 ) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and return a frame that reads it.
 
     With ``partition_by``, later filters on those columns skip whole folders. A frame
-    that still has the partitions of a large scan should be rebalanced: its rows are
-    gathered by folder into files of the session's advisory size, instead of one
-    small file per task and folder. Adaptive execution cuts a large folder into many
-    tasks, so without it nothing is gathered.
+    that still has the partitions of a large scan should be rebalanced.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled") == "true"
-    out = df
-    if rebalance and partition_by and adaptive:
-        columns = ", ".join(f"`{c}`" for c in partition_by)
-        out = spark.sql(f"SELECT /*+ REBALANCE({columns}) */ * FROM {{df}}", df=df)
+    path = new_path(df.sparkSession, name)
+    out = gather(df, partition_by) if rebalance else df
     out.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def enough_tasks(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import gather
+
 
 def write_results(
     df: DataFrame,
@@ -17,6 +19,8 @@ def write_results(
 ) -> None:
     """Write ``df`` to the folder ``path``; every task writes its own part.
 
+    With ``partition_by`` the rows are first gathered by folder.
+
     CSV parts carry a header. Arrays, which CSV cannot hold, are written as text
     such as ``[6, 12, 12, 10]``.
     """
@@ -26,7 +30,7 @@ def write_results(
             if isinstance(field.dataType, T.ArrayType):
                 text = F.array_join(F.col(field.name).cast("array<string>"), ", ")
                 writer = writer.withColumn(field.name, F.concat(F.lit("["), text, F.lit("]")))
-    out = writer.write.mode(mode).partitionBy(*partition_by)
+    out = gather(writer, partition_by).write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         out = (
             out.option("header", True)

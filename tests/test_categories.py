@@ -6,6 +6,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from tabular_insights import operators as ops
+from tabular_insights.operators.categories import _top_k_side
 
 
 def frame(spark, *values):
@@ -108,7 +109,9 @@ def test_too_many_labels_are_refused_before_collecting(spark):
     assert len(ops.category_labels(df, ["v", "w"], max_labels=500)["v"]) == 500
 
 
-def test_distributed_ranks_equal_a_global_row_number(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_distributed_ranks_equal_a_global_row_number(spark, conf, coalesce):
+    conf(spark__sql__adaptive__coalescePartitions__enabled=coalesce)
     df = spark.range(20000).select(F.md5((F.col("id") % 3001).cast("string")).alias("v"))
     df = df.repartition(16)
     ranked = dict(rows(ops.ranked_labels(df, "v")))
@@ -129,3 +132,27 @@ def test_weighted_labels(spark):
     assert ops.category_labels(df, ["v"], weight="rows") == {"v": ["b", "a"]}
     assert ops.top_k_lists(df, ["v"], 1, weight="rows") == {"v": ["b"]}
     assert rows(ops.keep_top_k(df, ["v"], 1, weight="rows", how="join")) == [("b", 5)]
+
+
+def test_large_k_without_a_single_task(spark, conf):
+    """Beyond the bound of a broadcast: the same ranks from a sort across the cluster."""
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    df = spark.range(9000).select((F.pow("id", 2) % 2503).cast("int").cast("string").alias("v"))
+    df = df.union(spark.range(300).select(F.lit(None).cast("string"))).repartition(8)
+    counts = rows(df.groupBy("v").count())
+    ordered = sorted(counts, key=lambda r: (-r[1], r[0] is None, r[0] or ""))
+    found = ops.top_k_values(df, "v", 1100)
+    assert found.schema == ops.top_k_values(df, "v", 10).schema
+    got = [tuple(r)[1:] for r in found.orderBy("rank").collect()]
+    assert got == [(v, n, i) for i, (v, n) in enumerate(ordered[:1100], 1)]
+    top = {v for v, _ in ordered[:1100]} - {None}
+    kept = ops.keep_top_k(df, ["v"], 1100)
+    assert kept.count() == sum(n for v, n in counts if v in top)
+    other = ops.bucket_other(df, "v", 1100)
+    assert other.count() == 9300
+    assert other.filter("v = 'Other'").count() == sum(n for v, n in counts if v not in top)
+    hinted = [
+        _top_k_side(df, "v", k, None)._jdf.queryExecution().analyzed().toString().split("\n")[0]
+        for k in (10, 1100)
+    ]
+    assert ["broadcast" in line for line in hinted] == [True, False]
