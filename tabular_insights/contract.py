@@ -81,13 +81,13 @@ def dated_tables(spark, sf_dir):
 
 
 @query
-def union_by_name(spark, sf_dir):
+def union_years_by_name(spark, sf_dir):
     rows = union_years(dated_tables(spark, sf_dir))
     return rows.groupBy("year", "kind").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query
-def union_by_position(spark, sf_dir):
+def union_years_by_position(spark, sf_dir):
     frames = [df.select("year", "kind") for df in dated_tables(spark, sf_dir)]
     rows = union_years(frames, by="position")
     return rows.groupBy("year").agg(F.count(F.lit(1)).alias("rows"))
@@ -436,7 +436,7 @@ def tree_grid_search(spark, sf_dir):
 
 
 @query
-def tree_report(spark, sf_dir):
+def final_report(spark, sf_dir):
     grid = ops.param_grid(max_depth=[5], min_instances_per_node=[10])
     return tree_flow(incidents(spark, sf_dir), TREE_SPEC, grid).report
 
@@ -485,3 +485,10 @@ def forest_summary(spark, sf_dir):
 def forest_report(spark, sf_dir):
     grid = ops.param_grid(num_trees=[5], max_depth=[5], max_bins=[32])
     return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, grid).report
+
+
+@query
+def forest_tally_results(spark, sf_dir):
+    """Forests without bootstrap, trained and validated on the tally alone."""
+    grid = ops.param_grid(num_trees=[5], max_depth=[2, 4], max_bins=[32])
+    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, grid, bootstrap=False).results

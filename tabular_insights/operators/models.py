@@ -70,17 +70,29 @@ def fit_forest(
     label: str = "label",
     features: str = "features",
     seed: int = SEED,
+    bootstrap: bool = True,
+    weight: str | None = None,
 ) -> RandomForestClassificationModel:
-    """A random forest over plain rows; its bootstrap draws rows, so a tally will not do."""
+    """A random forest.
+
+    The bootstrap draws single rows, so a tally with ``weight`` needs ``bootstrap=False``;
+    its trees then differ by their random choice of features only.
+    """
     check_bins(df, max_bins, features)
-    return RandomForestClassifier(
+    forest = RandomForestClassifier(
         labelCol=label,
         featuresCol=features,
         numTrees=num_trees,
         maxDepth=max_depth,
         maxBins=max_bins,
         seed=seed,
-    ).fit(df)
+        bootstrap=bootstrap,
+    )
+    if weight is None:
+        return forest.fit(df)
+    if bootstrap:
+        raise ValueError("a bootstrap over a tally would draw combinations instead of rows")
+    return forest.setWeightCol(weight).fit(df)
 
 
 def fit_mlp(

@@ -103,6 +103,8 @@ def grid_search(
             score(model, scored), label, weight=weight, by=[split_col]
         ).collect()
         values = {row[split_col]: row[metric] for row in found}
+        if len(values) < 2:
+            raise ValueError(f"train and validation need rows, found {sorted(values)}")
         return model, values["train"], values["validation"]
 
     try:
@@ -114,7 +116,8 @@ def grid_search(
     names = [f"training_{metric}", f"validation_{metric}"]
     results = _result_frame(spark, grid, [o[1:] for o in outcomes], names)
     best = max(range(len(grid)), key=lambda i: (outcomes[i][2], -i))
-    return Search(select_best(results, names[1]), outcomes[best][0], grid[best])
+    marked = select_best(results, names[1]).orderBy("grid_index")
+    return Search(marked, outcomes[best][0], grid[best])
 
 
 def cross_validate(
@@ -128,12 +131,19 @@ def cross_validate(
     k: int = 3,
     parallelism: int = 4,
     seed: int = 17,
+    weight: str | None = None,
 ) -> Search:
     """k-fold cross-validation over the folds in ``fold_col``, then a refit on all rows.
 
     ``params`` maps grid names to the estimator's parameter names. Result rows hold
-    the mean and the standard deviation of ``metric`` over the folds.
+    the mean and the standard deviation of ``metric`` over the folds. For a tally, give
+    ``weight`` here and to the estimator.
     """
+    evaluator = MulticlassClassificationEvaluator(
+        labelCol=label, predictionCol="prediction", metricName=EVALUATOR_METRICS[metric]
+    )
+    if weight is not None:
+        evaluator.setWeightCol(weight)
     maps = [
         ParamGridBuilder()
         .baseOn(*[(estimator.getParam(params[name]), value) for name, value in point.items()])
@@ -143,9 +153,7 @@ def cross_validate(
     model = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=maps,
-        evaluator=MulticlassClassificationEvaluator(
-            labelCol=label, predictionCol="prediction", metricName=EVALUATOR_METRICS[metric]
-        ),
+        evaluator=evaluator,
         numFolds=k,
         foldCol=fold_col,
         parallelism=parallelism,
@@ -155,7 +163,7 @@ def cross_validate(
     scores = [(float(a), float(s)) for a, s in zip(model.avgMetrics, model.stdMetrics, strict=True)]
     results = select_best(_result_frame(data.sparkSession, grid, scores, names), names[0])
     best = max(range(len(grid)), key=lambda i: (scores[i][0], -i))
-    return Search(results, model.bestModel, grid[best])
+    return Search(results.orderBy("grid_index"), model.bestModel, grid[best])
 
 
 def best_params(model: Model) -> dict[str, Any]:

@@ -105,8 +105,8 @@ class Flow:
 @dataclass(frozen=True)
 class _Prepared:
     indexer: PipelineModel
-    tally: DataFrame  # split, label, features, rows
-    rows: DataFrame | None  # split, label, features, extra columns; one row per incident
+    tally: DataFrame  # features, split, fold if any, label, rows
+    rows: DataFrame | None  # features, split, fold if any, label; one row per incident
 
 
 def _prepare(
@@ -124,7 +124,7 @@ def _prepare(
     rows = clean.select("split", *extra, *columns)
     if single_rows:
         rows = stage(rows, "rows", ["split"], rebalance=True)
-    counted = stage(tally(rows, ["split", *columns]), "tally", ["split"])
+    counted = stage(tally(rows, ["split", *extra, *columns]), "tally", ["split"])
 
     lists = top_k_lists(counted, spec.reduced, spec.k, weight="rows")
     kept = counted.filter(in_lists(counted, lists))
@@ -141,7 +141,7 @@ def _prepare(
 
     return _Prepared(
         indexer,
-        ready(kept, ["rows"]),
+        ready(kept, ["rows", *extra]),
         ready(rows.filter(in_lists(rows, lists)), extra) if single_rows else None,
     )
 
@@ -214,17 +214,23 @@ def forest_flow(
     folds: int = 3,
     seed: int = SEED,
     parallelism: int = 4,
+    bootstrap: bool = True,
 ) -> Flow:
     """Forest grid by accuracy over folds of the training split.
 
     Gives the best parameters with their validation accuracy, the importances, and
-    the metrics on the test split.
+    the metrics on the test split. Without ``bootstrap`` the forest, too, trains on
+    the tally, and the size of the input matters for one pass only.
     """
     spark = df.sparkSession
-    data = _prepare(df, spec, single_rows=True, folds=folds)
+    data = _prepare(df, spec, single_rows=bootstrap, folds=folds)
     check_bins(data.tally, min(point.get("max_bins", 32) for point in grid))
-    train = enough_tasks(data.rows.filter(IS_TRAIN))
-    forest = RandomForestClassifier(labelCol=spec.label, featuresCol="features", seed=seed)
+    train = enough_tasks((data.rows if bootstrap else data.tally).filter(IS_TRAIN))
+    forest = RandomForestClassifier(
+        labelCol=spec.label, featuresCol="features", seed=seed, bootstrap=bootstrap
+    )
+    if not bootstrap:
+        forest.setWeightCol("rows")
     found = cross_validate(
         train,
         forest,
@@ -234,6 +240,7 @@ def forest_flow(
         k=folds,
         parallelism=parallelism,
         seed=spec.seed,
+        weight=None if bootstrap else "rows",
     )
     by_split = {
         name: data.tally.filter(F.col("split") == name) for name in ("validation", "test")

@@ -30,13 +30,15 @@ def read_incidents(
     fields: dict[str, tuple[str, T.DataType]] | None = None,
     timestamp_format: str = "MM/dd/yyyy hh:mm:ss a",
     mode: str = "FAILFAST",
+    infer: bool = False,
 ) -> DataFrame:
     """All files as one frame with the wanted columns, typed and renamed.
 
     Types are given, so nothing but the header line of the first file is read up
     front. Columns outside ``fields`` may be present anywhere in the files; they
     are not parsed. Every file's header is checked against the first one's, so a
-    year with other column positions fails instead of shifting values.
+    year with other column positions fails instead of shifting values. With ``infer``
+    the types in ``fields`` are ignored and found by one more pass over all files.
     """
     fields = fields or INCIDENT_FIELDS
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -44,14 +46,17 @@ def read_incidents(
     missing = [name for name in fields if name not in header]
     if missing:
         raise ValueError(f"columns not in the file header: {missing}")
-    schema = T.StructType(
-        [T.StructField(h, fields[h][1] if h in fields else T.StringType()) for h in header]
-    )
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    if infer:
+        reader = reader.option("inferSchema", True)
+    else:
+        reader = reader.schema(
+            T.StructType(
+                [T.StructField(h, fields[h][1] if h in fields else T.StringType()) for h in header]
+            )
+        )
     rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("timestampFormat", timestamp_format)
+        reader.option("timestampFormat", timestamp_format)
         .option("timestampNTZFormat", timestamp_format)
         .option("mode", mode)
         .csv(paths)

@@ -78,6 +78,16 @@ def test_forest_nodes_and_importances(spark, vectors):
     assert {r["feature"] for r in found} == set(FEATURES)
 
 
+def test_forest_without_bootstrap_takes_a_tally(data, vectors):
+    counted = ops.assemble(ops.tally(data, [*FEATURES, "label"]), FEATURES)
+    one = ops.fit_forest(vectors, num_trees=4, max_depth=4, bootstrap=False)
+    two = ops.fit_forest(counted, num_trees=4, max_depth=4, bootstrap=False, weight="rows")
+    body = lambda model: model.toDebugString.split("\n", 1)[1]
+    assert body(one) == body(two)
+    with pytest.raises(ValueError, match="bootstrap"):
+        ops.fit_forest(counted, weight="rows")
+
+
 def test_same_seed_same_model(vectors):
     one = ops.fit_forest(vectors, num_trees=3, max_depth=3, seed=1)
     two = ops.fit_forest(vectors, num_trees=3, max_depth=3, seed=1)

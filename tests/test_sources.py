@@ -93,3 +93,10 @@ def test_nulls_survive_csv(spark, tmp_path):
     write_results(spark.range(3).select("id", ward), str(tmp_path / "n"))
     back = read_incidents(spark, str(tmp_path / "n"), {"Ward": ("ward", T.IntegerType())})
     assert rows(back) == [(0,), (2,), (None,)]
+
+
+def test_inferred_types(spark, tmp_path):
+    df = read_incidents(spark, year_file(tmp_path, 2019, [1, 2]), infer=True)
+    types = dict(df.dtypes)
+    assert types["ward"] == "int" and types["arrest"] == "boolean"
+    assert types["block"] == "string" and types["ts"].startswith("timestamp")

@@ -130,6 +130,25 @@ def test_mlp_flow_beats_the_majority(spark):
     assert rows(ops.final_report(flow.model, test, "arrest")) == rows(flow.report)
 
 
+def test_cross_validation_of_a_tally(spark, vectors):
+    """Weighted rows give the folds the metrics of the rows they stand for."""
+    columns = ["primary_type_index", "domestic", "fold", "arrest"]
+    df = ops.add_folds(ops.flag_to_int(incidents(spark, SF_DIR), ["arrest", "domestic"]), KEY_COLUMNS)
+    df = ops.index_categories(df, ["primary_type"]).select(*columns)
+    grid = ops.param_grid(num_trees=[2], max_depth=[1, 3])
+    names = {"num_trees": "numTrees", "max_depth": "maxDepth"}
+    found = []
+    for frame, weight in ((df, None), (ops.tally(df, columns), "rows")):
+        forest = RandomForestClassifier(labelCol="arrest", seed=5, bootstrap=False)
+        if weight:
+            forest.setWeightCol(weight)
+        data = ops.assemble(frame, columns[:2])
+        run = ops.cross_validate(data, forest, grid, names, label="arrest", weight=weight)
+        found.append([tuple(r) for r in run.results.collect()])
+    for one, two in zip(*found, strict=True):
+        assert one == pytest.approx(two, abs=1e-12)
+
+
 def test_forest_flow(spark):
     spec = IncidentSpec(keys=KEY_COLUMNS, numbers=())
     grid = ops.param_grid(num_trees=[3], max_depth=[2, 4], max_bins=[32])
