@@ -492,3 +492,29 @@ def forest_tally_results(spark, sf_dir):
     """Forests without bootstrap, trained and validated on the tally alone."""
     grid = ops.param_grid(num_trees=[5], max_depth=[2, 4], max_bins=[32])
     return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, grid, bootstrap=False).results
+
+
+def one_split_forest(spark, sf_dir):
+    """A cross-validated run that SQL can follow: one tree with no split, or with the best."""
+    grid = ops.param_grid(num_trees=[1], max_depth=[0, 1], max_bins=[32])
+    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, grid, bootstrap=False)
+
+
+@query
+def forest_flow_results(spark, sf_dir):
+    return rounded(one_split_forest(spark, sf_dir).results, ["avg_accuracy", "std_accuracy"])
+
+
+@query
+def forest_flow_summary(spark, sf_dir):
+    return rounded(one_split_forest(spark, sf_dir).summary, ["validation_accuracy"])
+
+
+@query
+def forest_flow_importances(spark, sf_dir):
+    return rounded(one_split_forest(spark, sf_dir).importances, ["importance"])
+
+
+@query
+def forest_flow_report(spark, sf_dir):
+    return rounded(one_split_forest(spark, sf_dir).report, METRICS)

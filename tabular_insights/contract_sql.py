@@ -181,6 +181,67 @@ _ONE_SPLIT = f"""{_TOP}, parts AS (
     ON t.i = v.i
 )"""
 
+# The same with folds: runs 0-2 leave out one fold of the training rows and are scored on
+# it, run 3 takes all training rows.
+_FOLDS = f"""{_TOP}, parts AS (
+  SELECT *, {_KEY17} % 3 AS fold, CASE WHEN {_KEY17} < 0.6 * 4294967296 THEN 'train'
+    WHEN {_KEY17} < 0.8 * 4294967296 THEN 'validation' ELSE 'test' END AS split
+  FROM kept
+), runs AS (
+  SELECT * FROM (VALUES (0), (1), (2), (3)) AS t(run)
+), used AS (
+  SELECT run, primary_type, description, location_description, domestic, arrest
+  FROM parts JOIN runs ON fold <> run WHERE split = 'train'
+), long AS (
+  SELECT run, 0 AS f, primary_type AS v, arrest FROM used
+  UNION ALL SELECT run, 1, description, arrest FROM used
+  UNION ALL SELECT run, 2, location_description, arrest FROM used
+  UNION ALL SELECT run, 3, CAST(domestic AS VARCHAR), arrest FROM used
+), vals AS (
+  SELECT run, f, v, count(*) AS vn, sum(arrest) AS vpos FROM long GROUP BY run, f, v
+), prefixes AS (
+  SELECT run, f, v, row_number() OVER w AS place, count(*) OVER (PARTITION BY run, f) AS places,
+         sum(vn) OVER w AS ln, sum(vpos) OVER w AS lp,
+         sum(vn) OVER (PARTITION BY run, f) AS n, sum(vpos) OVER (PARTITION BY run, f) AS pos
+  FROM vals WINDOW w AS (PARTITION BY run, f ORDER BY
+    CASE WHEN f = 3 THEN CAST(v = '1' AS INTEGER) ELSE vpos * 1.0 / vn END, v
+    ROWS UNBOUNDED PRECEDING)
+), gains AS (
+  SELECT *, 2.0 * pos / n * (1 - pos * 1.0 / n)
+    - 2.0 * lp / n * (1 - lp * 1.0 / ln)
+    - 2.0 * (pos - lp) / n * (1 - (pos - lp) * 1.0 / (n - ln)) AS gain
+  FROM prefixes WHERE place < places
+), best AS (
+  SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY run ORDER BY gain DESC, f) = 1
+), left_values AS (
+  SELECT run, v FROM prefixes p SEMI JOIN best b
+    ON p.run = b.run AND p.f = b.f AND p.place <= b.place
+), targets AS (
+  SELECT run, CASE WHEN run < 3 THEN 'fold' || run ELSE split END AS target, arrest,
+         CAST(2 * pos > n AS INTEGER) AS whole, CAST(2 * lp > ln AS INTEGER) AS l,
+         CAST(2 * (pos - lp) > n - ln AS INTEGER) AS r,
+         CASE f WHEN 0 THEN primary_type WHEN 1 THEN description
+           WHEN 2 THEN location_description ELSE CAST(domestic AS VARCHAR) END AS v
+  FROM parts JOIN best
+    ON (run < 3 AND split = 'train' AND fold = run) OR (run = 3 AND split <> 'train')
+), marked AS (
+  SELECT t.*, k.v IS NOT NULL AS goes_left FROM targets t
+  LEFT JOIN left_values k ON t.run = k.run AND t.v = k.v
+), scored AS (
+  SELECT '0' || target AS point, arrest AS label, whole AS prediction FROM marked
+  UNION ALL
+  SELECT '1' || target, arrest, CASE WHEN goes_left THEN l ELSE r END FROM marked
+), accuracies AS (
+  SELECT left(point, 1) AS i, point, avg(CAST(label = prediction AS INTEGER)) AS accuracy
+  FROM scored GROUP BY ALL
+), results AS (
+  SELECT CAST(i AS INTEGER) AS grid_index, 1 AS num_trees, CAST(i AS INTEGER) AS max_depth,
+         32 AS max_bins, round(avg(accuracy), 6) AS avg_accuracy,
+         round(stddev_pop(accuracy), 6) AS std_accuracy,
+         row_number() OVER (ORDER BY avg(accuracy) DESC, i) = 1 AS is_best
+  FROM accuracies WHERE point LIKE '%fold%' GROUP BY i
+){_metrics("point")}"""
+
 _MODEL_COLUMNS = (
     "primary_type, description, location_description, arrest, domestic, ward, year"
 )
@@ -333,5 +394,21 @@ UNION ALL SELECT 2, NULL, NULL, CASE WHEN 2 * rp > rn THEN 1.0 ELSE 0.0 END, rou
     "stump_metrics": f"{_CLEAN}{_STUMP}{_metrics()} SELECT {_METRIC_COLUMNS} FROM metrics",
 }
 
+_BEST_POINT = "(SELECT grid_index || '{}' FROM results WHERE is_best)"
+ORACLES |= {
+    "forest_flow_results": f"{_CLEAN}{_FOLDS} SELECT * FROM results",
+    "forest_flow_summary": f"""{_CLEAN}{_FOLDS}
+SELECT num_trees, max_depth, max_bins, accuracy AS validation_accuracy
+FROM results JOIN metrics ON point = grid_index || 'validation' WHERE is_best""",
+    "forest_flow_report": f"{_CLEAN}{_FOLDS} SELECT {_METRIC_COLUMNS} FROM metrics "
+    f"WHERE point = {_BEST_POINT.format('test')}",
+    "forest_flow_importances": f"""{_CLEAN}{_FOLDS}
+SELECT CAST(row_number() OVER (ORDER BY importance DESC, i) AS INTEGER) AS rank, feature, importance
+FROM (SELECT i, feature, CASE WHEN i = (SELECT f FROM best WHERE run = 3)
+        AND (SELECT max_depth FROM results WHERE is_best) = 1 THEN 1.0::DOUBLE ELSE 0.0 END
+        AS importance
+      FROM (VALUES (0, 'primary_type_index'), (1, 'description_index'),
+        (2, 'location_description_index'), (3, 'domestic')) AS t(i, feature))""",
+}
 ORACLES["estimator_chain_metrics"] = ORACLES["stump_metrics"]
 ORACLES["results_roundtrip"] = ORACLES["select_best"]
