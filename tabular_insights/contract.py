@@ -15,7 +15,8 @@ from . import operators as ops
 from .functions import all_present
 from .plans import IncidentSpec, forest_flow, mlp_flow, tree_flow
 from .session import new_path, stage
-from .sources import INCIDENT_FIELDS, read_incidents, union_years, write_results
+from .sources import INCIDENT_FIELDS, read_incidents, write_results
+from .sources import union_years as union_frames
 from .sources.adapter import INCIDENT_COLUMNS, KEY_COLUMNS, incidents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,15 +82,15 @@ def dated_tables(spark, sf_dir):
 
 
 @query
-def union_years_by_name(spark, sf_dir):
-    rows = union_years(dated_tables(spark, sf_dir))
+def union_years(spark, sf_dir):
+    rows = union_frames(dated_tables(spark, sf_dir))
     return rows.groupBy("year", "kind").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query
 def union_years_by_position(spark, sf_dir):
     frames = [df.select("year", "kind") for df in dated_tables(spark, sf_dir)]
-    rows = union_years(frames, by="position")
+    rows = union_frames(frames, by="position")
     return rows.groupBy("year").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -280,14 +281,14 @@ def fold_counts(spark, sf_dir):
 def random_split_counts(spark, sf_dir):
     parts = ops.random_split(table(spark, sf_dir, "lineitem"))
     named = [df.select(F.lit(name).alias("split")) for name, df in parts.items()]
-    return union_years(named).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return union_frames(named).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query
 def random_split_rows(spark, sf_dir):
     """The parts together: every row once, whatever part it fell into."""
     parts = ops.random_split(table(spark, sf_dir, "lineitem").select(*KEY_COLUMNS, "l_partkey"))
-    return union_years(list(parts.values()))
+    return union_frames(list(parts.values()))
 
 
 # Metrics

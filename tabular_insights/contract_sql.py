@@ -274,7 +274,7 @@ def _distinct(columns: list[str], source: str) -> str:
 
 ORACLES: dict[str, str] = {
     "csv_roundtrip": f"{_CLEAN} SELECT {_READABLE} FROM incidents",
-    "union_years_by_name": f"{_DATED} SELECT CAST(y AS INTEGER) AS year, kind, count(*) AS rows "
+    "union_years": f"{_DATED} SELECT CAST(y AS INTEGER) AS year, kind, count(*) AS rows "
     "FROM dated GROUP BY y, kind",
     "union_years_by_position": f"{_DATED} SELECT CAST(y AS INTEGER) AS year, count(*) AS rows "
     "FROM dated GROUP BY y",
