@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabular_insights.llm import bpe, counts
-from tabular_insights.llm.common import documents
+from tabular_insights.llm import bpe, counts, quality, substrings
+from tabular_insights.llm.common import WORD, documents
+from tabular_insights.session import stage
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,23 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    measured = stage(quality.measure(docs.select("doc_id", "lang", "text")).drop("text"), "measured")
+    names, cutoffs = quality.learn(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "lang")
+    judged = quality.judge(quality.with_stratum(measured, names, "lang"), stage(cutoffs, "cutoffs"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("rejected_by", ",").alias("rejected_by"),
+    )
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeated(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = F.array_join(F.regexp_extract_all("kept_text", F.lit(WORD), F.lit(0)), " ")
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -28,6 +46,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_quality_rules": op2_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
     "op8_token_counts": op8_token_counts,
 }
 
