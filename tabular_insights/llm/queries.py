@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabular_insights.llm import bpe, counts, quality, substrings
+from tabular_insights.llm import bpe, counts, fingerprint, langid, quality, substrings
 from tabular_insights.llm.common import WORD, documents
 from tabular_insights.session import stage
 
@@ -39,6 +39,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = fingerprint.compare_with_edit(documents(spark, sf_dir))
+    return compared.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+        F.size("edited_places").cast("long").alias("n_edited_paragraphs"),
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    models = langid.train(docs, ~F.coalesce(held_out, F.lit(True)))
+    return langid.predict(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -47,6 +63,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_quality_rules": op2_quality_rules,
+    "op3_merkle_fingerprints": op3_merkle_fingerprints,
+    "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
     "op8_token_counts": op8_token_counts,
 }
