@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabular_insights.llm.common import find_package
+from tabular_insights.llm.common import find_package, slices
 
-#: Entries of the cache of encoded words in each Python worker; it is emptied beyond that.
+#: Entries of the caches of encoded words and pieces in each Python worker; a cache is
+#: emptied beyond that. Words and pieces beyond ``LONG`` are not kept.
 CACHE = 250_000
 LONG = 64
-_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Rows that are encoded or decoded and handed on at a time.
+ROWS = 1_000
+#: The pattern of the tokenizer file, and the byte alphabet of byte-level
+#: vocabularies (printable bytes stand for themselves, the others follow from 256 on).
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_LATIN = re.compile("[!-~\xa1-\u024f]*")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -56,29 +65,35 @@ class Codec:
             self.tokens[number] = token
         bodies = [t.removesuffix(self.suffix) for t in self.vocabulary if t not in self.special]
         #: Byte pairs, in the byte alphabet of the vocabulary, that stand inside some token.
-        self.inner = {body[i : i + 2] for body in bodies for i in range(len(body) - 1)}
+        self.inner = {pair for body in bodies for pair in zip(body, body[1:])}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.space = regex.compile(r"[^\s\x1c-\x1f]*(?:[\x1c-\x1f]+[^\s\x1c-\x1f]*)*")
         self.words: dict[str, bytes] = {}
+        self.known_pieces: dict[str, bytes] = {}
 
     def fragments(self, piece: str) -> list[str]:
         """``piece`` cut at every byte pair that no token contains."""
-        inner, cuts = self.inner, [0]
-        cuts += [i + 1 for i in range(len(piece) - 1) if piece[i : i + 2] not in inner]
-        return [piece[a:b] for a, b in zip(cuts, [*cuts[1:], len(piece)])]
+        inner = self.inner
+        cuts = [0, *[i for i, pair in enumerate(zip(piece, piece[1:]), 1) if pair not in inner], len(piece)]
+        return [piece[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) > 2 else [piece]
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge neighbours by rank, the leftmost of equal ranks first."""
         if len(symbols) > LONG:
             return self._merge_long(symbols)
-        ranks, none = self.ranks, len(self.ranks)
-        while len(symbols) > 1:
-            found = [ranks.get(pair, none) for pair in zip(symbols, symbols[1:])]
+        ranks, none = self.ranks.get, len(self.ranks)
+        found = [ranks(pair, none) for pair in zip(symbols, symbols[1:])]
+        while found:
             best = min(found)
             if best == none:
                 break
             i = found.index(best)
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del found[i]
+            if i < len(found):
+                found[i] = ranks((symbols[i], symbols[i + 1]), none)
+            if i:
+                found[i - 1] = ranks((symbols[i - 1], symbols[i]), none)
         return symbols
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
@@ -105,24 +120,34 @@ class Codec:
         return [s for s in live if s is not None]
 
     def pieces(self, part: str) -> list[str]:
-        if part.isascii() and part.isprintable():
-            return _ASCII_PIECE.findall(part.lower())
+        """Pre-tokens in the byte alphabet. Latin text, where every version of Unicode
+        agrees, is cut here; all other text by the normalizer of the file."""
+        if _LATIN.fullmatch(part) and is_normalized("NFC", part):
+            found = _PIECE.findall(part.lower())
+            return found if part.isascii() else [p.encode().decode("latin-1").translate(_ALPHABET) for p in found]
         return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))]
 
+    def encode_piece(self, piece: str) -> bytes:
+        fragments = self.fragments(piece)
+        last = list(fragments[-1])
+        last[-1] += self.suffix
+        merged = [self.merge(list(f)) for f in fragments[:-1]] + [self.merge(last)]
+        return np.array([self.vocabulary[t] for tokens in merged for t in tokens], "<u4").tobytes()
+
     def encode_word(self, word: str) -> bytes:
-        ids: list[int] = []
+        ids, known = [], self.known_pieces
         for part in self.split_special.split(word) if self.split_special and "<|" in word else (word,):
             if part in self.special:
-                ids.append(self.special[part])
+                ids.append(np.array([self.special[part]], "<u4").tobytes())
                 continue
             for piece in self.pieces(part):
-                fragments = self.fragments(piece)
-                for fragment in fragments[:-1]:
-                    ids += [self.vocabulary[t] for t in self.merge(list(fragment))]
-                last = list(fragments[-1])
-                last[-1] += self.suffix
-                ids += [self.vocabulary[t] for t in self.merge(last)]
-        return np.array(ids, "<u4").tobytes()
+                found = known.get(piece)
+                if found is None:
+                    found = self.encode_piece(piece)
+                    if len(piece) <= LONG:
+                        known[piece] = found
+                ids.append(found)
+        return b"".join(ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -136,8 +161,9 @@ class Codec:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) > CACHE:
-            known.clear()
+        for cache in (known, self.known_pieces):
+            if len(cache) > CACHE:
+                cache.clear()
         out = []
         for word in words:
             ids = known.get(word)
@@ -168,7 +194,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], schema.names)
@@ -188,7 +214,7 @@ def decode_documents(df: DataFrame, path: str, ids_col: str = "ids", into: str =
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts = pa.array([coder.decode(x) for x in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], schema.names)
 
