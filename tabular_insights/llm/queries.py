@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabular_insights.llm import bpe, counts, fingerprint, langid, quality, substrings
+from tabular_insights.llm import bpe, counts, fingerprint, langid, lm, mixing, quality, substrings
 from tabular_insights.llm.common import WORD, documents
 from tabular_insights.session import stage
 
@@ -55,6 +55,34 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(documents(spark, sf_dir))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0)
+    return scored.select(
+        "doc_id", "n_words", "n_backed_off",
+        F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"),
+    )
+
+
+#: Targets of the mixture: tempered sources, even languages, and topics by share.
+MIXTURE = {
+    "source": 0.5,
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2},
+    "topic": {"prose": 0.9, "brief": 0.04},
+}
+MIXTURE_SHARE = 0.4
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    counted = docs.select(
+        "doc_id", "source", "lang", mixing.form_topic().alias("topic"), mixing.token_count().alias("n_tokens")
+    )
+    counted = stage(counted, "counted")
+    dimensions = {n: F.col(n) for n in MIXTURE}
+    return mixing.mix(counted, MIXTURE, MIXTURE_SHARE, dimensions, F.col("n_tokens"))[0]
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -64,6 +92,8 @@ QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_quality_rules": op2_quality_rules,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
+    "op4_lm_scores": op4_lm_scores,
+    "op7_source_mixing": op7_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
     "op8_token_counts": op8_token_counts,

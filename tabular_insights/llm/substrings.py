@@ -21,62 +21,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabular_insights.llm.common import find_package, text_parts
+from tabular_insights.llm.packing import bucket_of, pack, runs, spans, unpack, windows, word_hashes
 
 WINDOW = 13
 GROUP_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = np.iinfo(np.int64).max
 _WORDS = re.compile(r"[^ \t-\r]+")
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-def window_hashes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``width`` words, the text and the word each starts in;
-    the third result counts the words of each text."""
-    known, parts, counts = _Hashes(), [], []
-    for text in texts:
-        words = text.encode().split() if text else []
-        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        counts.append(len(words))
-    counts = np.array(counts, np.int64)
-    words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    if len(words) < width:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), counts
-    rolled = words[: len(words) - width + 1].copy()
-    for j in range(1, width):
-        rolled = rolled * _BASE + words[j : len(words) - width + 1 + j]
-    text_of = np.repeat(np.arange(len(counts)), counts)
-    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(words))
-    inside = left[: len(rolled)] >= width
-    return rolled[inside], text_of[: len(rolled)][inside], counts
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Non-negative integers in as many bytes each as the largest needs."""
-    values = np.ascontiguousarray(values, "<u8")
-    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
-    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    width = packed[0]
-    raw = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.reshape(-1).view("<u8")
-
-
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
 
@@ -85,7 +42,7 @@ def _lowest(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct hashes in order, and the smallest id of each."""
     order = np.argsort(hashes, kind="stable")
     hashes, ids = hashes[order], ids[order]
-    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, np.int64)
+    starts = runs(hashes)
     return hashes[starts], np.minimum.reduceat(ids, starts) if len(starts) else ids
 
 
@@ -114,21 +71,20 @@ def remove_repeated(
     at_id, at_text = rest.index(id_col) + 1, rest.index(text_col) + 1
 
     def sent(table: pa.Table) -> pa.Table:
-        rolled, text_of, _ = window_hashes(table.column(at_text).to_pylist(), width)
+        rolled, text_of, _ = windows(*word_hashes(table.column(at_text).to_pylist()), width)
         hashes, lowest = _lowest(rolled, _ids(table.column(at_id))[text_of])
         known = np.unique(lowest)
         places = np.searchsorted(known, lowest)
-        bucket = ((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+        bucket = bucket_of(hashes, n_buckets)
         rows = {"_bucket": [], "_group": [], "_first": [], "_steps": [], "_owners": [], "_ids": []}
-        for a, b in zip(starts, [*starts[1:], len(bucket)]):
+        for a, b in spans(bucket):
             owners, local = np.unique(places[a:b], return_inverse=True)
             rows["_bucket"].append(int(bucket[a]))
             rows["_group"].append(table.column(0)[0].as_py())
             rows["_first"].append(hashes[a : a + 1].view(np.int64)[0])
-            rows["_steps"].append(_pack(np.diff(hashes[a:b], prepend=hashes[a])))
-            rows["_owners"].append(_pack(local))
-            rows["_ids"].append(_pack(np.diff(known[owners].view(np.uint64), prepend=np.uint64(0))))
+            rows["_steps"].append(pack(np.diff(hashes[a:b], prepend=hashes[a])))
+            rows["_owners"].append(pack(local))
+            rows["_ids"].append(pack(np.diff(known[owners].view(np.uint64), prepend=np.uint64(0))))
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
 
@@ -137,9 +93,9 @@ def remove_repeated(
         for row in table.to_batches():
             cells = row.to_pydict()
             for first, steps, local, ids, at in zip(*[cells[c] for c in ("_first", "_steps", "_owners", "_ids", "_group")]):
-                found = np.cumsum(_unpack(steps)) + np.array([first], np.int64).view(np.uint64)
+                found = np.cumsum(unpack(steps)) + np.array([first], np.int64).view(np.uint64)
                 hashes.append(found)
-                owners.append(np.cumsum(_unpack(ids)).view(np.int64)[_unpack(local).astype(np.int64)])
+                owners.append(np.cumsum(unpack(ids)).view(np.int64)[unpack(local).astype(np.int64)])
                 groups.append(np.full(len(found), at, np.int64))
         hashes, owners, groups = map(np.concatenate, (hashes, owners, groups))
         distinct, lowest = _lowest(hashes, owners)
@@ -147,29 +103,29 @@ def remove_repeated(
         told = np.flatnonzero(least < owners)
         told = told[np.argsort(groups[told], kind="stable")]
         at = groups[told]
-        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else []
-        spans = list(zip(starts, [*starts[1:], len(at)]))
+        parts = spans(at)
         return pa.table(
             {
-                "_group": pa.array([int(at[a]) for a, _ in spans], pa.int32()),
-                "_hashes": pa.array([hashes[told[a:b]].tobytes() for a, b in spans], pa.binary()),
-                "_lowest": pa.array([least[told[a:b]].tobytes() for a, b in spans], pa.binary()),
+                "_group": pa.array([int(at[a]) for a, _ in parts], pa.int32()),
+                "_hashes": pa.array([hashes[told[a:b]].tobytes() for a, b in parts], pa.binary()),
+                "_lowest": pa.array([least[told[a:b]].tobytes() for a, b in parts], pa.binary()),
             }
         )
 
     def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts, ids = table.column(at_text).to_pylist(), _ids(table.column(at_id))
-        rolled, text_of, counts = window_hashes(texts, width)
+        words, counts = word_hashes(texts)
+        rolled, text_of, _ = windows(words, counts, width)
         distinct, lowest = _lowest(rolled, ids[text_of])
         if answers.num_rows and len(distinct):
             told = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("_hashes").to_pylist()])
             least = np.concatenate([np.frombuffer(x, np.int64) for x in answers.column("_lowest").to_pylist()])
             lowest[np.searchsorted(distinct, told)] = least
         hit = lowest[np.searchsorted(distinct, rolled)] < ids[text_of] if len(rolled) else np.empty(0, bool)
-        windows = np.maximum(counts - width + 1, 0)
-        ends = np.cumsum(windows)
+        sizes = np.maximum(counts - width + 1, 0)
+        ends = np.cumsum(sizes)
         intervals, kept, gone = [], [], []
-        for text, n, a, b in zip(texts, counts, ends - windows, ends):
+        for text, n, a, b in zip(texts, counts, ends - sizes, ends):
             starts = np.flatnonzero(hit[a:b])
             if not len(starts):
                 intervals.append([])
