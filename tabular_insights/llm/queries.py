@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabular_insights.llm import bpe, counts, fingerprint, langid, lm, mixing, quality, substrings
+from tabular_insights.llm import bpe, counts, fingerprint, jaccard, langid, lm, mixing, quality, substrings
 from tabular_insights.llm.common import WORD, documents
 from tabular_insights.session import stage
 
@@ -64,6 +64,10 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_similar(documents(spark, sf_dir))
+
+
 #: Targets of the mixture: tempered sources, even languages, and topics by share.
 MIXTURE = {
     "source": 0.5,
@@ -93,6 +97,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_lm_scores": op4_lm_scores,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_source_mixing": op7_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
