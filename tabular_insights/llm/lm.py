@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabular_insights.llm import counting
 from tabular_insights.llm.common import find_package, text_parts
-from tabular_insights.llm.packing import bucket_of, pack, runs, spans, unpack, windows, word_hashes
+from tabular_insights.llm.packing import windows, word_hashes
 
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
 GROUP_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
@@ -73,35 +74,14 @@ def score(
 
     def sent(table: pa.Table) -> pa.Table:
         hashes, numbers = distinct(_grams(table.column("text").to_pylist(), order)[1])
-        bucket = bucket_of(hashes, n_buckets)
-        rows = [
-            (int(bucket[a]), table.column(0)[0].as_py(), hashes[a : a + 1].view(np.int64)[0],
-             pack(np.diff(hashes[a:b], prepend=hashes[a])), pack(numbers[a:b]))
-            for a, b in spans(bucket)
-        ]
-        kinds = {"_bucket": pa.int32(), "_group": pa.int32(), "_first": pa.int64(), "_steps": pa.binary(), "_counts": pa.binary()}
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
-
-    def counted(table: pa.Table) -> pa.Table:
-        firsts = table.column("_first").to_numpy().view(np.uint64)
-        parts = [np.cumsum(unpack(s)) + f for s, f in zip(table.column("_steps").to_pylist(), firsts)]
-        numbers = np.concatenate([unpack(c) for c in table.column("_counts").to_pylist()])
-        hashes = np.concatenate(parts)
-        order_ = np.argsort(hashes, kind="stable")
-        starts = runs(hashes[order_])
-        totals = np.empty(len(hashes), np.uint64)
-        totals[order_] = np.repeat(np.add.reduceat(numbers[order_], starts), np.diff(np.append(starts, len(hashes))))
-        ends = np.cumsum([len(p) for p in parts])
-        packed = [pack(totals[e - len(p) : e]) for p, e in zip(parts, ends)]
-        return pa.table({"_group": table.column("_group"), "_bucket": table.column("_bucket"), "_totals": pa.array(packed, pa.binary())})
+        return counting.sent(table.column(0)[0].as_py(), hashes, numbers, n_buckets)
 
     def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
         counts, found = _grams(table.column("text").to_pylist(), order)
         total, backed = np.zeros(len(counts)), np.zeros(len(counts), np.int64)
         if counts.sum():
             hashes, _ = distinct(found)
-            told = answers.sort_by("_bucket").column("_totals").to_pylist()
-            totals = np.concatenate([unpack(t) for t in told]).astype(np.float64)
+            totals = counting.totals(answers).astype(np.float64)
             text_of = np.repeat(np.arange(len(counts)), counts)
             before = totals[np.searchsorted(hashes, found[0][0])]
             seen = totals[np.searchsorted(hashes, found[1][0])]
@@ -121,8 +101,5 @@ def score(
         columns = [table.column("id"), pa.array(counts, pa.int64()), pa.array(backed, pa.int64()), pa.array(total, pa.float64())]
         return pa.table(columns, schema.names)
 
-    sums = dealt.groupBy("_group").applyInArrow(
-        sent, "_bucket int, _group int, _first bigint, _steps binary, _counts binary"
-    )
-    answers = sums.groupBy("_bucket").applyInArrow(counted, "_group int, _bucket int, _totals binary")
+    answers = counting.told(dealt.groupBy("_group").applyInArrow(sent, counting.SENT))
     return dealt.groupBy("_group").cogroup(answers.groupBy("_group")).applyInArrow(scored, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabular_insights.llm import bpe, counts, fingerprint, jaccard, langid, lm, mixing, quality, substrings
+from tabular_insights.llm import bpe, counts, fingerprint, jaccard, langid, lm, mixing, quality, substrings, suffix
 from tabular_insights.llm.common import WORD, documents
 from tabular_insights.session import stage
 
@@ -68,6 +68,13 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_similar(documents(spark, sf_dir))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove_repeated_bytes(documents(spark, sf_dir))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 #: Targets of the mixture: tempered sources, even languages, and topics by share.
 MIXTURE = {
     "source": 0.5,
@@ -98,6 +105,7 @@ QUERIES = {
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_lm_scores": op4_lm_scores,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
