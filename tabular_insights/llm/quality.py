@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabular_insights.llm.common import WORD, any_of
+from tabular_insights.session import stage
 
 REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Measures in thousandths and the grid of their cutoffs, loosest first.
@@ -192,3 +193,17 @@ def learn(measured: DataFrame, labels: DataFrame, id_col: str, language: str, ma
     labelled = counted.join(label, "_id").drop("_id")
     names = strata(labelled, language, max_strata)
     return names, certify(with_stratum(labelled, names, language), n_strata=max_strata + 1)
+
+
+def keep_good(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """Rows of ``df`` that no rule rejects, with the measured columns.
+
+    The texts are measured once to learn the cutoffs and once more to apply them, so they
+    are never shuffled.
+    """
+    counted = stage(measure(df.select(id_col, lang_col, text_col), text_col).drop(text_col), "measured")
+    names, cutoffs = learn(counted, labels, id_col, lang_col)
+    judged = judge(with_stratum(measure(df, text_col), stage(names, "strata"), lang_col), stage(cutoffs, "cutoffs"))
+    return judged.filter("kept")
