@@ -200,10 +200,9 @@ def keep_good(
 ) -> DataFrame:
     """Rows of ``df`` that no rule rejects, with the measured columns.
 
-    The texts are measured once to learn the cutoffs and once more to apply them, so they
-    are never shuffled.
+    The measured rows are written down: a filter on them would otherwise be pushed below
+    the measuring, with every expression in it computed anew.
     """
-    counted = stage(measure(df.select(id_col, lang_col, text_col), text_col).drop(text_col), "measured")
-    names, cutoffs = learn(counted, labels, id_col, lang_col)
-    judged = judge(with_stratum(measure(df, text_col), stage(names, "strata"), lang_col), stage(cutoffs, "cutoffs"))
-    return judged.filter("kept")
+    measured = stage(measure(df, text_col), "measured")
+    names, cutoffs = learn(measured, labels, id_col, lang_col)
+    return judge(with_stratum(measured, stage(names, "strata"), lang_col), stage(cutoffs, "cutoffs")).filter("kept")
