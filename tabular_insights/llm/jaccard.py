@@ -300,8 +300,9 @@ def join_similar(
     near = candidates.mapInArrow(_compared(needed), "src bigint, dst bigint")
     clusters = stage(components(near), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    # always a merge: the clustered ids grow with the documents, at every size alike
     clustered = clusters.join(sizes, "component").select(F.col("node").alias("id"), "component", "size")
-    texts = rows.join(clustered, "id").select("component", "size", F.col("id").alias("node"), "text")
+    texts = rows.join(clustered.hint("merge"), "id").select("component", "size", F.col("id").alias("node"), "text")
     shingled = texts.mapInArrow(
         _features(True), "component bigint, size bigint, node bigint, digest binary, sig binary, shingles binary"
     )
