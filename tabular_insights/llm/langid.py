@@ -75,7 +75,7 @@ class Machines:
 
     def __init__(self, names: list[str], weights: dict[tuple[str, str], tuple[np.ndarray, float]]):
         self.names, self.pairs = names, list(weights)
-        self.matrix = np.array([w for w, _ in weights.values()], np.float32).reshape(len(weights), -1)
+        self.matrix = np.array([w for w, _ in weights.values()], np.float32).reshape(len(weights), DIMENSIONS)
         self.bias = np.array([b for _, b in weights.values()], np.float32)
 
     def predict(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -66,7 +66,10 @@ def remove_repeated(
     ]
     rest = [c for c in df.columns if c not in {f.name for f in added}]
     schema = T.StructType([df.schema[c] for c in rest] + added)
-    group = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_groups)).cast("int").alias("_group")
+    name = "_group"
+    while name in df.columns:
+        name += "_"
+    group = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_groups)).cast("int").alias(name)
     dealt = df.select(group, *rest)
     at_id, at_text = rest.index(id_col) + 1, rest.index(text_col) + 1
 
@@ -144,8 +147,8 @@ def remove_repeated(
         new = [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(intervals, kinds), pa.array(kept, pa.string())]
         return pa.table([*table.columns[1:], *new], [*rest, *[f.name for f in added]])
 
-    sums = dealt.groupBy("_group").applyInArrow(
+    sums = dealt.groupBy(name).applyInArrow(
         sent, "_bucket int, _group int, _first bigint, _steps binary, _owners binary, _ids binary"
     )
     answers = sums.groupBy("_bucket").applyInArrow(answered, "_group int, _hashes binary, _lowest binary")
-    return dealt.groupBy("_group").cogroup(answers.groupBy("_group")).applyInArrow(removed, schema)
+    return dealt.groupBy(name).cogroup(answers.groupBy("_group")).applyInArrow(removed, schema)
