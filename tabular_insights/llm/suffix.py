@@ -7,9 +7,10 @@ bytes.
 
 1. Groups of documents send the hash of each core once; Spark counts them.
 2. For pieces whose core repeats, the bytes that their windows cover (a context) are
-   combined: equal contexts are one row with a number, so copies of a text cost one row.
-   What occurs twice as a whole is a repeat as a whole.
-3. Contexts that occur once are compared with the others of their core: the suffixes that
+   combined by digest: equal contexts are one row with a number, so copies of a text cost
+   one row for each group. What occurs twice as a whole is a repeat as a whole.
+3. Contexts that occur once are compared with the others of their core; only the bytes of
+   these are fetched, once for each different context. The suffixes that
    start at the anchors, and the reversed ones before them, are sorted by multikey
    quicksort to a shallow depth, and groups with long common prefixes by blind tries.
    Neighbours' common prefixes say which windows are equal. A core with too many different
@@ -37,6 +38,7 @@ from pyspark.sql import types as T
 from tabular_insights.llm import counting
 from tabular_insights.llm.common import find_package, text_parts
 from tabular_insights.llm.packing import spans
+from tabular_insights.session import stage
 
 LENGTH = 400
 GROUP_BYTES, BUCKET_BYTES = 2 << 20, 64 << 20
@@ -315,7 +317,7 @@ def remove_repeated_bytes(
         cores, numbers = np.unique(pieces(data, ends, length)["core"], return_counts=True)
         return counting.sent(table.column("_group")[0].as_py(), cores, np.minimum(numbers, 2), n_buckets)
 
-    def contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def repeated_cores(table: pa.Table, answers: pa.Table) -> pa.Table:
         _, _, data, ends = _laid_out(table)
         found = pieces(data, ends, length)
         raw, rows = data.tobytes(), {}
@@ -326,21 +328,25 @@ def remove_repeated_bytes(
             for key, a, b, at in zip(core.view(np.int64).tolist(), first.tolist(), last.tolist(), anchor.tolist()):
                 context = raw[a : b + length]
                 digest = hashlib.blake2b(context, digest_size=16, salt=(at - a).to_bytes(8, "little")).digest()
-                row = rows.setdefault(digest, (key, context, at - a, []))
-                row[3].append(a)
+                rows.setdefault(digest, (key, at - a, len(context), []))[3].append(a)
         values = list(rows.values())
         return pa.table(
             {
                 "core": pa.array([v[0] for v in values], pa.int64()),
                 "digest": pa.array(list(rows), pa.binary()),
-                "context": pa.array([v[1] for v in values], pa.binary()),
-                "anchor": pa.array([v[2] for v in values], pa.int32()),
-                "n": pa.array([len(v[3]) for v in values], pa.int64()),
+                "anchor": pa.array([v[1] for v in values], pa.int32()),
+                "size": pa.array([v[2] for v in values], pa.int32()),
                 "_group": pa.array([table.column("_group")[0].as_py()] * len(values) if values else [], pa.int32()),
                 "places": pa.array([v[3] for v in values], pa.list_(pa.int32())),
             }
         )
 
+    def fetched(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        raw = _laid_out(table)[2].tobytes() if wanted.num_rows else b""
+        found = [raw[a : a + n] for a, n in zip(wanted.column("place").to_pylist(), wanted.column("size").to_pylist())]
+        columns = [wanted.column(c) for c in ("core", "digest", "anchor", "n")]
+        return pa.table([*columns, pa.array(found, pa.binary())], ["core", "digest", "anchor", "n", "context"])
+
     def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
         order, texts, data, ends = _laid_out(table)
         edges = np.zeros(len(data) + 1, np.int32)
@@ -361,39 +367,34 @@ def remove_repeated_bytes(
         return pa.table([table.column("id"), *[pa.array(c, t) for c, t in zip(columns, types)]], schema.names)
 
     answers = counting.told(dealt.groupBy("_group").applyInArrow(sent, counting.SENT))
-    rows = (
-        dealt.groupBy("_group")
-        .cogroup(answers.groupBy("_group"))
-        .applyInArrow(
-            contexts, "core bigint, digest binary, context binary, anchor int, n bigint, _group int, places array<int>"
-        )
-    )
-    distinct = rows.groupBy("core", "digest").agg(
-        F.sum("n").alias("n"), F.first("context").alias("context"), F.first("anchor").alias("anchor")
-    )
+    rows = dealt.groupBy("_group").cogroup(answers.groupBy("_group")).applyInArrow(
+        repeated_cores, "core bigint, digest binary, anchor int, size int, _group int, places array<int>"
+    )
+    rows = stage(rows, "contexts")  # where they stand, without their bytes
+    place = F.struct("_group", F.get("places", F.lit(0)).alias("place"), "anchor", "size")
+    distinct = rows.groupBy("core", "digest").agg(F.sum(F.size("places")).alias("n"), F.min(place).alias("at"))
+    distinct = stage(distinct.select("core", "digest", "n", "at.*"), "distinct-contexts")
     whole = distinct.filter("n > 1").select(
-        "digest", F.array(F.struct(F.lit(0).alias("start"), F.length("context").alias("end"))).alias("covered")
+        "digest", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).alias("covered")
     )
     sizes = distinct.groupBy("core").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("single"))
-    unsure = distinct.join(sizes.filter("m > 1 AND single > 0"), "core")
-    compared = (
-        unsure.filter(F.col("m") <= SORTED)
-        .select("core", "digest", "context", "anchor", "n")
-        .repartition("core")
-        .sortWithinPartitions("core", "digest")
-        .mapInArrow(_sorted_out(length), _COVERED)
-    )
-    exploded = (
-        unsure.filter(F.col("m") > SORTED)
-        .select("digest", "context")
-        .mapInArrow(_windows(length), "digest binary, place int, window binary")
-    )
-    twice = exploded.groupBy("window").agg(F.count("*").alias("c")).filter("c > 1").select("window")
-    counted = (
-        exploded.join(twice, "window")
-        .groupBy("digest")
-        .agg(F.collect_list(F.struct(F.col("place").alias("start"), (F.col("place") + length).alias("end"))).alias("covered"))
-    )
-    covered = whole.unionByName(compared).unionByName(counted)
+    unsure = stage(distinct.join(sizes.filter("m > 1 AND single > 0"), "core"), "unsure-contexts")
+
+    def contexts(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select("_group", "core", "digest", "anchor", "size", "n", "place")
+        return dealt.groupBy("_group").cogroup(wanted.groupBy("_group")).applyInArrow(
+            fetched, "core bigint, digest binary, anchor int, n bigint, context binary"
+        )
+
+    compared = contexts(unsure.filter(F.col("m") <= SORTED)).repartition("core").sortWithinPartitions("core", "digest")
+    covered = whole.unionByName(compared.mapInArrow(_sorted_out(length), _COVERED))
+    large = unsure.filter(F.col("m") > SORTED)
+    if not large.isEmpty():
+        exploded = contexts(large).mapInArrow(_windows(length), "digest binary, place int, window binary")
+        exploded = stage(exploded, "windows")
+        twice = exploded.groupBy("window").agg(F.count("*").alias("c")).filter("c > 1").select("window")
+        span = F.struct(F.col("place").alias("start"), (F.col("place") + length).alias("end"))
+        counted = exploded.join(twice, "window").groupBy("digest").agg(F.collect_list(span).alias("covered"))
+        covered = covered.unionByName(counted)
     located = rows.select("digest", "_group", "places").join(covered, "digest").select("_group", "places", "covered")
     return dealt.groupBy("_group").cogroup(located.groupBy("_group")).applyInArrow(removed, schema)
