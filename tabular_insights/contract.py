@@ -1,7 +1,7 @@
 """The contract queries: every operator over the whole of the given tables.
 
-Each takes ``(spark, sf_dir)``. Grids of the model queries are small so that a check
-stays short; the full grids are in ``tabular_insights.plans.flows``.
+Each takes ``(spark, sf_dir)``. The tree and forest searches run the published grids of
+``tabular_insights.plans.flows``; the perceptron search runs two of its forty points.
 """
 
 from __future__ import annotations
@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import operators as ops
 from .functions import all_present
 from .plans import IncidentSpec, forest_flow, mlp_flow, tree_flow
+from .plans.flows import FOREST_GRID, TREE_GRID
 from .session import new_path, stage
-from .sources import INCIDENT_FIELDS, read_incidents, write_results
+from .sources import INCIDENT_FIELDS, INCIDENT_TIME, read_incidents, write_results
 from .sources import union_years as union_frames
 from .sources.adapter import INCIDENT_COLUMNS, KEY_COLUMNS, incidents, table
 
@@ -24,9 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 REDUCED = ["description", "location_description"]
 CATEGORIES = ["primary_type", *REDUCED]
 MODEL_COLUMNS = [*CATEGORIES, "arrest", "domestic", "ward", "year"]
-FEATURES = ["primary_type_index", "description_index", "location_description_index"] + [
-    "domestic", "ward", "year",
-]
+FEATURES = [f"{c}_index" for c in CATEGORIES] + ["domestic", "ward", "year"]
 TREE_SPEC = IncidentSpec(keys=KEY_COLUMNS)
 FOREST_SPEC = IncidentSpec(keys=KEY_COLUMNS, numbers=())
 
@@ -67,7 +67,8 @@ def csv_roundtrip(spark, sf_dir):
     names = {name: header for header, (name, _) in INCIDENT_FIELDS.items()}
     rows = ops.project(incidents(spark, sf_dir), list(names), names)
     path = new_path(spark, "incidents-csv")
-    write_results(rows.withColumn("file_year", F.col("Year")), path, partition_by=["file_year"])
+    rows = rows.withColumn("file_year", F.col("Year"))
+    write_results(rows, path, partition_by=["file_year"], timestamp_format=INCIDENT_TIME)
     return readable(read_incidents(spark, f"{path}/file_year=*"))
 
 
@@ -130,8 +131,20 @@ def flag_to_int(spark, sf_dir):
 
 @query
 def row_counts(spark, sf_dir):
-    stages = {"all": None, "clean": all_present(INCIDENT_COLUMNS)}
-    return ops.row_counts(incidents(spark, sf_dir), stages)
+    rows = incidents(spark, sf_dir)
+    return ops.row_counts(rows, {"all": None, "clean": all_present(INCIDENT_COLUMNS, rows.schema)})
+
+
+@query
+def row_counts_not_a_number(spark, sf_dir):
+    """Rows counted as present are those that dropping rows with missing values keeps."""
+    value = F.col("value")
+    ratio = F.when(value < 10, F.lit(float("nan"))).when(value < 20, F.lit(None)).otherwise(value)
+    rows = table(spark, sf_dir, "events").select("event_type", ratio.alias("ratio"))
+    present = all_present(["ratio"], rows.schema)
+    counted = ops.row_counts(rows, {"all": None, "present": present})
+    kept_rows = ops.drop_null_rows(rows, ["ratio"]).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.unionByName(kept_rows.select(F.lit("kept").alias("stage"), "rows"))
 
 
 @query
@@ -417,6 +430,58 @@ def tree_flow_results(spark, sf_dir):
     return rounded(one_split_flow(spark, sf_dir).results, ["training_f1", "validation_f1"])
 
 
+@query
+def tree_flow_large_k(spark, sf_dir):
+    """The same run with dictionaries of up to 600 values."""
+    spec = IncidentSpec(keys=KEY_COLUMNS, numbers=(), k=600)
+    grid = ops.param_grid(max_depth=[0, 1], min_instances_per_node=[1])
+    results = tree_flow(incidents(spark, sf_dir), spec, grid, max_bins=600).results
+    return rounded(results, ["training_f1", "validation_f1"])
+
+
+@query
+def keep_top_k_large(spark, sf_dir):
+    """Line items of the 600 most ordered parts and the 60 busiest suppliers."""
+    rows = table(spark, sf_dir, "lineitem").select(*KEY_COLUMNS, "l_partkey", "l_suppkey")
+    return ops.keep_top_k(ops.keep_top_k(rows, ["l_partkey"], 600), ["l_suppkey"], 60)
+
+
+@query
+def forest_scored_counts(spark, sf_dir):
+    """Forests on one feature: every tree is the one-split tree, with a bootstrap or without."""
+    model, data, _ = stump(spark, sf_dir)
+    features = ["primary_type_index"]
+    plain = ops.fit_forest(data, 5, 1, label="arrest", bootstrap=False, weight="rows")
+    rows = ops.flag_to_int(clean(spark, sf_dir), ["arrest"]).select("primary_type", "arrest")
+    single = ops.assemble(ops.index_categories(stage(rows, "clean"), ["primary_type"]), features)
+    drawn = ops.fit_forest(single.repartition(4), 5, 1, label="arrest")
+    counted = [
+        ops.confusion_matrix(ops.score(m, data), "arrest", weight="rows").withColumn("forest", F.lit(name))
+        for name, m in (("plain", plain), ("bootstrap", drawn))
+    ]
+    return counted[0].unionByName(counted[1])
+
+
+@query
+def perceptron_rates(spark, sf_dir):
+    """A perceptron without a hidden layer on one flag has as many weights as the data have
+    rates: its probabilities are the rates."""
+    rows = ops.flag_to_int(clean(spark, sf_dir), ["arrest"])
+    promoted = F.col("primary_type").isin("PROMO", "ECONOMY").cast("int").alias("promoted")
+    rows = stage(rows.select(promoted, "arrest"), "clean")
+    model = ops.fit_mlp(
+        ops.assemble(rows, ["promoted"]).repartition(4), [1, 2], label="arrest", features="features",
+        max_iter=200, tol=1e-9,
+    )
+    rates = rows.groupBy("promoted").agg(F.avg("arrest").alias("rate"), F.count("*").alias("rows"))
+    scored = ops.score(model, ops.assemble(rates, ["promoted"], keep=["promoted", "rate", "rows"]))
+    found = vector_to_array("probability")[1]
+    return scored.select(
+        "promoted", "rows", F.col("prediction").cast("int").alias("prediction"),
+        (F.abs(found - F.col("rate")) < 0.001).alias("is_rate"),
+    )
+
+
 @query
 def tree_flow_report(spark, sf_dir):
     return rounded(one_split_flow(spark, sf_dir).report, METRICS)
@@ -432,8 +497,8 @@ def tree_flow_nodes(spark, sf_dir):
 
 @query
 def tree_grid_search(spark, sf_dir):
-    grid = ops.param_grid(max_depth=[2, 5], min_instances_per_node=[2, 20])
-    return tree_flow(incidents(spark, sf_dir), TREE_SPEC, grid).results
+    """The published grid of 25 trees."""
+    return tree_flow(incidents(spark, sf_dir), TREE_SPEC, TREE_GRID).results
 
 
 @query
@@ -466,8 +531,8 @@ def mlp_report(spark, sf_dir):
 
 @query
 def forest_cross_validate(spark, sf_dir):
-    grid = ops.param_grid(num_trees=[5], max_depth=[3, 5], max_bins=[32])
-    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, grid).results
+    """The published grid of eight forests, three folds each."""
+    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, FOREST_GRID).results
 
 
 @query

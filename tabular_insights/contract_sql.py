@@ -290,6 +290,8 @@ ORACLES: dict[str, str] = {
 FROM incidents""",
     "row_counts": f"{_CLEAN} SELECT 'all' AS stage, count(*) AS rows FROM incidents "
     "UNION ALL SELECT 'clean', count(*) FROM clean",
+    "row_counts_not_a_number": "SELECT 'all' AS stage, count(*) AS rows FROM events UNION ALL "
+    "SELECT s, count(*) FILTER (value >= 20) FROM events, (VALUES ('present'), ('kept')) t(s) GROUP BY s",
     "value_counts_primary_type": f"{_CLEAN} SELECT primary_type AS value, count(*) AS count "
     "FROM clean GROUP BY 1",
     "value_counts_location": f"{_CLEAN} SELECT location_description AS value, count(*) AS count "
@@ -410,5 +412,19 @@ FROM (SELECT i, feature, CASE WHEN i = (SELECT f FROM best WHERE run = 3)
       FROM (VALUES (0, 'primary_type_index'), (1, 'description_index'),
         (2, 'location_description_index'), (3, 'domestic')) AS t(i, feature))""",
 }
+ORACLES |= {
+    "tree_flow_large_k": ORACLES["tree_flow_results"].replace("rank <= 32", "rank <= 600"),
+    "keep_top_k_large": """WITH parts AS (
+  SELECT l_partkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, CAST(l_partkey AS VARCHAR)
+  LIMIT 600
+), some AS (SELECT * FROM lineitem SEMI JOIN parts USING (l_partkey)), suppliers AS (
+  SELECT l_suppkey FROM some GROUP BY 1 ORDER BY count(*) DESC, CAST(l_suppkey AS VARCHAR) LIMIT 60
+) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM some SEMI JOIN suppliers USING (l_suppkey)""",
+    "forest_scored_counts": f"{_CLEAN}{_STUMP} SELECT forest, label, prediction, count(*) AS rows "
+    "FROM scored, (VALUES ('plain'), ('bootstrap')) t(forest) GROUP BY 1, 2, 3",
+    "perceptron_rates": f"""{_CLEAN} SELECT CAST(primary_type IN ('PROMO', 'ECONOMY') AS INTEGER)
+  AS promoted, count(*) AS rows, CAST(avg(arrest) > 0.5 AS INTEGER) AS prediction, true AS is_rate
+FROM clean GROUP BY 1""",
+}
 ORACLES["estimator_chain_metrics"] = ORACLES["stump_metrics"]
 ORACLES["results_roundtrip"] = ORACLES["select_best"]

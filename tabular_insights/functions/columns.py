@@ -10,9 +10,18 @@ from pyspark.sql import Column, functions as F, types as T
 BUCKETS = 1 << 32
 
 
-def all_present(cols: Sequence[str]) -> Column:
-    """True where none of the columns is null."""
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+def all_present(cols: Sequence[str], schema: T.StructType | None = None) -> Column:
+    """True where none of the columns is null, nor NaN where ``schema`` has a float.
+
+    With the schema it is the test by which rows with missing values are dropped.
+    """
+
+    def present(name: str) -> Column:
+        kind = schema[name].dataType if schema is not None else None
+        floating = isinstance(kind, (T.FloatType, T.DoubleType))
+        return F.col(name).isNotNull() & ~F.isnan(name) if floating else F.col(name).isNotNull()
+
+    return reduce(lambda a, b: a & b, map(present, cols))
 
 
 def flag_expr(name: str, dtype: T.DataType) -> Column:

@@ -4,6 +4,7 @@ from .categories import (
     category_labels,
     in_lists,
     index_categories,
+    keep_listed,
     keep_top_k,
     ranked_labels,
     top_k_lists,
@@ -13,7 +14,7 @@ from .clean import drop_null_rows, flag_to_int, project
 from .explain import feature_importances, tree_nodes
 from .features import assemble, build_pipeline, standardize, vector_columns
 from .metrics import classification_metrics, confusion_matrix, metrics_of_matrix
-from .models import check_bins, fit_forest, fit_mlp, fit_tree, score
+from .models import check_bins, fit_forest, fit_mlp, fit_tree, largest_category, score
 from .profile import (
     distinct_counts,
     preview,

@@ -1,7 +1,7 @@
 """Reducing categories to their most frequent values, and numbering them.
 
-Dictionaries of a bounded number of values become literals or a broadcast; beyond
-the bound the same result comes from a join that Spark distributes.
+Rows are reduced by a join with the dictionary, for any number of values; Spark picks
+the kind of join by the size it finds. Literals are there for who asks for them.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..session import shared_folder
 from .profile import row_total, value_counts
 
-MAX_LITERALS = 1_000  # dictionary values that may become literals or a broadcast
 MAX_LABELS = 10_000  # labels per column that a category model may hold
 
 
+class TooManyLabels(ValueError):
+    """A column has more values than a category model may hold."""
+
+
 def _text(df: DataFrame, col: str) -> Column:
     is_text = isinstance(df.schema[col].dataType, T.StringType)
     return F.col(col) if is_text else F.col(col).cast("string")
@@ -59,16 +62,21 @@ def _ranked_counts(df: DataFrame, col: str, weight: str | None) -> DataFrame:
 
 
 def top_k_values(
-    df: DataFrame, cols: str | Sequence[str], k: int = 32, weight: str | None = None
+    df: DataFrame,
+    cols: str | Sequence[str],
+    k: int = 32,
+    weight: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """``(column, value, count, rank)`` of the ``k`` most frequent values of each column.
 
-    Equal counts rank by value. The columns are counted independently. For a small
-    ``k`` one pass serves all columns, and every task passes on at most ``k``
-    candidates per column; for a large one each column is sorted across the cluster.
+    Equal counts rank by value. The columns are counted independently, in one pass, and
+    every task passes on at most ``k`` candidates per column to the task that ranks them.
+    For a ``k`` too large for one task, ``spread`` sorts each column across the cluster
+    instead; it runs a job for each column at once.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    if k <= MAX_LITERALS:
+    if not spread:
         order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("value"))
         counts = _counts_per_column(df, cols, weight)
         return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -84,9 +92,10 @@ def top_k_values(
 def top_k_lists(
     df: DataFrame, cols: Sequence[str], k: int = 32, weight: str | None = None
 ) -> dict[str, list[str]]:
-    """The top values of each column as lists; runs one job, returns ``k`` values per column."""
-    if k * len(cols) > MAX_LITERALS:
-        raise ValueError(f"{k} values of {len(cols)} columns exceed {MAX_LITERALS}; use the join")
+    """The top values of each column as lists; runs one job, returns ``k`` values per column.
+
+    The lists are on the driver, so ``k`` is what bounds them.
+    """
     lists: dict[str, list[str]] = {c: [] for c in cols}
     for row in top_k_values(df, cols, k, weight).orderBy("column", "rank").collect():
         lists[row["column"]].append(row["value"])
@@ -101,16 +110,18 @@ def in_lists(df: DataFrame, lists: dict[str, list[str]]) -> Column:
     return test
 
 
-def _top_k_side(df: DataFrame, col: str, k: int, weight: str | None) -> DataFrame:
-    """The top values of one column as the small side of a join."""
-    top = top_k_values(df, col, k, weight).select(F.col("value").alias("__top"))
-    return F.broadcast(top) if k <= MAX_LITERALS else top
+def _use_literals(how: str) -> bool:
+    if how not in ("literal", "join"):
+        raise ValueError("how must be 'literal' or 'join'")
+    return how == "literal"
 
 
-def _use_literals(how: str, cells: int) -> bool:
-    if how not in ("auto", "literal", "join"):
-        raise ValueError("how must be 'auto', 'literal' or 'join'")
-    return how == "literal" or (how == "auto" and cells <= MAX_LITERALS)
+def keep_listed(df: DataFrame, top: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows whose value is in ``top`` (``column, value``) in every one of ``cols``."""
+    for col in cols:
+        side = top.filter(F.col("column") == col).select(F.col("value").alias("__top"))
+        df = df.join(side, _text(df, col) == F.col("__top"), "left_semi")
+    return df
 
 
 def keep_top_k(
@@ -118,22 +129,17 @@ def keep_top_k(
     cols: Sequence[str],
     k: int = 32,
     weight: str | None = None,
-    how: str = "auto",
+    how: str = "join",
 ) -> DataFrame:
     """Rows whose value is among the ``k`` most frequent in every one of ``cols``.
 
-    All columns are counted on the unfiltered ``df``. ``literal`` runs one job for
-    all dictionaries and leaves a filter that can reach the scan; ``join`` takes any
-    ``k``, broadcasting a dictionary of bounded size and shuffling a larger one.
+    All columns are counted on the unfiltered ``df``. ``join`` is lazy for any ``k``;
+    ``literal`` runs one job for all dictionaries at once and leaves a filter that can
+    reach the scan.
     """
-    if _use_literals(how, k * len(cols)):
+    if _use_literals(how):
         return df.filter(in_lists(df, top_k_lists(df, cols, k, weight)))
-    kept = df
-    for col in cols:
-        kept = kept.join(
-            _top_k_side(df, col, k, weight), _text(df, col) == F.col("__top"), "left_semi"
-        )
-    return kept
+    return keep_listed(df, top_k_values(df, cols, k, weight), cols)
 
 
 def bucket_other(
@@ -142,14 +148,15 @@ def bucket_other(
     k: int = 32,
     other: str = "Other",
     weight: str | None = None,
-    how: str = "auto",
+    how: str = "join",
 ) -> DataFrame:
     """Replace values outside the ``k`` most frequent, and nulls, by ``other``; keeps all rows."""
     value = _text(df, col)
-    if _use_literals(how, k):
+    if _use_literals(how):
         test = in_lists(df, top_k_lists(df, [col], k, weight))
         return df.withColumn(col, F.when(test, value).otherwise(F.lit(other)))
-    joined = df.join(_top_k_side(df, col, k, weight), value == F.col("__top"), "left")
+    top = top_k_values(df, col, k, weight).select(F.col("value").alias("__top"))
+    joined = df.join(top, value == F.col("__top"), "left")
     return joined.withColumn(col, F.coalesce(F.col("__top"), F.lit(other))).drop("__top")
 
 
@@ -167,7 +174,7 @@ def category_labels(
     labels = {c: [r for r in rows if r["column"] == c] for c in cols}
     too_many = [c for c, found in labels.items() if len(found) > max_labels]
     if too_many or len(rows) > limit:
-        raise ValueError(
+        raise TooManyLabels(
             f"more than {max_labels} categories in {too_many or list(cols)}; reduce them with "
             "keep_top_k, or use index_categories(how='join')"
         )
@@ -227,21 +234,29 @@ def index_categories(
     handle_invalid: str = "error",
     fit_on: DataFrame | None = None,
     weight: str | None = None,
-    how: str = "model",
+    how: str = "auto",
+    max_labels: int = MAX_LABELS,
 ) -> DataFrame:
     """Add ``<col>_index`` for each column, numbered on ``fit_on`` (default ``df``).
 
     A null or unknown value is an error, is skipped, or is kept as one more
-    category. ``model`` marks the new columns as categories for tree models;
-    ``join`` takes columns with any number of values.
+    category. ``model`` marks the new columns as categories for tree models, which
+    needs the labels on the driver; ``join`` takes columns with any number of values.
+    ``auto`` is ``model`` unless a column has more than ``max_labels`` values; the
+    numbers are the same either way.
     """
     fit_on = df if fit_on is None else fit_on
     outputs = list(outputs or [f"{c}_index" for c in cols])
-    if how == "model":
-        model = category_indexer(fit_on, cols, outputs, handle_invalid, weight)
-        return model.transform(df)
+    if how not in ("auto", "model", "join"):
+        raise ValueError("how must be 'auto', 'model' or 'join'")
     if how != "join":
-        raise ValueError("how must be 'model' or 'join'")
+        try:
+            model = category_indexer(fit_on, cols, outputs, handle_invalid, weight, max_labels)
+        except TooManyLabels:
+            if how == "model":
+                raise
+        else:
+            return model.transform(df)
     for col, output in zip(cols, outputs, strict=True):
         df = _index_by_join(df, fit_on, col, output, handle_invalid, weight)
     return df

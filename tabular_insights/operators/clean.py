@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import flag_expr
+from ..functions import all_present, flag_expr
 
 
 def project(df: DataFrame, cols: Sequence[str], rename: dict[str, str] | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def drop_null_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
     Columns that later steps do not use still count: drop before narrowing.
     """
-    return df.na.drop("any", subset=list(cols) if cols else None)
+    return df.filter(all_present(list(cols) if cols else df.columns, df.schema))
 
 
 def flag_to_int(df: DataFrame, cols: Sequence[str]) -> DataFrame:

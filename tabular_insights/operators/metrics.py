@@ -18,14 +18,18 @@ def confusion_matrix(
     weight: str | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """``(by..., label, prediction, rows)``."""
+    """``(by..., label, prediction, rows)``; a class that is null or not whole is an error."""
     return df.groupBy(
-        *by,
-        F.col(label).cast("int").alias("label"),
-        F.col(prediction).cast("int").alias("prediction"),
+        *by, _class(label).alias("label"), _class(prediction).alias("prediction")
     ).agg(row_total(weight).alias("rows"))
 
 
+def _class(name: str) -> Column:
+    whole = F.col(name).cast("int")
+    bad = F.raise_error(F.concat(F.lit(f"{name} is not a class: "), F.coalesce(F.col(name).cast("string"), F.lit("null"))))
+    return F.when(whole == F.col(name), whole).otherwise(bad.cast("int"))
+
+
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.ml.base import Model
 from pyspark.ml.classification import (
@@ -22,6 +23,12 @@ def _attributes(df: DataFrame, features: str) -> dict:
     return df.schema[features].metadata.get("ml_attr", {})
 
 
+def largest_category(df: DataFrame, features: str = "features") -> int:
+    """Values of the categorical feature that has most of them; 0 without one."""
+    found = _attributes(df, features).get("attrs", {}).get("nominal", [])
+    return max((a.get("num_vals", len(a.get("vals", []))) for a in found), default=0)
+
+
 def check_bins(df: DataFrame, max_bins: int, features: str = "features") -> None:
     """Fail before any job when a categorical feature has more values than ``max_bins``."""
     for attr in _attributes(df, features).get("attrs", {}).get("nominal", []):
@@ -42,15 +49,22 @@ def fit_tree(
     seed: int = SEED,
     weight: str | None = None,
     weight_total: int | None = None,
+    **settings: Any,
 ) -> DecisionTreeClassificationModel:
     """A gini decision tree.
 
-    With ``weight``, ``df`` is a tally: ``min_instances_per_node`` then counts the
+    ``settings`` are other parameters of Spark's classifier, such as ``maxMemoryInMB``,
+    ``cacheNodeIds`` and ``checkpointInterval`` for deep trees over many rows. With ``weight``, ``df`` is a tally: ``min_instances_per_node`` then counts the
     rows that the tally stands for, by way of the equal minimum weight per node.
     """
     check_bins(df, max_bins, features)
     tree = DecisionTreeClassifier(
-        labelCol=label, featuresCol=features, maxDepth=max_depth, maxBins=max_bins, seed=seed
+        labelCol=label,
+        featuresCol=features,
+        maxDepth=max_depth,
+        maxBins=max_bins,
+        seed=seed,
+        **settings,
     )
     if weight is None:
         return tree.setMinInstancesPerNode(min_instances_per_node).fit(df)
@@ -72,8 +86,9 @@ def fit_forest(
     seed: int = SEED,
     bootstrap: bool = True,
     weight: str | None = None,
+    **settings: Any,
 ) -> RandomForestClassificationModel:
-    """A random forest.
+    """A random forest; ``settings`` are other parameters of Spark's classifier.
 
     The bootstrap draws single rows, so a tally with ``weight`` needs ``bootstrap=False``;
     its trees then differ by their random choice of features only.
@@ -87,6 +102,7 @@ def fit_forest(
         maxBins=max_bins,
         seed=seed,
         bootstrap=bootstrap,
+        **settings,
     )
     if weight is None:
         return forest.fit(df)
@@ -104,11 +120,13 @@ def fit_mlp(
     features: str = "scaled_features",
     seed: int = 1234,
     num_classes: int = 2,
+    **settings: Any,
 ) -> MultilayerPerceptronClassificationModel:
     """A multilayer perceptron trained by L-BFGS.
 
     The first layer must have one unit per feature, the last one at least one per
-    class; more output units than classes are allowed.
+    class; more output units than classes are allowed. ``settings`` are other parameters
+    of Spark's classifier, such as ``tol``, ``solver`` and ``initialWeights``.
     """
     width = _attributes(df, features).get("num_attrs")
     if width is not None and layers[0] != width:
@@ -122,6 +140,7 @@ def fit_mlp(
         blockSize=block_size,
         maxIter=max_iter,
         seed=seed,
+        **settings,
     ).fit(df)
 
 

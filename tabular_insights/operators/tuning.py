@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
+from threading import Lock
 from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .metrics import classification_metrics
 from .models import score
@@ -40,40 +42,66 @@ def param_grid(**axes: Sequence[Any]) -> list[dict[str, Any]]:
     return [dict(zip(axes, values, strict=True)) for values in product(*axes.values())]
 
 
-def _field_type(value: Any) -> T.DataType:
-    if isinstance(value, (list, tuple)):
-        return T.ArrayType(T.IntegerType())
-    return T.DoubleType() if isinstance(value, float) else T.IntegerType()
+def _field_type(name: str, values: list[Any]) -> T.DataType:
+    """The type that holds every value of an axis."""
+    kinds = {type(v) for v in values if v is not None}
+    if kinds <= {list, tuple}:
+        return T.ArrayType(_field_type(name, [x for v in values for x in v]))
+    if kinds <= {bool}:
+        return T.BooleanType()
+    if kinds <= {int}:
+        return T.IntegerType() if all(abs(v) < 2**31 for v in values if v is not None) else T.LongType()
+    if kinds <= {int, float}:
+        return T.DoubleType()
+    if kinds <= {str}:
+        return T.StringType()
+    raise ValueError(f"the values of {name} have no common type: {sorted(k.__name__ for k in kinds)}")
+
+
+def _grid_fields(grid: list[dict[str, Any]]) -> list[T.StructField]:
+    """Fields of the parameters; lists also as text. Fails before anything is fitted."""
+    fields = []
+    for name in grid[0]:
+        kind = _field_type(name, [point[name] for point in grid])
+        fields.append(T.StructField(name, kind))
+        if isinstance(kind, T.ArrayType):
+            fields.append(T.StructField(f"{name}_label", T.StringType()))
+    return fields
 
 
 def _result_frame(
     spark: SparkSession, grid: list[dict[str, Any]], scores: list[tuple], names: Sequence[str]
 ) -> DataFrame:
-    """``(grid_index, <parameters>, <scores>)`` with a fixed schema; lists also as text."""
-    fields, rows = [T.StructField("grid_index", T.IntegerType())], []
-    for name, value in grid[0].items():
-        fields.append(T.StructField(name, _field_type(value)))
-        if isinstance(value, (list, tuple)):
-            fields.append(T.StructField(f"{name}_label", T.StringType()))
-    fields += [T.StructField(name, T.DoubleType()) for name in names]
+    """``(grid_index, <parameters>, <scores>)`` with a fixed schema."""
+    fields = _grid_fields(grid)
+    kinds = {f.name: f.dataType for f in fields}
+    rows = []
     for index, (point, values) in enumerate(zip(grid, scores, strict=True)):
         cells: list[Any] = [index]
-        for value in point.values():
-            cells.append(value)
-            if isinstance(value, (list, tuple)):
+        for name, value in point.items():
+            cells.append(float(value) if isinstance(kinds[name], T.DoubleType) else value)
+            if isinstance(kinds[name], T.ArrayType):
                 cells.append(str(list(value)))
         rows.append((*cells, *values))
-    return spark.createDataFrame(rows, T.StructType(fields))
+    index = T.StructField("grid_index", T.IntegerType())
+    scored = [T.StructField(name, T.DoubleType()) for name in names]
+    return spark.createDataFrame(rows, T.StructType([index, *fields, *scored]))
+
+
+def best_index(scores: Sequence[float]) -> int:
+    """Place of the highest score, the first of equals; NaN never wins over a number."""
+    return max(range(len(scores)), key=lambda i: (-math.inf if math.isnan(scores[i]) else scores[i], -i))
 
 
 def select_best(results: DataFrame, metric: str, order: str = "grid_index") -> DataFrame:
     """Add ``is_best``: true for the highest ``metric``, the lowest ``order`` among equals.
 
-    Meant for result tables, which have one row per grid point. NaN never wins.
+    ``order`` tells the rows apart. NaN never wins. The winner is one partial maximum
+    per task, so a table of any size may be marked.
     """
-    value = F.nanvl(F.col(metric), F.lit(float("-inf")))
-    place = F.row_number().over(Window.orderBy(value.desc_nulls_last(), F.asc(order)))
-    return results.withColumn("is_best", place == 1)
+    value = F.coalesce(F.nanvl(F.col(metric), F.lit(-math.inf)), F.lit(-math.inf))
+    best = results.agg(F.min_by(order, F.struct(-value, F.col(order))))
+    return results.withColumn("is_best", F.col(order) == best.scalar())
 
 
 def grid_search(
@@ -91,33 +119,42 @@ def grid_search(
 
     ``scored`` holds the ``train`` and ``validation`` splits, as rows or as a tally
     with ``weight``; one grouped count gives both metrics of a point. Both inputs
-    stay persisted during the search. Points run ``parallelism`` at a time.
+    stay persisted during the search. Points run ``parallelism`` at a time; of their
+    models only the best one so far is kept.
     """
     spark = train.sparkSession
+    _grid_fields(grid)
+    lock, leader = Lock(), {}
     scored = scored.filter(F.col(split_col).isin("train", "validation"))
     train, scored = train.persist(), scored.persist()
 
-    def run(point: dict[str, Any]) -> tuple[Model, float, float]:
-        model = fit(train, **point)
+    def run(place: int) -> tuple[float, float]:
+        model = fit(train, **grid[place])
         found = classification_metrics(
             score(model, scored), label, weight=weight, by=[split_col]
         ).collect()
         values = {row[split_col]: row[metric] for row in found}
         if len(values) < 2:
             raise ValueError(f"train and validation need rows, found {sorted(values)}")
-        return model, values["train"], values["validation"]
-
+        with lock:
+            held = leader.get("place")
+            seen[place] = values["validation"]
+            best = best_index([seen.get(i, math.nan) for i in range(len(grid))])
+            if held is None or best == place:
+                leader.update(place=place, model=model)
+        return values["train"], values["validation"]
+
+    seen: dict[int, float] = {}
     try:
         with ThreadPoolExecutor(max(1, min(parallelism, len(grid)))) as pool:
-            outcomes = list(pool.map(inheritable_thread_target(spark)(run), grid))
+            outcomes = list(pool.map(inheritable_thread_target(spark)(run), range(len(grid))))
     finally:
         train.unpersist()
         scored.unpersist()
     names = [f"training_{metric}", f"validation_{metric}"]
-    results = _result_frame(spark, grid, [o[1:] for o in outcomes], names)
-    best = max(range(len(grid)), key=lambda i: (outcomes[i][2], -i))
+    results = _result_frame(spark, grid, outcomes, names)
     marked = select_best(results, names[1]).orderBy("grid_index")
-    return Search(marked, outcomes[best][0], grid[best])
+    return Search(marked, leader["model"], grid[best_index([o[1] for o in outcomes])])
 
 
 def cross_validate(
@@ -139,6 +176,7 @@ def cross_validate(
     the mean and the standard deviation of ``metric`` over the folds. For a tally, give
     ``weight`` here and to the estimator.
     """
+    _grid_fields(grid)
     evaluator = MulticlassClassificationEvaluator(
         labelCol=label, predictionCol="prediction", metricName=EVALUATOR_METRICS[metric]
     )
@@ -162,7 +200,7 @@ def cross_validate(
     names = [f"avg_{metric}", f"std_{metric}"]
     scores = [(float(a), float(s)) for a, s in zip(model.avgMetrics, model.stdMetrics, strict=True)]
     results = select_best(_result_frame(data.sparkSession, grid, scores, names), names[0])
-    best = max(range(len(grid)), key=lambda i: (scores[i][0], -i))
+    best = best_index([s[0] for s in scores])
     return Search(results.orderBy("grid_index"), model.bestModel, grid[best])
 
 

@@ -1,9 +1,10 @@
 """The three complete runs: hold-out tree grid, hold-out perceptron grid, forest by folds.
 
-Each run reads its input once. Dictionaries, category numbers, tree training and the
-hold-out scores come from a tally of the model columns, staged in the shared folder.
-The perceptron and the forest train on single rows, so their runs first stage the model
-columns of every clean row, one folder per split, and tally those.
+Each run reads its input twice: the first pass, over the reduced columns only, counts
+their values; the second keeps the rows with frequent values before anything is shuffled.
+Category numbers, tree training and the hold-out scores come from a tally of what is
+kept, staged in the shared folder. The perceptron and the forest train on single rows, so
+their runs first stage the kept rows, one folder per split, and tally those.
 """
 
 from __future__ import annotations
@@ -33,15 +34,17 @@ from ..operators import (
     flag_to_int,
     grid_search,
     hash_split,
-    in_lists,
+    keep_listed,
+    largest_category,
     param_grid,
     spread_tally,
     tally,
-    top_k_lists,
+    top_k_values,
     tree_nodes,
 )
 from ..operators.models import SEED
-from ..session import enough_tasks, stage
+from ..operators.categories import MAX_LABELS
+from ..session import stage
 
 IS_TRAIN = "split = 'train'"
 
@@ -63,7 +66,12 @@ class IncidentSpec:
 
     ``fit_on`` is ``"all"`` to number categories (and scale) over all rows before
     the split, or ``"train"`` to use training rows only and keep unseen values as
-    one more category.
+    one more category; limits on bins are then raised to the largest category, as the
+    additional one would exceed the published limits.
+
+    ``train_partitions`` deals the training rows: draws of a bootstrap and samples for
+    thresholds hang on partitions, so a fixed number gives the same model on any cluster
+    that reads the same staged files. ``tally_parts`` bounds the weight of one tally row.
     """
 
     keys: Sequence[str]
@@ -79,6 +87,9 @@ class IncidentSpec:
     k: int = 32
     seed: int = 17
     fit_on: str = "all"
+    train_partitions: int = 16
+    tally_parts: int = 100_000
+    max_labels: int = MAX_LABELS
 
     @property
     def index_columns(self) -> list[str]:
@@ -112,7 +123,7 @@ class _Prepared:
 def _prepare(
     df: DataFrame, spec: IncidentSpec, single_rows: bool = False, folds: int = 0
 ) -> _Prepared:
-    """Clean, split, count, reduce, number and assemble; one pass over ``df``."""
+    """Clean, count, reduce, split, number and assemble."""
     if spec.fit_on not in ("all", "train"):
         raise ValueError("fit_on must be 'all' or 'train'")
     columns = [spec.label, *spec.categories, *spec.flags, *spec.numbers]
@@ -121,19 +132,18 @@ def _prepare(
     extra = ["fold"] if folds else []
     if folds:
         clean = add_folds(clean, spec.keys, folds, seed=spec.seed)
-    rows = clean.select("split", *extra, *columns)
+    top = stage(top_k_values(clean, spec.reduced, spec.k), "top")
+    rows = keep_listed(clean, top, spec.reduced).select("split", *extra, *columns)
     if single_rows:
-        rows = stage(rows, "rows", ["split"], rebalance=True)
-    counted = stage(tally(rows, ["split", *extra, *columns]), "tally", ["split"])
-
-    lists = top_k_lists(counted, spec.reduced, spec.k, weight="rows")
-    kept = counted.filter(in_lists(counted, lists))
+        rows = stage(rows, "rows", ["split"])
+    kept = stage(tally(rows, ["split", *extra, *columns]), "tally", ["split"])
     on_train = spec.fit_on == "train"
     indexer = category_indexer(
         kept.filter(IS_TRAIN) if on_train else kept,
         spec.categories,
         handle_invalid="keep" if on_train else "error",
         weight="rows",
+        max_labels=spec.max_labels,
     )
 
     def ready(data: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -142,10 +152,14 @@ def _prepare(
     return _Prepared(
         indexer,
         ready(kept, ["rows", *extra]),
-        ready(rows.filter(in_lists(rows, lists)), extra) if single_rows else None,
+        ready(rows, extra) if single_rows else None,
     )
 
 
+def _bins(data: _Prepared, spec: IncidentSpec, asked: int) -> int:
+    return max(asked, largest_category(data.tally)) if spec.fit_on == "train" else asked
+
+
 def tree_flow(
     df: DataFrame,
     spec: IncidentSpec,
@@ -156,8 +170,10 @@ def tree_flow(
 ) -> Flow:
     """Tree grid by validation f1, nodes of the best tree, and its metrics on the test split."""
     data = _prepare(df, spec)
-    train = enough_tasks(spread_tally(data.tally.filter(IS_TRAIN)))
-    total = train.agg(F.sum("rows").alias("n")).first()["n"]
+    light = spread_tally(data.tally.filter(IS_TRAIN), parts=spec.tally_parts)
+    train = light.repartition(spec.train_partitions)
+    max_bins = _bins(data, spec, max_bins)
+    total = data.tally.filter(IS_TRAIN).agg(F.sum("rows").alias("n")).first()["n"]
     fit = partial(
         fit_tree, label=spec.label, max_bins=max_bins, seed=seed, weight="rows", weight_total=total
     )
@@ -191,7 +207,8 @@ def mlp_flow(
     scaler = StandardScaler(
         inputCol="features", outputCol="scaled_features", withMean=True, withStd=True
     ).fit(train if spec.fit_on == "train" else data.rows)
-    train = enough_tasks(scaler.transform(train).select("scaled_features", spec.label))
+    train = scaler.transform(train).select("scaled_features", spec.label)
+    train = train.repartition(spec.train_partitions)
     scored = scaler.transform(data.tally)
     fit = partial(fit_mlp, label=spec.label, max_iter=max_iter, seed=seed)
     found = grid_search(
@@ -224,8 +241,11 @@ def forest_flow(
     """
     spark = df.sparkSession
     data = _prepare(df, spec, single_rows=bootstrap, folds=folds)
+    if spec.fit_on == "train":
+        grid = [{**p, "max_bins": _bins(data, spec, p.get("max_bins", 32))} for p in grid]
     check_bins(data.tally, min(point.get("max_bins", 32) for point in grid))
-    train = enough_tasks((data.rows if bootstrap else data.tally).filter(IS_TRAIN))
+    train = (data.rows if bootstrap else data.tally).filter(IS_TRAIN)
+    train = train.repartition(spec.train_partitions)
     forest = RandomForestClassifier(
         labelCol=spec.label, featuresCol="features", seed=seed, bootstrap=bootstrap
     )

@@ -11,7 +11,9 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+SALTS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,11 +43,13 @@ def gather(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Keeps a scan of very many tasks from writing one small file per task and folder.
     Adaptive execution cuts a large folder into tasks of the session's advisory size;
-    without it a folder would be one task, so nothing is gathered.
+    without it the rows of a folder are dealt to ``SALTS`` tasks.
     """
     spark = df.sparkSession
-    if not columns or spark.conf.get("spark.sql.adaptive.enabled") != "true":
+    if not columns:
         return df
+    if spark.conf.get("spark.sql.adaptive.enabled") != "true":
+        return df.repartition(*columns, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     names = ", ".join(f"`{c}`" for c in columns)
     return spark.sql(f"SELECT /*+ REBALANCE({names}) */ * FROM {{df}}", df=df)
 
@@ -62,14 +66,3 @@ def stage(
     out = gather(df, partition_by) if rebalance else df
     out.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
-
-
-def enough_tasks(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
-    """Spread a small staged frame over more tasks, up to the cores of the session.
-
-    A frame with enough partitions, as every large one has, stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    found = df.rdd.getNumPartitions()
-    wanted = cores if found >= cores else min(cores, -(-df.count() // rows_per_task))
-    return df if found >= wanted else df.repartition(wanted)

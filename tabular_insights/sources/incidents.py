@@ -24,19 +24,24 @@ INCIDENT_FIELDS: dict[str, tuple[str, T.DataType]] = {
 }
 
 
+# Fixed value: how an incident file writes its dates.
+INCIDENT_TIME = "MM/dd/yyyy hh:mm:ss a"
+
+
 def read_incidents(
     spark: SparkSession,
     paths: str | Sequence[str],
     fields: dict[str, tuple[str, T.DataType]] | None = None,
-    timestamp_format: str = "MM/dd/yyyy hh:mm:ss a",
-    mode: str = "FAILFAST",
+    timestamp_format: str = INCIDENT_TIME,
+    mode: str = "PERMISSIVE",
     infer: bool = False,
 ) -> DataFrame:
     """All files as one frame with the wanted columns, typed and renamed.
 
     Types are given, so nothing but the header line of the first file is read up
     front. Columns outside ``fields`` may be present anywhere in the files; they
-    are not parsed. Every file's header is checked against the first one's, so a
+    are not parsed. A cell that does not fit its type is null, and its row goes where
+    rows with nulls are dropped; ``mode="FAILFAST"`` stops at such a cell instead. Every file's header is checked against the first one's, so a
     year with other column positions fails instead of shifting values. With ``infer``
     the types in ``fields`` are ignored and found by one more pass over all files.
     """

@@ -15,14 +15,15 @@ def write_results(
     fmt: str = "csv",
     mode: str = "overwrite",
     partition_by: Sequence[str] = (),
-    timestamp_format: str = "MM/dd/yyyy hh:mm:ss a",
+    timestamp_format: str = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 ) -> None:
     """Write ``df`` to the folder ``path``; every task writes its own part.
 
     With ``partition_by`` the rows are first gathered by folder.
 
     CSV parts carry a header. Arrays, which CSV cannot hold, are written as text
-    such as ``[6, 12, 12, 10]``.
+    such as ``[6, 12, 12, 10]``. Timestamps keep their microseconds unless another
+    ``timestamp_format`` is given.
     """
     writer = df
     if fmt == "csv":

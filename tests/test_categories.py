@@ -6,7 +6,6 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from tabular_insights import operators as ops
-from tabular_insights.operators.categories import _top_k_side
 
 
 def frame(spark, *values):
@@ -67,10 +66,27 @@ def test_literal_other_among_the_top(spark):
     assert bucketed.filter(ops.in_lists(bucketed, first)).count() == 4
 
 
-def test_too_many_literals_are_refused(spark):
-    with pytest.raises(ValueError, match="join"):
-        ops.top_k_lists(frame(spark, "a"), ["v"], 5000)
-    assert ops.keep_top_k(frame(spark, "a", "b"), ["v"], 5000).count() == 2
+def test_any_k_without_a_job(spark):
+    """Building the operators starts no job, whatever ``k`` is."""
+    df = frame(spark, *[f"v{i % 700}" for i in range(2000)])
+    tracker, group = spark.sparkContext.statusTracker(), "any-k"
+    spark.sparkContext.setJobGroup(group, group)
+    built = [
+        made
+        for k in (32, 5000)
+        for made in (ops.keep_top_k(df, ["v"], k), ops.bucket_other(df, "v", k), ops.top_k_values(df, "v", k))
+    ]
+    assert list(tracker.getJobIdsForGroup(group)) == []
+    assert [b.count() for b in built] == [96, 2000, 32, 2000, 2000, 700]
+    assert len(ops.top_k_lists(df, ["v"], 5000)["v"]) == 700
+
+
+def test_many_labels_go_by_join(spark):
+    df = frame(spark, *[f"v{i}" for i in range(30)], "v7")
+    many = ops.index_categories(df, ["v"], max_labels=10)
+    assert rows(many) == rows(ops.index_categories(df, ["v"], how="model"))
+    with pytest.raises(ValueError, match="more than 10"):
+        ops.index_categories(df, ["v"], how="model", max_labels=10)
 
 
 def test_index_order_and_ties(spark):
@@ -135,14 +151,15 @@ def test_weighted_labels(spark):
 
 
 def test_large_k_without_a_single_task(spark, conf):
-    """Beyond the bound of a broadcast: the same ranks from a sort across the cluster."""
+    """The same ranks from a sort across the cluster as from one task."""
     conf(spark__sql__adaptive__coalescePartitions__enabled="false")
     df = spark.range(9000).select((F.pow("id", 2) % 2503).cast("int").cast("string").alias("v"))
     df = df.union(spark.range(300).select(F.lit(None).cast("string"))).repartition(8)
     counts = rows(df.groupBy("v").count())
     ordered = sorted(counts, key=lambda r: (-r[1], r[0] is None, r[0] or ""))
-    found = ops.top_k_values(df, "v", 1100)
+    found = ops.top_k_values(df, "v", 1100, spread=True)
     assert found.schema == ops.top_k_values(df, "v", 10).schema
+    assert rows(found) == rows(ops.top_k_values(df, "v", 1100))
     got = [tuple(r)[1:] for r in found.orderBy("rank").collect()]
     assert got == [(v, n, i) for i, (v, n) in enumerate(ordered[:1100], 1)]
     top = {v for v, _ in ordered[:1100]} - {None}
@@ -151,8 +168,3 @@ def test_large_k_without_a_single_task(spark, conf):
     other = ops.bucket_other(df, "v", 1100)
     assert other.count() == 9300
     assert other.filter("v = 'Other'").count() == sum(n for v, n in counts if v not in top)
-    hinted = [
-        _top_k_side(df, "v", k, None)._jdf.queryExecution().analyzed().toString().split("\n")[0]
-        for k in (10, 1100)
-    ]
-    assert ["broadcast" in line for line in hinted] == [True, False]

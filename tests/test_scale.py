@@ -36,7 +36,7 @@ def test_scans_are_pruned(spark):
 
 
 def test_literal_dictionaries_reach_the_scan(spark):
-    df = ops.keep_top_k(incidents(spark, SF_DIR), ["description"], 3)
+    df = ops.keep_top_k(incidents(spark, SF_DIR), ["description"], 3, how="literal")
     text = plan(df)
     assert "PushedFilters: [In(p_name, [" in text
 
@@ -126,11 +126,3 @@ def test_hot_combination_counts_once_per_task(spark):
     )
     top = ops.top_k_values(df, "v", 1).first()
     assert (top["value"], top["count"]) == ("hot", 33334)
-
-
-def test_enough_tasks(spark):
-    small = session.stage(spark.range(100_000).coalesce(1), "t")
-    assert session.enough_tasks(small, 20_000).rdd.getNumPartitions() == 5
-    assert session.enough_tasks(small, 10**6) is small
-    wide = spark.range(0, 100, 1, 16)
-    assert session.enough_tasks(wide) is wide

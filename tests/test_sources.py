@@ -47,11 +47,11 @@ def test_missing_column_is_refused(spark, tmp_path):
         read_incidents(spark, path)
 
 
-def test_malformed_value_fails_unless_allowed(spark, tmp_path):
+def test_malformed_value_is_null_unless_refused(spark, tmp_path):
     path = year_file(tmp_path, 2019, [1, "x9"])
     with pytest.raises((PySparkException, Py4JJavaError)):
-        read_incidents(spark, path).collect()
-    assert rows(read_incidents(spark, path, mode="PERMISSIVE").select("ward")) == [(1,), (None,)]
+        read_incidents(spark, path, mode="FAILFAST").collect()
+    assert rows(read_incidents(spark, path).select("ward")) == [(1,), (None,)]
 
 
 def test_scan_parses_only_wanted_columns(spark, tmp_path):

@@ -8,6 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from tabular_insights import operators as ops
+from tabular_insights.operators.tuning import _result_frame, best_index
 from tabular_insights.plans import IncidentSpec, flows, forest_flow, mlp_flow, tree_flow
 from tabular_insights.sources.adapter import KEY_COLUMNS, incidents
 
@@ -108,6 +109,9 @@ def test_tree_flow(spark):
 
 def test_flows_fitted_on_training_rows(spark):
     """Unseen categories of other splits are kept as one more category."""
+    full = IncidentSpec(keys=KEY_COLUMNS, fit_on="train")  # a 33rd category, published limits
+    grid = ops.param_grid(max_depth=[2], min_instances_per_node=[1])
+    assert tree_flow(incidents(spark, SF_DIR), full, grid).report.first()["f1"] > 0.8
     spec = IncidentSpec(keys=KEY_COLUMNS, fit_on="train", k=3)
     grid = ops.param_grid(max_depth=[2], min_instances_per_node=[1])
     assert tree_flow(incidents(spark, SF_DIR), spec, grid, max_bins=33).report.first()["f1"] > 0.8
@@ -149,6 +153,21 @@ def test_cross_validation_of_a_tally(spark, vectors):
         assert one == pytest.approx(two, abs=1e-12)
 
 
+def test_grid_values_of_any_type(spark):
+    grid = [{"impurity": "gini", "rate": 1, "flag": True}, {"impurity": "entropy", "rate": 0.5, "flag": False}]
+    frame = _result_frame(spark, grid, [(0.1,), (0.2,)], ["f1"])
+    assert [tuple(r)[1:4] for r in frame.collect()] == [("gini", 1.0, True), ("entropy", 0.5, False)]
+    with pytest.raises(ValueError, match="common type"):
+        _result_frame(spark, [{"a": 1}, {"a": "x"}], [(0.1,), (0.2,)], ["f1"])
+
+
+def test_nan_never_wins(spark):
+    nan = float("nan")
+    assert best_index([nan, 0.5, 0.5]) == 1 and best_index([nan, nan]) == 0
+    marked = ops.select_best(_result_frame(spark, [{"a": i} for i in range(3)], [(nan,), (0.5,), (0.5,)], ["f1"]), "f1")
+    assert [r["grid_index"] for r in marked.filter("is_best").collect()] == [1]
+
+
 def test_forest_flow(spark):
     spec = IncidentSpec(keys=KEY_COLUMNS, numbers=())
     grid = ops.param_grid(num_trees=[3], max_depth=[2, 4], max_bins=[32])
