@@ -31,10 +31,10 @@ from tabular_insights.llm.common import find_package, slices
 
 #: Entries of the caches of encoded words and pieces in each Python worker; a cache is
 #: emptied beyond that. Words and pieces beyond ``LONG`` are not kept.
-CACHE = 250_000
+CACHE = 60_000
 LONG = 64
 #: Rows that are encoded or decoded and handed on at a time.
-ROWS = 1_000
+ROWS = 250
 #: The pattern of the tokenizer file, and the byte alphabet of byte-level
 #: vocabularies (printable bytes stand for themselves, the others follow from 256 on).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
