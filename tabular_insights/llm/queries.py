@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabular_insights.llm import bpe, counts, fingerprint, jaccard, langid, lm, mixing, quality, substrings, suffix
+from tabular_insights.llm import bpe, counts, fingerprint, jaccard, langid, lm, mixing, oracles, quality, substrings, suffix
 from tabular_insights.llm.common import WORD, documents
 from tabular_insights.session import stage
 
@@ -112,4 +112,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_quality_rules": oracles.QUALITY,
+    "op4_lm_scores": oracles.LM,
+    "op5_ngram_jaccard_join": oracles.JACCARD,
+    "op10_substring_dedup": oracles.SUBSTRINGS,
+}
