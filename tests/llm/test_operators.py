@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.compute  # noqa: F401
 import pytest
 import texts as plain
 from pyspark.sql import functions as F
@@ -76,24 +77,24 @@ def test_token_counts_equal_library(docs, empty):
     assert counts.count_tokens(empty, PIECES).count() == 0
 
 
-def test_token_counts_over_several_blocks(docs, monkeypatch):
-    whole = plain.table(counts.count_tokens(docs, PIECES), "doc_id", "n_tokens")
-    rows = [(i, t) for i, t in enumerate(t or "" for _, t in DOCS)]
+def test_token_counts_over_several_blocks():
+    rows = list(enumerate(t or "" for _, t in DOCS))
     batch = counts.pa.RecordBatch.from_arrays(
         [counts.pa.array([r[0] for r in rows], counts.pa.int64()), counts.pa.array([r[1] for r in rows])], ["row", "body"]
     )
-    monkeypatch.setattr(counts, "BLOCK_TOKENS", 5)
-    monkeypatch.setattr(counts, "HELD", 3)
-    posted = list(counts._postings(iter([batch])))
-    assert len(posted) > 5
-    joined = []
-    for p in posted:
-        pieces = counts.pa.array(counts.count_pieces(PIECES, p.column("pre_token").to_pylist()))
-        joined.append(counts.pa.RecordBatch.from_arrays([*p.columns, pieces], [*p.schema.names, "n_pieces"]))
-    totals = Counter()
-    for out in counts._sums(iter(joined)):
-        totals.update(dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist())))
-    assert Counter((DOCS[i][0], totals[i]) for i in range(len(DOCS))) == whole
+    expected = Counter({i: sum(counts.count_pieces(PIECES, counts.pre_tokens(t))) for i, t in rows})
+    for limit in (1, 40_000):
+        counts.BLOCK_TOKENS, before = limit, counts.BLOCK_TOKENS
+        table = counts.pa.Table.from_batches(counts._postings(3)(iter([batch])))
+        counts.BLOCK_TOKENS = before
+        totals = Counter()
+        for bucket in range(3):
+            mine = table.filter(counts.pa.compute.equal(table.column("bucket"), bucket))
+            answers = counts._joined(PIECES)(mine)
+            for row in range(answers.num_rows):
+                out = counts._summed(answers.slice(row, 1))
+                totals.update(dict(zip(out.column("row").to_pylist(), out.column("n").to_pylist())))
+        assert +totals == +expected
 
 
 def test_base_measures(docs, empty):
