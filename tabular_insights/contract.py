@@ -465,13 +465,14 @@ def forest_scored_counts(spark, sf_dir):
 @query
 def perceptron_rates(spark, sf_dir):
     """A perceptron without a hidden layer on one flag has as many weights as the data have
-    rates: its probabilities are the rates."""
+    rates: its probabilities are the rates. Blocks of one row, because a gradient is averaged
+    over blocks, and a last block that is not full would weigh too much."""
     rows = ops.flag_to_int(clean(spark, sf_dir), ["arrest"])
     promoted = F.col("primary_type").isin("PROMO", "ECONOMY").cast("int").alias("promoted")
     rows = stage(rows.select(promoted, "arrest"), "clean")
     model = ops.fit_mlp(
         ops.assemble(rows, ["promoted"]).repartition(4), [1, 2], label="arrest", features="features",
-        max_iter=200, tol=1e-9,
+        block_size=1, max_iter=200, tol=1e-9,
     )
     rates = rows.groupBy("promoted").agg(F.avg("arrest").alias("rate"), F.count("*").alias("rows"))
     scored = ops.score(model, ops.assemble(rates, ["promoted"], keep=["promoted", "rate", "rows"]))

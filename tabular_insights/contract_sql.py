@@ -417,9 +417,9 @@ ORACLES |= {
     "keep_top_k_large": """WITH parts AS (
   SELECT l_partkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, CAST(l_partkey AS VARCHAR)
   LIMIT 600
-), some AS (SELECT * FROM lineitem SEMI JOIN parts USING (l_partkey)), suppliers AS (
-  SELECT l_suppkey FROM some GROUP BY 1 ORDER BY count(*) DESC, CAST(l_suppkey AS VARCHAR) LIMIT 60
-) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM some SEMI JOIN suppliers USING (l_suppkey)""",
+), chosen AS (SELECT * FROM lineitem SEMI JOIN parts USING (l_partkey)), suppliers AS (
+  SELECT l_suppkey FROM chosen GROUP BY 1 ORDER BY count(*) DESC, CAST(l_suppkey AS VARCHAR) LIMIT 60
+) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM chosen SEMI JOIN suppliers USING (l_suppkey)""",
     "forest_scored_counts": f"{_CLEAN}{_STUMP} SELECT forest, label, prediction, count(*) AS rows "
     "FROM scored, (VALUES ('plain'), ('bootstrap')) t(forest) GROUP BY 1, 2, 3",
     "perceptron_rates": f"""{_CLEAN} SELECT CAST(primary_type IN ('PROMO', 'ECONOMY') AS INTEGER)
