@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -31,7 +32,7 @@ from tabular_insights.llm.common import find_package, slices
 
 #: Entries of the caches of encoded words and pieces in each Python worker; a cache is
 #: emptied beyond that. Words and pieces beyond ``LONG`` are not kept.
-CACHE = 60_000
+WORDS, PIECES = 250_000, 250_000
 LONG = 64
 #: Rows that are encoded or decoded and handed on at a time.
 ROWS = 250
@@ -132,13 +133,14 @@ class Codec:
         last = list(fragments[-1])
         last[-1] += self.suffix
         merged = [self.merge(list(f)) for f in fragments[:-1]] + [self.merge(last)]
-        return np.array([self.vocabulary[t] for tokens in merged for t in tokens], "<u4").tobytes()
+        ids = [self.vocabulary[t] for tokens in merged for t in tokens]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_word(self, word: str) -> bytes:
         ids, known = [], self.known_pieces
         for part in self.split_special.split(word) if self.split_special and "<|" in word else (word,):
             if part in self.special:
-                ids.append(np.array([self.special[part]], "<u4").tobytes())
+                ids.append(struct.pack("<I", self.special[part]))
                 continue
             for piece in self.pieces(part):
                 found = known.get(piece)
@@ -161,8 +163,8 @@ class Codec:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        for cache in (known, self.known_pieces):
-            if len(cache) > CACHE:
+        for cache, most in ((known, WORDS), (self.known_pieces, PIECES)):
+            if len(cache) > most:
                 cache.clear()
         out = []
         for word in words:
