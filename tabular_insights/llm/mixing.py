@@ -12,7 +12,8 @@ of cells and every broadcast have a fixed bound, and no document is left out.
 Defined cases: a null source, language or topic is the value ``(none)``; a null or empty
 text has no tokens, weighs nothing and is drawn with its cell; a target value that no
 document has is dropped and the others scaled up; values without a target share what the
-targets leave (nothing if they leave nothing: then they are never drawn); a cell without
+targets leave, and where they leave nothing the values without a target keep their share
+of the tokens and the targets are scaled to the others; a cell without
 tokens has probability 0 unless everything is wanted; repeated rows are drawn together; a
 null id is drawn as one id; an empty table gives an empty table; columns named as an added
 one are replaced.
@@ -27,6 +28,8 @@ from tabular_insights.llm.common import WORD
 from tabular_insights.session import stage
 
 MAX_VALUES, SWEEPS, ROUNDS, TOLERANCE = 128, 5, 20, 1e-6
+#: Targets that leave less than this of 1 leave nothing.
+LEAST_LEFT = 1e-9
 NONE, REST = "(none)", "(rest)"
 
 
@@ -75,10 +78,15 @@ def _targets(cells: DataFrame, column: str, wanted: dict[str, float] | float) ->
     seen = cells.groupBy(column).agg(F.sum("tokens").alias("t")).filter("t > 0")
     if isinstance(wanted, dict):
         named = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col(column)]
-        left = max(0.0, 1.0 - sum(wanted.values()))
+        left = 1.0 - sum(wanted.values())
         others = Window.partitionBy(F.lit(0))
-        free = F.sum(F.when(named.isNull(), F.col("t"))).over(others)
-        raw = F.coalesce(named, F.lit(left) * F.col("t") / free)
+        free = F.coalesce(F.sum(F.when(named.isNull(), F.col("t"))).over(others), F.lit(0))
+        if left > LEAST_LEFT:
+            raw = F.coalesce(named, F.lit(left) * F.col("t") / free)
+        else:
+            whole = F.sum("t").over(others)
+            scale = F.when(F.sum(named).over(others) > 0, (whole - free) / whole / F.sum(named).over(others)).otherwise(0.0)
+            raw = F.coalesce(named * scale, F.col("t") / whole)
     else:
         raw = F.pow("t", F.lit(float(wanted)))
     return seen.withColumn("raw", raw).select(

@@ -12,8 +12,9 @@ import pytest
 import texts as plain
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabular_insights.llm import (
-    bpe, common, counts, fingerprint, jaccard, langid, lm, mixing, quality, substrings, suffix,
+    bpe, common, counts, fingerprint, jaccard, langid, lm, mixing, quality, queries, substrings, suffix,
 )
 
 BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -381,6 +382,17 @@ def test_mixture_of_awkward_rows(docs, empty, monkeypatch):
     assert pooled.count() == len(DOCS) and cells.count() <= 8
 
 
+@pytest.mark.parametrize("lang", [corpus_pipeline.TARGETS["lang"], queries.MIXTURE["lang"]])
+def test_values_without_a_target_are_drawn(spark, lang):
+    rows = [(i, plain.LINE, v) for i, v in enumerate([*lang, None, "it"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixed, _ = mixing.mix(df, {"lang": lang}, 0.25, {"lang": F.col("lang")}, mixing.token_count())
+    got = {r.lang: r.probability for r in mixed.collect()}
+    assert sum(got.values()) / 6 == pytest.approx(0.25)
+    assert got[None] == got["it"] == pytest.approx(0.25)
+    assert all(got[v] == pytest.approx(share * got["en"] / lang["en"]) for v, share in lang.items())
+
+
 def test_draws_follow_probabilities(spark):
     df = spark.range(20_000).withColumn("u", mixing.draw_number("id", 7))
     assert df.filter("u < 0.3").count() == pytest.approx(6000, rel=0.05)
