@@ -5,9 +5,10 @@ the targets, then documents are drawn with one probability per cell, calibrated
 the expected number of drawn tokens is the wanted share of all tokens.
 
 Everything is DataFrame functions. The documents are read for the cells (partial sums per
-task) and once for the draw; raking works on the table of cells only. Of each dimension
-the ``MAX_VALUES`` heaviest values stay apart and all others share one value, so the table
-of cells and every broadcast have a fixed bound, and no document is left out.
+task) and once for the draw; raking works on the table of cells only. Every value of a
+dimension has its own target and its own cells, however many there are: Spark chooses the
+kind of the joins with targets and documents. Only the table of cells that is returned for
+a report pools the values beyond the ``MAX_VALUES`` heaviest.
 
 Defined cases: a null source, language or topic is the value ``(none)``; a null or empty
 text has no tokens, weighs nothing and is drawn with its cell; a target value that no
@@ -28,6 +29,8 @@ from tabular_insights.llm.common import WORD
 from tabular_insights.session import stage
 
 MAX_VALUES, SWEEPS, ROUNDS, TOLERANCE = 128, 5, 20, 1e-6
+#: Cells that one task rakes alone.
+TASK_CELLS = 1 << 17
 #: Targets that leave less than this of 1 leave nothing.
 LEAST_LEFT = 1e-9
 NONE, REST = "(none)", "(rest)"
@@ -50,24 +53,21 @@ def form_topic(text: str = "text") -> Column:
     )
 
 
-def _pooled(df: DataFrame, names: list[str], tokens: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Cells of at most ``MAX_VALUES + 1`` values per dimension, and the values kept apart."""
-    fine = stage(df.groupBy(*names).agg(F.sum(tokens).alias("tokens")), "fine-cells")
-    kept = {}
-    for name in names:
-        heaviest = fine.groupBy(name).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), name).limit(MAX_VALUES)
-        kept[name] = stage(heaviest.select(name), "values")
-    cells = with_cells(fine, kept).groupBy(*[f"cell_{n}" for n in names]).agg(F.sum("tokens").alias("tokens"))
-    return cells, kept
-
-
-def with_cells(df: DataFrame, kept: dict[str, DataFrame]) -> DataFrame:
-    """``df`` with ``cell_<name>`` for each dimension; the kept values are bounded in number."""
-    for name, values in kept.items():
-        known = F.broadcast(values.select(F.col(name).alias("_value")))
-        df = df.join(known, F.col(name) == F.col("_value"), "left")
-        df = df.withColumn(f"cell_{name}", F.coalesce("_value", F.lit(REST))).drop("_value")
-    return df
+def pooled(cells: DataFrame) -> DataFrame:
+    """``cells`` for a report: of each dimension the ``MAX_VALUES`` heaviest values stay
+    apart and all others are one row's ``(rest)``. Nothing is drawn by it."""
+    columns = [c for c in cells.columns if c.startswith("cell_")]
+    for name in columns:
+        heaviest = cells.groupBy(name).agg(F.sum("tokens").alias("_t")).orderBy(F.desc("_t"), name).limit(MAX_VALUES)
+        known = heaviest.select(F.col(name).alias("_value"))
+        cells = cells.join(known, F.col(name) == F.col("_value"), "left")
+        cells = cells.withColumn(name, F.coalesce("_value", F.lit(REST))).drop("_value")
+    drawn = F.sum(F.col("tokens") * F.col("probability"))
+    return cells.groupBy(*columns).agg(
+        F.sum("tokens").alias("tokens"),
+        F.sum("weight").alias("weight"),
+        F.when(F.sum("tokens") > 0, drawn / F.sum("tokens")).otherwise(F.max("probability")).alias("probability"),
+    )
 
 
 def _targets(cells: DataFrame, column: str, wanted: dict[str, float] | float) -> DataFrame:
@@ -78,36 +78,39 @@ def _targets(cells: DataFrame, column: str, wanted: dict[str, float] | float) ->
     seen = cells.groupBy(column).agg(F.sum("tokens").alias("t")).filter("t > 0")
     if isinstance(wanted, dict):
         named = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col(column)]
+        whole, free, claimed = seen.agg(F.sum("t"), F.sum(F.when(named.isNull(), F.col("t"))), F.sum(named)).first()
         left = 1.0 - sum(wanted.values())
-        others = Window.partitionBy(F.lit(0))
-        free = F.coalesce(F.sum(F.when(named.isNull(), F.col("t"))).over(others), F.lit(0))
         if left > LEAST_LEFT:
-            raw = F.coalesce(named, F.lit(left) * F.col("t") / free)
+            raw = F.coalesce(named, F.lit(left) * F.col("t") / F.lit(free or 1))
         else:
-            whole = F.sum("t").over(others)
-            scale = F.when(F.sum(named).over(others) > 0, (whole - free) / whole / F.sum(named).over(others)).otherwise(0.0)
-            raw = F.coalesce(named * scale, F.col("t") / whole)
+            scale = (whole - (free or 0)) / whole / claimed if claimed else 0.0
+            raw = F.coalesce(named * F.lit(scale), F.col("t") / F.lit(whole or 1))
     else:
         raw = F.pow("t", F.lit(float(wanted)))
-    return seen.withColumn("raw", raw).select(
-        column, (F.col("raw") / F.sum("raw").over(Window.partitionBy(F.lit(0)))).alias("target")
-    )
+    total = seen.agg(F.sum(raw)).first()[0]
+    return seen.select(column, (raw / F.lit(total or 1.0)).alias("target"))
+
+
+def _arranged(cells: DataFrame, n_cells: int) -> DataFrame:
+    """One partition for a table of few cells, where windows over its marginals need no
+    shuffle; a larger one is dealt by the values of each marginal in turn."""
+    return cells.coalesce(1) if n_cells <= TASK_CELLS else cells
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float]) -> DataFrame:
-    """``cells`` (a bounded table with ``tokens``) with the raked share ``weight``.
+    """``cells`` (a written table with ``tokens``) with the raked share ``weight``.
 
-    The table is one partition, where windows over its marginals need no shuffle. After
-    every few sweeps it is written down, and the largest deviation of a marginal decides
-    whether to go on.
+    After every few sweeps the table is written down, and the largest deviation of a
+    marginal decides whether to go on.
     """
+    n_cells, whole = cells.agg(F.count("*"), F.sum("tokens")).first()
     for column, wanted in targets.items():
-        goal = F.broadcast(_targets(cells, column, wanted).withColumnRenamed("target", f"target_{column}"))
+        goal = _targets(cells, column, wanted).withColumnRenamed("target", f"target_{column}")
         cells = cells.join(goal, column, "left").fillna(0.0, [f"target_{column}"])
-    whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    cells = stage(cells.coalesce(1).withColumn("weight", F.coalesce(F.col("tokens") / whole, F.lit(0.0))), "cells")
+    weight = F.col("tokens") / F.lit(whole or 1) if whole else F.lit(0.0)
+    cells = stage(_arranged(cells.withColumn("weight", weight), n_cells), "cells")
     for _ in range(ROUNDS):
-        cells = cells.coalesce(1)
+        cells = _arranged(cells, n_cells)
         for _ in range(SWEEPS):
             for column in targets:
                 marginal = F.sum("weight").over(Window.partitionBy(column))
@@ -115,7 +118,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float]) -> Data
                     "weight", F.when(marginal > 0, F.col("weight") * F.col(f"target_{column}") / marginal).otherwise(0.0)
                 )
         cells = stage(cells, "cells")
-        gaps = cells.coalesce(1).select(
+        gaps = _arranged(cells, n_cells).select(
             *[F.abs(F.sum("weight").over(Window.partitionBy(c)) - F.col(f"target_{c}")).alias(c) for c in targets]
         )
         gap = gaps.agg(F.max(F.greatest(*gaps.columns) if len(gaps.columns) > 1 else F.col(gaps.columns[0]))).first()[0]
@@ -126,20 +129,29 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float]) -> Data
 
 def calibrate(cells: DataFrame, share: float) -> DataFrame:
     """``cells`` with ``probability``: proportional to weight per token, at most 1, with an
-    expected number of drawn tokens of ``share`` of all tokens (as far as weights reach)."""
+    expected number of drawn tokens of ``share`` of all tokens (as far as weights reach).
+
+    The scale of the probabilities grows until no further cell reaches 1; each step is one
+    sum over the cells.
+    """
     if share >= 1:
         return cells.withColumn("probability", F.lit(1.0))
-    everything = Window.partitionBy(F.lit(0))
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    ranked = cells.coalesce(1).withColumn("ratio", ratio)
-    before = everything.orderBy(F.desc("ratio"), *[c for c in cells.columns if c.startswith("cell_")])
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.lit(share) * F.sum("tokens").over(everything) - F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    rest = F.lit(1.0) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    ranked = ranked.withColumn("scale", F.when(rest > 1e-12, budget / rest))
-    scale = F.max(F.when(F.col("scale") * F.col("ratio") <= 1, F.col("scale"))).over(everything)
-    probability = F.least(F.lit(1.0), F.coalesce(scale * F.col("ratio"), F.when(F.col("ratio") > 0, 1.0).otherwise(0.0)))
-    return ranked.withColumn("probability", probability).drop("ratio", "scale")
+    weighed = F.col("weight") > 0
+    scale, n_full = 0.0, 0
+    while True:
+        full = weighed & (ratio * F.lit(scale) >= 1)
+        tokens, spent, rest, count = cells.agg(
+            F.sum("tokens"), F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(weighed & ~full, F.col("weight"))), F.count(F.when(full, 1))
+        ).first()
+        if scale and count == n_full:
+            break
+        if not rest:
+            scale = float("inf")
+            break
+        scale, n_full = (share * tokens - (spent or 0)) / rest, count
+    probability = F.when(weighed & (F.col("tokens") > 0), F.least(F.lit(1.0), ratio * F.lit(scale))).otherwise(0.0)
+    return cells.withColumn("probability", probability)
 
 
 def draw_number(id_col: str, seed: int) -> Column:
@@ -156,18 +168,16 @@ def mix(
     id_col: str = "doc_id",
     seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
-    """``df`` with ``probability`` and ``drawn``, and the table of cells.
+    """``df`` with ``probability`` and ``drawn``, and the :func:`pooled` table of cells.
 
     ``dimensions`` gives the expression of each dimension that ``targets`` names.
     """
-    names = list(dimensions)
-    keyed = {f"_{n}": F.coalesce(e.cast("string"), F.lit(NONE)) for n, e in dimensions.items()}
-    kept_names = [f"_{n}" for n in names]
-    cells, kept = _pooled(df.select(*[e.alias(k) for k, e in keyed.items()], tokens.alias("_tokens")), kept_names, "_tokens")
-    raked = rake(cells, {f"cell__{n}": targets[n] for n in names})
+    keyed = {f"cell__{n}": F.coalesce(e.cast("string"), F.lit(NONE)) for n, e in dimensions.items()}
+    columns = list(keyed)
+    counted = df.select(*[e.alias(k) for k, e in keyed.items()], tokens.alias("tokens"))
+    raked = rake(stage(counted.groupBy(*columns).agg(F.sum("tokens").alias("tokens")), "cells"), {f"cell__{n}": targets[n] for n in dimensions})
     cells = stage(calibrate(raked, share), "probabilities")
-    columns = [f"cell__{n}" for n in names]
-    joined = with_cells(df.drop("probability", "drawn").withColumns(keyed), kept)
-    table = F.broadcast(cells.select(*columns, "probability"))
-    out = joined.join(table, columns, "left").withColumn("drawn", draw_number(id_col, seed) < F.col("probability"))
-    return out.drop(*columns, *kept_names), cells
+    joined = df.drop("probability", "drawn").withColumns(keyed)
+    out = joined.join(cells.select(*columns, "probability"), columns, "left")
+    out = out.withColumn("drawn", draw_number(id_col, seed) < F.col("probability"))
+    return out.drop(*columns), pooled(cells)

@@ -393,6 +393,23 @@ def test_values_without_a_target_are_drawn(spark, lang):
     assert all(got[v] == pytest.approx(share * got["en"] / lang["en"]) for v, share in lang.items())
 
 
+@pytest.mark.parametrize("task_cells", [mixing.TASK_CELLS, 10])
+def test_every_value_has_its_own_target(spark, monkeypatch, task_cells):
+    monkeypatch.setattr(mixing, "TASK_CELLS", task_cells)
+    sizes = {f"s{i}": i + 1 for i in range(300)}
+    df = spark.createDataFrame([(n, s, None if n % 2 else "en") for s, n in sizes.items()], "doc_id long, source string, lang string")
+    dimensions, tokens = {n: F.col(n) for n in ("source", "lang")}, F.col("doc_id")
+    mixed, cells = mixing.mix(df, {"source": 0.5, "lang": 1.0}, 0.02, dimensions, tokens)
+    roots = raked({(s, n % 2): n for s, n in sizes.items()}, [{s: n**0.5 for s, n in sizes.items()}, [sum(n for n in sizes.values() if n % 2 == k) for k in (0, 1)]])
+    for r in mixed.collect():
+        weight = roots[r.source, r.doc_id % 2] / sum(roots.values())
+        assert r.probability * r.doc_id == pytest.approx(0.02 * sum(sizes.values()) * weight, rel=1e-4)
+    assert cells.count() <= 2 * (mixing.MAX_VALUES + 1)
+    named, _ = mixing.mix(df, {"source": {"s0": 0.0005}, "lang": 1.0}, 0.02, dimensions, tokens)
+    got = {r.source: r.probability for r in named.collect()}
+    assert got["s0"] == pytest.approx(0.02 * sum(sizes.values()) * 0.0005, rel=1e-3)
+
+
 def test_draws_follow_probabilities(spark):
     df = spark.range(20_000).withColumn("u", mixing.draw_number("id", 7))
     assert df.filter("u < 0.3").count() == pytest.approx(6000, rel=0.05)
