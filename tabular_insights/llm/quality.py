@@ -9,6 +9,7 @@ certified where that value is at most ``error`` divided by the number of all tes
 that all rules together stay within the allowance. Of the certified cutoffs of a rule the
 one that rejects the most labelled bad documents is taken, the loosest of equals. A rule
 without a certified cutoff that rejects a bad document is not used in the stratum.
+:func:`keep_good` spends the error better, see :func:`certify_in_sequence`.
 
 Everything is DataFrame functions. Measures of a document need no shuffle; the counts per
 stratum combine in each task; the table of cutoffs has at most ``max_strata + 1`` rows,
@@ -146,8 +147,16 @@ def certify(
     """One row for each stratum of ``labelled`` (stratum, quality, measured counts): its
     cutoff for every rule, null where the rule is not used."""
     values = measures()
+    tests = {(rule, cutoff): values[rule] > cutoff for rule, grid in rules.items() for cutoff in grid}
+    level = error / (n_strata * len(tests))
+    chosen = _certified(labelled.filter(~base_failed()), tests, allowance / len(rules), level)
+    return chosen.groupBy("stratum").pivot("rule", list(rules)).agg(F.first("cutoff"))
+
+
+def _certified(passed: DataFrame, tests: dict[tuple[str, int], Column], risk: float, level: float) -> DataFrame:
+    """Rows ``(stratum, rule, cutoff, caught)``: of the tests of each rule that are certified
+    and reject a bad document the one that rejects most, the largest cutoff of equals."""
     good, bad = F.col("quality") == 1, F.col("quality") == 0
-    passed = labelled.filter(~base_failed())
     tested = passed.groupBy("stratum").agg(
         F.count(F.when(good, 1)).alias("n"),
         F.array(
@@ -155,21 +164,47 @@ def certify(
                 F.struct(
                     F.lit(rule).alias("rule"),
                     F.lit(cutoff).alias("cutoff"),
-                    F.count(F.when(good & (values[rule] > cutoff), 1)).alias("k"),
-                    F.count(F.when(bad & (values[rule] > cutoff), 1)).alias("caught"),
+                    F.count(F.when(good & hit, 1)).alias("k"),
+                    F.count(F.when(bad & hit, 1)).alias("caught"),
                 )
-                for rule, grid in rules.items()
-                for cutoff in grid
+                for (rule, cutoff), hit in tests.items()
             ]
         ).alias("tests"),
     )
-    tests = tested.select("stratum", "n", F.inline("tests"))
-    level = error / (n_strata * sum(map(len, rules.values())))
-    sure = tests.filter("caught > 0").filter(
-        binomial_tail(F.col("n"), F.col("k"), allowance / len(rules)) <= level
-    )
-    chosen = sure.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("caught", "cutoff")).alias("cutoff"))
-    return chosen.groupBy("stratum").pivot("rule", list(rules)).agg(F.first("cutoff"))
+    sure = tested.select("stratum", "n", F.inline("tests")).filter("caught > 0")
+    sure = sure.filter(binomial_tail(F.col("n"), F.col("k"), risk) <= level)
+    best = F.max(F.struct("caught", "cutoff")).alias("best")
+    return sure.groupBy("stratum", "rule").agg(best).select("stratum", "rule", "best.cutoff", "best.caught")
+
+
+def certify_in_sequence(
+    labelled: DataFrame, rules: dict[str, list[int]] = RULES, allowance: float = ALLOWANCE, error: float = ERROR
+) -> DataFrame:
+    """As :func:`certify`, with the error shared by the strata that have good labels only.
+
+    Cutoffs are tested loosest first until one fails, which needs no division by their
+    number; as a tighter cutoff rejects no fewer documents, the tests before a certified one
+    are certified as well. Half of a stratum's error tests each rule by itself, at the
+    allowance divided by the rules. The other half tests all rules at once, tightened
+    together, at the whole allowance, which a few hundred good labels can meet. All these
+    statements hold together, so the set of cutoffs that rejects more bad documents is taken.
+    """
+    passed = stage(labelled.filter(~base_failed()), "labelled")
+    present = passed.filter("quality = 1").agg(F.count_distinct("stratum")).first()[0] or 1
+    values, level = measures(), error / (2 * present)
+    alone = {(rule, cutoff): values[rule] > cutoff for rule, grid in rules.items() for cutoff in grid}
+    chosen = _certified(passed, alone, allowance / len(rules), level / len(rules))
+    each = stage(chosen.groupBy("stratum").pivot("rule", list(rules)).agg(F.first("cutoff")), "cutoffs")
+    caught = F.count(F.when((F.col("quality") == 0) & ~F.col("kept"), 1))
+    each = each.join(judge(passed, each, rules).groupBy("stratum").agg(caught.alias("_each")), "stratum")
+    steps = range(max(map(len, rules.values())))
+    at = {rule: [grid[min(step, len(grid) - 1)] for step in steps] for rule, grid in rules.items()}
+    together = {("all", -step): any_of(values[rule] > at[rule][step] for rule in rules) for step in steps}
+    joint = _certified(passed, together, allowance, level).select("stratum", F.col("cutoff").alias("_step"), F.col("caught").alias("_joint"))
+    both = each.join(joint, "stratum", "full")
+    better = F.coalesce(F.col("_joint") > F.coalesce("_each", F.lit(0)), F.lit(False))
+    cutoff = {rule: F.get(F.array(*map(F.lit, grid)), -F.col("_step")) for rule, grid in at.items()}
+    return both.select("stratum", *[F.when(better, cutoff[rule]).otherwise(F.col(rule)).alias(rule) for rule in rules])
 
 
 def judge(df: DataFrame, cutoffs: DataFrame, rules: dict[str, list[int]] = RULES) -> DataFrame:
@@ -186,13 +221,17 @@ def judge(df: DataFrame, cutoffs: DataFrame, rules: dict[str, list[int]] = RULES
     ).drop(*[f"_{r}" for r in rules])
 
 
-def learn(measured: DataFrame, labels: DataFrame, id_col: str, language: str, max_strata: int = MAX_STRATA):
-    """Strata and cutoffs from measured documents and ``labels`` (id, quality)."""
+def learn(
+    measured: DataFrame, labels: DataFrame, id_col: str, language: str, max_strata: int = MAX_STRATA, sequence: bool = False
+):
+    """Strata and cutoffs from measured documents and ``labels`` (id, quality), those of
+    :func:`certify_in_sequence` where ``sequence`` is set."""
     label = labels.select(F.col(id_col).alias("_id"), F.col("quality"))
     counted = measured.select(F.col(id_col).alias("_id"), language, *_COUNTS)
     labelled = counted.join(label, "_id").drop("_id")
     names = strata(labelled, language, max_strata)
-    return names, certify(with_stratum(labelled, names, language), n_strata=max_strata + 1)
+    labelled = with_stratum(labelled, names, language)
+    return names, certify_in_sequence(labelled) if sequence else certify(labelled, n_strata=max_strata + 1)
 
 
 def keep_good(
@@ -204,7 +243,7 @@ def keep_good(
     down, and once more to apply them, so they are neither shuffled nor copied.
     """
     measured = stage(measure(df.select(id_col, lang_col, text_col), text_col).drop(text_col), "measured")
-    names, cutoffs = learn(measured, labels, id_col, lang_col)
+    names, cutoffs = learn(measured, labels, id_col, lang_col, sequence=True)
     judged = judge(with_stratum(measure(df, text_col), stage(names, "strata"), lang_col), stage(cutoffs, "cutoffs"))
     # one test that needs the cutoffs: a part of it on the counts alone would be pushed
     # below the measuring, with every expression in it computed anew

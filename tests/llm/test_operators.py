@@ -144,6 +144,13 @@ def test_cutoffs_are_certified_only_with_enough_evidence(spark):
     assert quality.keep_good(few, labels).count() == few.count()
 
 
+def test_a_few_hundred_good_labels_certify(spark):
+    df, labels = labelled(spark, 400)
+    kept = quality.keep_good(df, labels)
+    assert kept.filter("n_symbols > 0 AND lang = 'en'").count() == 0
+    assert kept.filter("n_symbols = 0").count() == 405
+
+
 def test_quality_without_labels_and_rows(docs, empty):
     none = docs.sparkSession.createDataFrame([], "doc_id long, quality int")
     kept = quality.keep_good(docs, none).select(*[c for c in docs.columns if c != "n_words"])
