@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from tabular_insights.llm import quality
 
 _WORDS = r"""WITH words AS (
@@ -72,6 +74,38 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(group_id, doc_id
        CAST(coalesce(copies - 1, 0) + coalesce(docs, 0) AS BIGINT) AS n_links, coalesce(texts, 0) AS n_similar_texts
 FROM shingled LEFT JOIN classes USING (s) LEFT JOIN groups ON class_id = node LEFT JOIN totals ON class_id = a"""
 
+_ORDERS = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+
+INTERACTIONS = rf"""{_WORDS}, flags AS (
+  SELECT doc_id, coalesce(lang, '') AS part,
+         ['A'[1:CAST(len(w) < 100 AS INTEGER)], 'B'[1:CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INTEGER)],
+          'C'[1:CAST(100 * length(regexp_replace(words.text, '[^A-Z]+', '', 'g')) > 10 * length(words.text) AS INTEGER)],
+          'D'[1:CAST(regexp_matches(words.text, '[#$%&*|]') AS INTEGER)],
+          'E'[1:CAST(doc_id > min(doc_id) OVER (PARTITION BY words.text) AS INTEGER)]] AS failed
+  FROM words JOIN documents d USING (doc_id)
+), judged AS (
+  SELECT part, list_filter(failed, lambda x: x <> '') AS failed, coalesce(quality = 1, false) AS good,
+         coalesce(toxic = 1, false) AS toxic
+  FROM flags LEFT JOIN labels USING (doc_id)
+), counted AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM judged GROUP BY part, failed
+), steps AS (
+  SELECT counted.*, filter_order, step, filter_order[step] AS letter,
+         list_has_any(failed, string_split(filter_order[1:step - 1], '')) AS earlier, list_contains(failed, filter_order[step]) AS fails
+  FROM counted, (VALUES {_ORDERS}) o(filter_order), (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) s
+), report AS (
+  SELECT part, filter_order, step, letter,
+         CAST(coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (fails AND NOT earlier), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (fails AND earlier), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (failed = [letter]), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (fails AND NOT earlier), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0) AS BIGINT) AS toxic_lost
+  FROM steps GROUP BY ALL
+)
+SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM report"""
+
 _GRID = ", ".join(f"('{rule}', {cutoff})" for rule, grid in quality.RULES.items() for cutoff in grid)
 _RISK = quality.ALLOWANCE / len(quality.RULES)
 _LEVEL = quality.ERROR / ((quality.MAX_STRATA + 1) * sum(map(len, quality.RULES.values())))

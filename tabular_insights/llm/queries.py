@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabular_insights.llm import bpe, counts, fingerprint, jaccard, langid, lm, mixing, oracles, quality, substrings, suffix
+from tabular_insights.llm import audit, bpe, counts, fingerprint, jaccard, langid, lm, mixing, oracles, quality, substrings, suffix
 from tabular_insights.llm.common import WORD, documents
 from tabular_insights.session import stage
 
@@ -99,6 +99,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_quality_rules": op2_quality_rules,
@@ -110,6 +114,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
     "op8_token_counts": op8_token_counts,
+    "op11_filter_interactions": op11_filter_interactions,
 }
 
 ORACLES = {
@@ -117,4 +122,5 @@ ORACLES = {
     "op4_lm_scores": oracles.LM,
     "op5_ngram_jaccard_join": oracles.JACCARD,
     "op10_substring_dedup": oracles.SUBSTRINGS,
+    "op11_filter_interactions": oracles.INTERACTIONS,
 }
