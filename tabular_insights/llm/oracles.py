@@ -74,6 +74,31 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(group_id, doc_id
        CAST(coalesce(copies - 1, 0) + coalesce(docs, 0) AS BIGINT) AS n_links, coalesce(texts, 0) AS n_similar_texts
 FROM shingled LEFT JOIN classes USING (s) LEFT JOIN groups ON class_id = node LEFT JOIN totals ON class_id = a"""
 
+NEAR_DUPLICATES = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2),
+           lambda i: array_to_string(w[i:i + 3], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END AS s
+  FROM words
+), classes AS (
+  SELECT s, min(doc_id) AS class_id, len(s) AS n FROM shingled WHERE s IS NOT NULL GROUP BY s
+), members AS (
+  SELECT class_id, n, unnest(s) AS shingle FROM classes
+), links AS (
+  SELECT a.class_id AS a, b.class_id AS b
+  FROM members a JOIN members b ON a.shingle = b.shingle AND a.class_id <> b.class_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach(node, other) AS (
+  SELECT class_id, class_id FROM classes UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+), lowest AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT doc_id, CAST(coalesce(len(s), 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       doc_id = coalesce(component_id, doc_id) AS kept
+FROM shingled LEFT JOIN classes USING (s) LEFT JOIN lowest ON class_id = node"""
+
 _ORDERS = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
 
 INTERACTIONS = rf"""{_WORDS}, flags AS (

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabular_insights.llm import audit, bpe, counts, fingerprint, jaccard, langid, lm, mixing, oracles, quality, substrings, suffix, variants
+from tabular_insights.llm import audit, bpe, counts, fingerprint, hyperminhash, jaccard, langid, lm, mixing, oracles, quality, substrings, suffix, variants
 from tabular_insights.llm.common import WORD, documents
 from tabular_insights.session import stage
 
@@ -103,6 +103,10 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(documents(spark, sf_dir))
 
@@ -119,6 +123,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op8_token_counts": op8_token_counts,
     "op11_filter_interactions": op11_filter_interactions,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -128,4 +133,5 @@ ORACLES = {
     "op5_ngram_jaccard_join": oracles.JACCARD,
     "op10_substring_dedup": oracles.SUBSTRINGS,
     "op11_filter_interactions": oracles.INTERACTIONS,
+    "op12_minhash_near_dedup": oracles.NEAR_DUPLICATES,
 }
