@@ -50,7 +50,9 @@ TOLERANCE = 1e-6
 #: Fixed value: share of registers of unlike minima that agree, times 2**MANTISSA, as published.
 CHANCE = 0.169919487159739093975315012348630288992889
 #: Members and shingles of a block, pairs estimated at a time.
-BLOCK, BLOCK_SHINGLES, PAIRS = 512, 1 << 22, 1 << 18
+BLOCK, BLOCK_SHINGLES, PAIRS = 512, 1 << 22, 1 << 17
+#: What identifies two blocks that are compared.
+KEYS = ["group", "one", "other"]
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
@@ -160,59 +162,86 @@ def _dealt(groups: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(side: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members to compare, some at a time."""
-    inner, a, b = (np.flatnonzero(side == s) for s in (2, 0, 1))
-    for some, others, within in ((inner, inner, True), (a, b, False)):
-        step = max(1, PAIRS // max(1, len(others)))
-        for at in range(0, len(some), step):
-            left, right = (x.ravel() for x in np.meshgrid(some[at : at + step], others, indexing="ij"))
-            chosen = part[left] != part[right]
-            if within:
-                chosen &= left < right
-            yield left[chosen], right[chosen]
+def _runs(starts: np.ndarray, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows in the same run, some at a time."""
+    ends = np.append(starts[1:], total)
+    after = np.repeat(ends, ends - starts) - 1 - np.arange(total)
+    reached = np.cumsum(after)
+    at = 0
+    while at < total:
+        stop = max(at + 1, int(np.searchsorted(reached, (reached[at - 1] if at else 0) + PAIRS)))
+        left = np.repeat(np.arange(at, stop), after[at:stop])
+        begin = np.cumsum(after[at:stop]) - after[at:stop]
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(begin, after[at:stop])
+        at = stop
 
 
-def _connected(percent: int, exact: bool):
-    """Links of two blocks as rows ``(src, dst)``: each member with the smallest it is connected to."""
+def _connected(table: pa.Table, percent: int) -> pa.Table:
+    """Links within some pairs of blocks, whose rows follow one another, as rows ``(src, dst)``:
+    each member with the smallest it is connected to. Verified where there are shingles."""
     least = least_estimates(percent)
-
-    def connected(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
-        size = table.column("n").to_numpy()
-        registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()] if exact else None
-        above = list(range(len(node)))
-
-        def top(i: int) -> int:
-            while above[i] != i:
-                above[i] = i = above[above[i]]
-            return i
-
-        for left, right in _pairs(table.column("side").to_numpy(), part):
-            found, filled = estimate(registers[left], registers[right], size[left], size[right])
-            near = found >= least[filled]
-            for a, b in zip(left[near].tolist(), right[near].tolist()):
-                low, high = sorted((top(a), top(b)))
-                if low == high:
+    node, part, side, size = (table.column(c).to_numpy() for c in ("node", "part", "side", "n"))
+    registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    exact = "shingles" in table.column_names
+    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()] if exact else []
+    keys = np.stack([table.column(c).to_numpy() for c in KEYS], axis=1)
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    above = list(range(len(node)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    for left, right in _runs(starts, len(node)):
+        meet = (part[left] != part[right]) & ((side[left] != side[right]) | (side[left] == 2))
+        left, right = left[meet], right[meet]
+        found, filled = estimate(registers[left], registers[right], size[left], size[right])
+        near = found >= least[filled]
+        for a, b in zip(left[near].tolist(), right[near].tolist()):
+            low, high = sorted((top(a), top(b)))
+            if low == high:
+                continue
+            if exact:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both < percent * (len(sets[a]) + len(sets[b]) - both):
                     continue
-                if exact:
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if 100 * both < percent * (len(sets[a]) + len(sets[b]) - both):
-                        continue
-                above[high] = low
-        tops = np.array([top(i) for i in range(len(node))], np.int64)
-        moved = np.flatnonzero(tops != np.arange(len(node)))
-        return pa.table({"src": pa.array(node[moved], pa.int64()), "dst": pa.array(node[tops[moved]], pa.int64())})
-
-    return connected
+            above[high] = low
+    tops = np.array([top(i) for i in range(len(node))], np.int64)
+    moved = np.flatnonzero(tops != np.arange(len(node)))
+    return pa.table({"src": pa.array(node[moved], pa.int64()), "dst": pa.array(node[tops[moved]], pa.int64())})
+
+
+def _in_turn(percent: int):
+    """:func:`_connected` over rows that come sorted by pairs of blocks, many small pairs at once."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            last = np.ones(table.num_rows, bool)
+            for c in KEYS:
+                values = table.column(c).to_numpy()
+                last &= values == values[-1] if len(values) else True
+            done = table.num_rows - int(last.sum())
+            if done:
+                yield from _connected(table.slice(0, done), percent).to_batches()
+                held = table.slice(done).to_batches()
+        if held:
+            yield from _connected(pa.Table.from_batches(held), percent).to_batches()
+
+    return compared
 
 
 def _links(groups: DataFrame, attributes: DataFrame, percent: int, exact: bool) -> DataFrame:
     wanted = ["node", "n", "sketch", *(["shingles"] if exact else [])]
     dealt = _dealt(groups).join(attributes.select(*wanted), "node")
-    return dealt.groupBy("group", "one", "other").applyInArrow(_connected(percent, exact), "src long, dst long")
+    if exact:
+        dealt = dealt.groupBy(*KEYS)
+        return dealt.applyInArrow(lambda table: _connected(table.sort_by("node"), percent), "src long, dst long")
+    dealt = dealt.repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
+    return dealt.mapInArrow(_in_turn(percent), "src long, dst long")
 
 
 def _parted(groups: DataFrame, clusters: DataFrame) -> DataFrame:
