@@ -2,9 +2,9 @@
 
 1. Texts become shards: bounded runs of documents, each with the list of its words and a
    matrix in CSR form whose columns are places in that list.
-2. The distinct words of all shards are numbered, which is the global dictionary. Each shard
-   joins its words (one row per shard and word, however often it holds the word) with the
-   dictionary, and its columns become numbers of the dictionary.
+2. The distinct words of all shards are numbered, which is the global dictionary: a word has
+   the number of its first row among those of shard and word, of which there is one however
+   often the shard holds the word. The columns of each shard become numbers of the dictionary.
 3. The row sums of the matrix are the words of a document, its nonzero entries the distinct
    ones. Two of the filters hang on them; the other three are column expressions.
 4. Documents are counted by part and by the set of filters that they fail, 32 sets at most.
@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabular_insights.llm.common import any_of, find_package
-from tabular_insights.llm.packing import pack, runs, unpack
+from tabular_insights.llm.common import any_of, find_package, slices
+from tabular_insights.llm.packing import pack, unpack
 from tabular_insights.session import stage
 
 #: Bytes of text in a shard, unless one document has more.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 32 << 20
 FILTERS = "ABCDE"
 BIT = {letter: 1 << i for i, letter in enumerate(FILTERS)}
 
@@ -49,73 +49,58 @@ class _Places(dict):
         return found
 
 
-def _shard(number: int, texts: list[str | None], rows: pa.StructArray) -> pa.RecordBatch:
-    """One row: the words of some texts, their matrix over them, and ``rows``, one for each text."""
-    places, parts, sizes = _Places(), [], []
-    for text in texts:
-        words = text.encode().split() if text else []
-        parts.append(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
-        sizes.append(len(words))
-    cells = np.repeat(np.arange(len(texts)), sizes) * max(1, len(places)) + np.concatenate(parts)
-    cells.sort()
-    first = runs(cells)
-    document, place = np.divmod(cells[first], max(1, len(places)))
-    ends = np.cumsum(np.bincount(document, minlength=len(texts)))
-    columns = [
-        pa.array([number], pa.int64()),
-        pa.ListArray.from_arrays([0, len(texts)], rows),
-        pa.array([[w.decode() for w in places]], pa.list_(pa.string())),
-        pa.array([pack(ends)], pa.binary()),
-        pa.array([pack(place)], pa.binary()),
-        pa.array([pack(np.diff(np.append(first, len(cells))))], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "rows", "words", "ends", "terms", "counts"])
+class _Shard:
+    """Documents of one shard: the places of their distinct words, and how often each occurs."""
 
+    def __init__(self) -> None:
+        self.places, self.terms, self.counts, self.rows, self.bytes = _Places(), [], [], [], 0
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, texts, held, size = TaskContext.get().partitionId() << 33, [], [], 0
-    for batch in batches:
-        at = 0
-        column = batch.column(batch.num_columns - 1).to_pylist()
-        others = pa.StructArray.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
-        for i, text in enumerate(column):
-            size += len(text or "")
-            if size >= SHARD_BYTES:
-                yield _shard(number, texts + column[at : i + 1], pa.concat_arrays([*held, others.slice(at, i + 1 - at)]))
-                number, texts, held, size, at = number + 1, [], [], 0, i + 1
-        texts += column[at:]
-        held.append(others.slice(at))
-    if texts:
-        yield _shard(number, texts, pa.concat_arrays(held))
-
-
-def number_words(words: DataFrame) -> DataFrame:
-    """``(word, term)``: the distinct words, numbered from 0 without gaps.
-
-    Written once, which fixes the places; a number is the place of a word in its partition
-    plus the sizes of the partitions before.
-    """
-    placed = words.distinct().select(
-        "word",
-        F.spark_partition_id().alias("part"),
-        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"),
-    )
-    placed = stage(placed, "words")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("part").agg(F.count("*").alias("size"))
-    starts = starts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    return placed.join(starts, "part").select("word", (F.col("start") + F.col("place")).alias("term"))
+    def add(self, text: str | None) -> None:
+        data = (text or "").encode()
+        words = data.split()
+        places = np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
+        terms, counts = np.unique(places, return_counts=True)
+        self.terms.append(terms)
+        self.counts.append(counts.astype(np.int32))
+        self.bytes += len(data)
 
+    def batch(self, number: int) -> pa.RecordBatch:
+        """One row, with the rows that were added beside the texts."""
+        rows = pa.concat_arrays(self.rows)
+        columns = [
+            pa.array([number], pa.int64()),
+            pa.ListArray.from_arrays([0, len(rows)], rows),
+            pa.array([[w.decode() for w in self.places]], pa.list_(pa.string())),
+            pa.array([pack(np.cumsum([len(t) for t in self.terms]))], pa.binary()),
+            pa.array([pack(np.concatenate(self.terms))], pa.binary()),
+            pa.array([pack(np.concatenate(self.counts))], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["shard", "rows", "words", "ends", "terms", "counts"])
 
-def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            terms = row.column(5).flatten().to_numpy(zero_copy_only=False)
-            local = unpack(row.column(3)[0].as_py()).astype(np.int64)
-            found = terms[local] if len(local) else local
-            columns = [*row.columns[:3], pa.array([pack(found)], pa.binary()), row.column(4)]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "rows", "ends", "terms", "counts"])
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number, shard = TaskContext.get().partitionId() << 33, _Shard()
+    for batch in slices(batches, 500):
+        others = pa.StructArray.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+        at = 0
+        for i, text in enumerate(batch.column(batch.num_columns - 1)):
+            shard.add(text.as_py())
+            if shard.bytes >= SHARD_BYTES:
+                shard.rows.append(others.slice(at, i + 1 - at))
+                yield shard.batch(number)
+                number, shard, at = number + 1, _Shard(), i + 1
+        shard.rows.append(others.slice(at))
+    if shard.terms:
+        yield shard.batch(number)
+
+
+def _renumbered(local: pa.Table, found: pa.Table) -> pa.Table:
+    """A shard with numbers of the dictionary in place of places in its own list."""
+    terms = np.empty(found.num_rows, np.int64)
+    terms[found.column("place").to_numpy()] = found.column("term").to_numpy()
+    packed = [pack(terms[unpack(t.as_py()).astype(np.int64)]) for t in local.column("terms")]
+    at = local.column_names.index("terms")
+    return local.set_column(at, "terms", pa.array(packed, pa.binary()))
 
 
 def document_terms(df: DataFrame, text: Column, keep: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -140,12 +125,12 @@ def document_terms(df: DataFrame, text: Column, keep: dict[str, Column]) -> tupl
     )
     local = stage(chosen.mapInArrow(_shards, schema), "shards")
     words = local.select("shard", F.posexplode("words").alias("place", "word"))
-    dictionary = number_words(words.select("word"))
-    found = words.join(dictionary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("found"))
-    found = found.select("shard", F.col("found.term").alias("found"))
-    joined = local.join(found, "shard", "left").select("shard", "rows", "ends", "terms", "counts", "found")
-    global_schema = T.StructType([f for f in schema if f.name != "words"])
-    return joined.mapInArrow(_renumbered, global_schema), dictionary
+    first = F.min("at").over(Window.partitionBy("word"))
+    numbered = words.withColumn("at", F.monotonically_increasing_id()).withColumn("term", first)
+    dictionary = numbered.filter("at = term").select("word", "term")
+    packed = local.drop("words")
+    found = numbered.select("shard", "place", "term").groupBy("shard")
+    return packed.groupBy("shard").cogroup(found).applyInArrow(_renumbered, packed.schema), dictionary
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
