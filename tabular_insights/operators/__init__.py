@@ -11,6 +11,7 @@ from .categories import (
     top_k_values,
 )
 from .clean import drop_null_rows, flag_to_int, project
+from .depths import cut_predictions, depth_search, score_depths
 from .explain import feature_importances, tree_nodes
 from .features import assemble, build_pipeline, standardize, vector_columns
 from .metrics import classification_metrics, confusion_matrix, metrics_of_matrix

@@ -216,15 +216,23 @@ def _index_by_join(df, fit_on, col, output, handle_invalid, weight) -> DataFrame
     labels = ranked_labels(fit_on, col, weight).select(
         F.col("value").alias("__label"), F.col("index").alias(output)
     )
+    count = labels.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     how = "inner" if handle_invalid == "skip" else "left"
     joined = df.join(labels, _text(df, col) == F.col("__label"), how).drop("__label")
+    index = F.col(output)
     if handle_invalid == "error":
         missing = F.raise_error(F.lit(f"value of {col} is null or not in the index"))
-        return joined.withColumn(output, F.coalesce(output, missing.cast("double")))
+        index = F.coalesce(index, missing.cast("double"))
     if handle_invalid == "keep":
-        count = labels.agg(F.count(F.lit(1)).cast("double").alias("n")).first()["n"]
-        return joined.withColumn(output, F.coalesce(output, F.lit(count)))
-    return joined
+        index = F.coalesce(index, F.lit(float(count)))
+    return joined.withColumn(output, index).withMetadata(
+        output, category_mark(output, count + (handle_invalid == "keep"))
+    )
+
+
+def category_mark(name: str, size: int) -> dict:
+    """Metadata that tells tree models of a column with ``size`` categories."""
+    return {"ml_attr": {"name": name, "type": "nominal", "num_vals": size}}
 
 
 def index_categories(
@@ -240,10 +248,11 @@ def index_categories(
     """Add ``<col>_index`` for each column, numbered on ``fit_on`` (default ``df``).
 
     A null or unknown value is an error, is skipped, or is kept as one more
-    category. ``model`` marks the new columns as categories for tree models, which
-    needs the labels on the driver; ``join`` takes columns with any number of values.
-    ``auto`` is ``model`` unless a column has more than ``max_labels`` values; the
-    numbers are the same either way.
+    category. ``model`` uses category models, whose labels are on the driver; ``join``
+    takes columns with any number of values, of which the driver sees the number.
+    ``auto`` is ``model`` unless a column has more than ``max_labels`` values. Either way
+    the numbers are the same, and the columns are marked as categories of so many values,
+    so a tree model treats them alike.
     """
     fit_on = df if fit_on is None else fit_on
     outputs = list(outputs or [f"{c}_index" for c in cols])

@@ -29,6 +29,13 @@ def _category_names(indexes: Column, labels: Sequence[str]) -> Column:
     return F.transform(indexes, name)
 
 
+def saved_nodes(spark: SparkSession, model: Model) -> DataFrame:
+    """The node table that a fitted tree model is saved as."""
+    path = new_path(spark, "tree")
+    model.save(path)
+    return spark.read.parquet(f"{path}/data")
+
+
 def tree_nodes(
     spark: SparkSession,
     model: Model,
@@ -41,9 +48,7 @@ def tree_nodes(
     A numeric split sends values up to ``threshold`` left; a categorical one sends
     ``left_categories`` left, given by name for features found in ``labels``.
     """
-    path = new_path(spark, "tree")
-    model.save(path)
-    nodes = spark.read.parquet(f"{path}/data")
+    nodes = saved_nodes(spark, model)
     if "nodeData" in nodes.columns:
         nodes = nodes.select(F.col("treeID").alias("tree_id"), "nodeData.*")
     else:

@@ -7,27 +7,17 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
+from statistics import fmean, pstdev
 from threading import Lock
 from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.base import Estimator, Model
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .metrics import classification_metrics
 from .models import score
 
-# Metric name here -> metric name of Spark's evaluator.
-EVALUATOR_METRICS = {
-    "accuracy": "accuracy",
-    "f1": "f1",
-    "weighted_precision": "weightedPrecision",
-    "weighted_recall": "weightedRecall",
-}
-
-
 @dataclass(frozen=True)
 class Search:
     """Outcome of a search: one result row per point, and the model of the best one."""
@@ -69,7 +59,7 @@ def _grid_fields(grid: list[dict[str, Any]]) -> list[T.StructField]:
     return fields
 
 
-def _result_frame(
+def result_frame(
     spark: SparkSession, grid: list[dict[str, Any]], scores: list[tuple], names: Sequence[str]
 ) -> DataFrame:
     """``(grid_index, <parameters>, <scores>)`` with a fixed schema."""
@@ -152,7 +142,7 @@ def grid_search(
         train.unpersist()
         scored.unpersist()
     names = [f"training_{metric}", f"validation_{metric}"]
-    results = _result_frame(spark, grid, outcomes, names)
+    results = result_frame(spark, grid, outcomes, names)
     marked = select_best(results, names[1]).orderBy("grid_index")
     return Search(marked, leader["model"], grid[best_index([o[1] for o in outcomes])])
 
@@ -167,41 +157,45 @@ def cross_validate(
     fold_col: str = "fold",
     k: int = 3,
     parallelism: int = 4,
-    seed: int = 17,
     weight: str | None = None,
 ) -> Search:
     """k-fold cross-validation over the folds in ``fold_col``, then a refit on all rows.
 
     ``params`` maps grid names to the estimator's parameter names. Result rows hold
     the mean and the standard deviation of ``metric`` over the folds. For a tally, give
-    ``weight`` here and to the estimator.
+    ``weight`` here and to the estimator. The rows are kept during the search, so they are
+    read and assembled once; the fits of all folds and points share one pool, and of their
+    models none is held.
     """
+    spark = data.sparkSession
     _grid_fields(grid)
-    evaluator = MulticlassClassificationEvaluator(
-        labelCol=label, predictionCol="prediction", metricName=EVALUATOR_METRICS[metric]
-    )
-    if weight is not None:
-        evaluator.setWeightCol(weight)
-    maps = [
-        ParamGridBuilder()
-        .baseOn(*[(estimator.getParam(params[name]), value) for name, value in point.items()])
-        .build()[0]
-        for point in grid
-    ]
-    model = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=maps,
-        evaluator=evaluator,
-        numFolds=k,
-        foldCol=fold_col,
-        parallelism=parallelism,
-        seed=seed,
-    ).fit(data)
+    data = data.persist()
+
+    def settings(point: dict[str, Any]) -> dict:
+        return {estimator.getParam(params[name]): value for name, value in point.items()}
+
+    def run(task: tuple[int, int]) -> float:
+        place, fold = task
+        model = estimator.copy(settings(grid[place])).fit(data.filter(F.col(fold_col) != fold))
+        held_out = score(model, data.filter(F.col(fold_col) == fold))
+        found = classification_metrics(held_out, label, weight=weight).first()
+        if found is None or found[metric] is None:
+            raise ValueError(f"fold {fold} has no rows")
+        return found[metric]
+
+    tasks = [(place, fold) for place in range(len(grid)) for fold in range(k)]
+    try:
+        with ThreadPoolExecutor(max(1, min(parallelism, len(tasks)))) as pool:
+            found = list(pool.map(inheritable_thread_target(spark)(run), tasks))
+        by_point = [found[i : i + k] for i in range(0, len(found), k)]
+        scores = [(fmean(values), pstdev(values)) for values in by_point]
+        best = best_index([s[0] for s in scores])
+        best_model = estimator.copy(settings(grid[best])).fit(data)
+    finally:
+        data.unpersist()
     names = [f"avg_{metric}", f"std_{metric}"]
-    scores = [(float(a), float(s)) for a, s in zip(model.avgMetrics, model.stdMetrics, strict=True)]
-    results = select_best(_result_frame(data.sparkSession, grid, scores, names), names[0])
-    best = best_index([s[0] for s in scores])
-    return Search(results.orderBy("grid_index"), model.bestModel, grid[best])
+    results = select_best(result_frame(spark, grid, scores, names), names[0])
+    return Search(results.orderBy("grid_index"), best_model, grid[best])
 
 
 def best_params(model: Model) -> dict[str, Any]:

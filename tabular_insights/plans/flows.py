@@ -26,6 +26,7 @@ from ..operators import (
     category_indexer,
     check_bins,
     cross_validate,
+    depth_search,
     drop_null_rows,
     feature_importances,
     final_report,
@@ -168,7 +169,10 @@ def tree_flow(
     seed: int = SEED,
     parallelism: int = 4,
 ) -> Flow:
-    """Tree grid by validation f1, nodes of the best tree, and its metrics on the test split."""
+    """Tree grid by validation f1, nodes of the best tree, and its metrics on the test split.
+
+    Points that differ in ``max_depth`` only share one fit.
+    """
     data = _prepare(df, spec)
     light = spread_tally(data.tally.filter(IS_TRAIN), parts=spec.tally_parts)
     train = light.repartition(spec.train_partitions)
@@ -177,7 +181,7 @@ def tree_flow(
     fit = partial(
         fit_tree, label=spec.label, max_bins=max_bins, seed=seed, weight="rows", weight_total=total
     )
-    found = grid_search(
+    found = depth_search(
         train, data.tally, fit, grid, label=spec.label, weight="rows", parallelism=parallelism
     )
     test = data.tally.filter(F.col("split") == "test")
@@ -259,7 +263,6 @@ def forest_flow(
         label=spec.label,
         k=folds,
         parallelism=parallelism,
-        seed=spec.seed,
         weight=None if bootstrap else "rows",
     )
     by_split = {

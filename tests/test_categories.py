@@ -168,3 +168,20 @@ def test_large_k_without_a_single_task(spark, conf):
     other = ops.bucket_other(df, "v", 1100)
     assert other.count() == 9300
     assert other.filter("v = 'Other'").count() == sum(n for v, n in counts if v not in top)
+
+
+@pytest.mark.parametrize("invalid, size", [("error", 60), ("skip", 60), ("keep", 61)])
+def test_marks_do_not_hang_on_the_number_of_labels(spark, invalid, size):
+    """Above and below ``max_labels``: the same numbers, marks, error of a tree, and tree."""
+    df = spark.range(600).select((F.col("id") % 60).cast("string").alias("c"), (F.col("id") % 60 % 7 == 1).cast("int").alias("label"))
+    found = [ops.index_categories(df, ["c"], handle_invalid=invalid, max_labels=m) for m in (100, 59)]
+    assert rows(found[0]) == rows(found[1])
+    trees = []
+    for indexed in found:
+        data = ops.assemble(indexed, ["c_index"], keep=["label"])
+        assert ops.largest_category(data) == size
+        with pytest.raises(ValueError, match=f"{size} categories, more than max_bins=32"):
+            ops.fit_tree(data)
+        trees.append(ops.fit_tree(data, max_bins=64))
+    assert trees[0].toDebugString.split("\n")[1:] == trees[1].toDebugString.split("\n")[1:]
+    assert trees[0].depth == 1

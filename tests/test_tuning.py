@@ -8,7 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from tabular_insights import operators as ops
-from tabular_insights.operators.tuning import _result_frame, best_index
+from tabular_insights.operators.tuning import result_frame, best_index
 from tabular_insights.plans import IncidentSpec, flows, forest_flow, mlp_flow, tree_flow
 from tabular_insights.sources.adapter import KEY_COLUMNS, incidents
 
@@ -153,18 +153,63 @@ def test_cross_validation_of_a_tally(spark, vectors):
         assert one == pytest.approx(two, abs=1e-12)
 
 
+def escalated(spark):
+    """Incidents with a label that needs three features, some noise, and trees of several levels."""
+    hit = F.when(F.col("primary_type").isin("PROMO", "ECONOMY"), F.col("domestic"))
+    hit = hit.otherwise((F.col("ward") < 10) | (F.col("year") > 1996))
+    df = incidents(spark, SF_DIR).withColumn("escalated", hit != (F.col("community_area") == 3))
+    return df, IncidentSpec(keys=KEY_COLUMNS, label="escalated", required=(*SPEC.required, "escalated"))
+
+
+def test_cut_trees_equal_fitted_ones(spark):
+    """One fit for all depths gives the scores of a fit for each, point for point."""
+    df, spec = escalated(spark)
+    data = flows._prepare(df, spec)
+    train = data.tally.filter("split = 'train'").repartition(4).cache()
+    total = train.agg(F.sum("rows")).first()[0]
+    fit = partial(ops.fit_tree, label="escalated", weight="rows", weight_total=total)
+    grid = ops.param_grid(max_depth=[0, 1, 2, 3, 5, 10], min_instances_per_node=[1, 20, 10**6])
+    args = (train, data.tally, fit, grid, "f1", "escalated", "rows")
+    one, many = ops.depth_search(*args), ops.grid_search(*args)
+    assert rows(one.results) == rows(many.results)
+    assert one.best_point == many.best_point and len({r["validation_f1"] for r in one.results.collect()}) > 4
+    assert one.best_model.toDebugString.split("\n")[1:] == many.best_model.toDebugString.split("\n")[1:]
+    deep = fit(train, max_depth=10)
+    for depth in (0, 2, 4):
+        cut = ops.score_depths(deep, data.tally, [depth]).drop("max_depth")
+        fitted = ops.score(fit(train, max_depth=depth), data.tally).select(*cut.columns)
+        assert rows(cut) == rows(fitted)
+
+
+def test_folds_keep_no_model_and_need_rows(spark, vectors):
+    forest = RandomForestClassifier(labelCol="arrest", seed=5)
+    grid = ops.param_grid(num_trees=[2], max_depth=[1])
+    names = {"num_trees": "numTrees", "max_depth": "maxDepth"}
+    with pytest.raises(ValueError, match="fold 3 has no rows"):
+        ops.cross_validate(vectors, forest, grid, names, label="arrest", k=4)
+    found = ops.cross_validate(vectors, forest, grid, names, label="arrest")
+    by_hand = []
+    for fold in range(3):
+        model = forest.copy({forest.numTrees: 2, forest.maxDepth: 1}).fit(vectors.filter(F.col("fold") != fold))
+        held = ops.score(model, vectors.filter(F.col("fold") == fold))
+        by_hand.append(ops.classification_metrics(held, "arrest").first()["accuracy"])
+    row = found.results.first()
+    assert row["avg_accuracy"] == pytest.approx(sum(by_hand) / 3)
+    assert found.best_model.getNumTrees == 2
+
+
 def test_grid_values_of_any_type(spark):
     grid = [{"impurity": "gini", "rate": 1, "flag": True}, {"impurity": "entropy", "rate": 0.5, "flag": False}]
-    frame = _result_frame(spark, grid, [(0.1,), (0.2,)], ["f1"])
+    frame = result_frame(spark, grid, [(0.1,), (0.2,)], ["f1"])
     assert [tuple(r)[1:4] for r in frame.collect()] == [("gini", 1.0, True), ("entropy", 0.5, False)]
     with pytest.raises(ValueError, match="common type"):
-        _result_frame(spark, [{"a": 1}, {"a": "x"}], [(0.1,), (0.2,)], ["f1"])
+        result_frame(spark, [{"a": 1}, {"a": "x"}], [(0.1,), (0.2,)], ["f1"])
 
 
 def test_nan_never_wins(spark):
     nan = float("nan")
     assert best_index([nan, 0.5, 0.5]) == 1 and best_index([nan, nan]) == 0
-    marked = ops.select_best(_result_frame(spark, [{"a": i} for i in range(3)], [(nan,), (0.5,), (0.5,)], ["f1"]), "f1")
+    marked = ops.select_best(result_frame(spark, [{"a": i} for i in range(3)], [(nan,), (0.5,), (0.5,)], ["f1"]), "f1")
     assert [r["grid_index"] for r in marked.filter("is_best").collect()] == [1]
 
 
