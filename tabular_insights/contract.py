@@ -29,6 +29,8 @@ MODEL_COLUMNS = [*CATEGORIES, "arrest", "domestic", "ward", "year"]
 FEATURES = [f"{c}_index" for c in CATEGORIES] + ["domestic", "ward", "year"]
 TREE_SPEC = IncidentSpec(keys=KEY_COLUMNS)
 FOREST_SPEC = IncidentSpec(keys=KEY_COLUMNS, numbers=())
+#: Two of the forty points of the published perceptron grid's kind.
+MLP_POINTS = ops.param_grid(block_size=[128], layers=[[6, 8, 2], [6, 8, 8, 10]])
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]):
@@ -200,7 +202,8 @@ def top_k_two_columns(spark, sf_dir):
 
 @query
 def keep_top_k(spark, sf_dir):
-    rows = ops.keep_top_k(clean(spark, sf_dir), REDUCED)
+    """With the values as literals in a filter."""
+    rows = ops.keep_top_k(clean(spark, sf_dir), REDUCED, how="literal")
     return rows.select(*KEY_COLUMNS, *MODEL_COLUMNS)
 
 
@@ -212,8 +215,8 @@ def keep_top_k_join(spark, sf_dir):
 
 @query
 def bucket_other(spark, sf_dir):
-    """Over uncleaned rows: a null becomes ``Other`` too."""
-    rows = ops.bucket_other(incidents(spark, sf_dir), "location_description")
+    """Over uncleaned rows, with the values as literals: a null becomes ``Other`` too."""
+    rows = ops.bucket_other(incidents(spark, sf_dir), "location_description", how="literal")
     return rows.select(*KEY_COLUMNS, "location_description")
 
 
@@ -504,30 +507,105 @@ def tree_grid_search(spark, sf_dir):
 
 @query
 def final_report(spark, sf_dir):
-    grid = ops.param_grid(max_depth=[5], min_instances_per_node=[10])
-    return tree_flow(incidents(spark, sf_dir), TREE_SPEC, grid).report
+    """Test metrics of the best of the 25 published points."""
+    return tree_flow(incidents(spark, sf_dir), TREE_SPEC, TREE_GRID).report
 
 
-@query
-def tree_node_table(spark, sf_dir):
-    grid = ops.param_grid(max_depth=[5], min_instances_per_node=[2])
-    nodes = tree_flow(incidents(spark, sf_dir), TREE_SPEC, grid).nodes
+def flat_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("left_categories", F.array_join("left_categories", ",")).withColumn(
         "class_rows", F.array_join(F.col("class_rows").cast("array<string>"), ",")
     )
 
 
+@query
+def tree_node_table(spark, sf_dir):
+    """Nodes of the best of the 25 published points."""
+    return flat_nodes(tree_flow(incidents(spark, sf_dir), TREE_SPEC, TREE_GRID).nodes)
+
+
+# A second label, which needs three features
+
+
+def escalated(spark, sf_dir) -> DataFrame:
+    """Incidents with a label of three features and noise, so that points of a grid differ."""
+    rows = incidents(spark, sf_dir)
+    promoted = F.col("primary_type").isin("PROMO", "ECONOMY")
+    hit = F.when(F.col("domestic"), F.col("ward") < 42).otherwise(promoted)
+    return rows.withColumn("escalated", hit != (F.col("community_area") == 3))
+
+
+ESCALATED_SPEC = IncidentSpec(
+    keys=KEY_COLUMNS, label="escalated", required=(*IncidentSpec.required, "escalated")
+)
+
+
+def escalated_flow(spark, sf_dir):
+    return tree_flow(escalated(spark, sf_dir), ESCALATED_SPEC, TREE_GRID)
+
+
+@query
+def escalated_tree_search(spark, sf_dir):
+    """The published grid of 25 trees, whose points differ."""
+    return escalated_flow(spark, sf_dir).results
+
+
+@query
+def escalated_tree_importances(spark, sf_dir):
+    return escalated_flow(spark, sf_dir).importances
+
+
+@query
+def escalated_tree_nodes(spark, sf_dir):
+    return flat_nodes(escalated_flow(spark, sf_dir).nodes)
+
+
+TWO_LEVELS = ["primary_type_index", "domestic", "ward"]
+
+
+def two_levels(spark, sf_dir):
+    """A tree of two levels over three features, and the tally it was trained on."""
+    rows = ops.drop_null_rows(escalated(spark, sf_dir), INCIDENT_COLUMNS)
+    rows = ops.flag_to_int(rows, ["domestic", "escalated"])
+    counted = stage(ops.tally(rows, ["primary_type", "domestic", "ward", "escalated"]), "tally")
+    indexer = ops.category_indexer(counted, ["primary_type"], weight="rows")
+    data = ops.assemble(indexer.transform(counted), TWO_LEVELS, keep=["rows", "escalated"])
+    model = ops.fit_tree(data, max_depth=2, max_bins=64, label="escalated", weight="rows")
+    return model, data, {"primary_type_index": indexer.stages[0].labels}
+
+
+@query
+def two_level_nodes(spark, sf_dir):
+    model, _, labels = two_levels(spark, sf_dir)
+    nodes = ops.tree_nodes(spark, model, TWO_LEVELS, labels).drop("tree_id", "class_rows")
+    nodes = nodes.withColumn("left_categories", F.array_join("left_categories", ","))
+    nodes = nodes.withColumn("rows", F.col("rows").cast("bigint"))
+    return rounded(nodes, ["impurity", "gain"])
+
+
+@query
+def two_level_importances(spark, sf_dir):
+    model, _, _ = two_levels(spark, sf_dir)
+    return rounded(ops.feature_importances(spark, model, TWO_LEVELS), ["importance"])
+
+
+@query
+def two_level_cut_counts(spark, sf_dir):
+    """True and predicted classes of the same tree cut at every depth."""
+    model, data, _ = two_levels(spark, sf_dir)
+    cut = ops.score_depths(model, data, [0, 1, 2])
+    return ops.confusion_matrix(cut, "escalated", weight="rows", by=["max_depth"])
+
+
 @query
 def mlp_grid_search(spark, sf_dir):
-    grid = ops.param_grid(block_size=[128], layers=[[6, 8, 2], [6, 8, 8, 10]])
-    results = mlp_flow(incidents(spark, sf_dir), TREE_SPEC, grid, max_iter=100).results
+    results = mlp_flow(incidents(spark, sf_dir), TREE_SPEC, MLP_POINTS, max_iter=100).results
     return results.drop("layers")
 
 
 @query
 def mlp_report(spark, sf_dir):
-    grid = ops.param_grid(block_size=[128], layers=[[6, 8, 2]])
-    return mlp_flow(incidents(spark, sf_dir), TREE_SPEC, grid, max_iter=100).report
+    """Test metrics of the best of the points of ``mlp_grid_search``."""
+    return mlp_flow(incidents(spark, sf_dir), TREE_SPEC, MLP_POINTS, max_iter=100).report
 
 
 @query
@@ -538,27 +616,23 @@ def forest_cross_validate(spark, sf_dir):
 
 @query
 def forest_importances(spark, sf_dir):
-    grid = ops.param_grid(num_trees=[10], max_depth=[5], max_bins=[32])
-    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, grid).importances
+    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, FOREST_GRID).importances
 
 
 @query
 def forest_summary(spark, sf_dir):
-    grid = ops.param_grid(num_trees=[5], max_depth=[5], max_bins=[32, 40])
-    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, grid).summary
+    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, FOREST_GRID).summary
 
 
 @query
 def forest_report(spark, sf_dir):
-    grid = ops.param_grid(num_trees=[5], max_depth=[5], max_bins=[32])
-    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, grid).report
+    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, FOREST_GRID).report
 
 
 @query
 def forest_tally_results(spark, sf_dir):
     """Forests without bootstrap, trained and validated on the tally alone."""
-    grid = ops.param_grid(num_trees=[5], max_depth=[2, 4], max_bins=[32])
-    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, grid, bootstrap=False).results
+    return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, FOREST_GRID, bootstrap=False).results
 
 
 def one_split_forest(spark, sf_dir):

@@ -428,3 +428,77 @@ FROM clean GROUP BY 1""",
 }
 ORACLES["estimator_chain_metrics"] = ORACLES["stump_metrics"]
 ORACLES["results_roundtrip"] = ORACLES["select_best"]
+
+
+# Trees of two levels: the best gini split of every node among prefixes of the categories in
+# order of their rate, the flag, and the thresholds of a number between any two of its values.
+
+
+def _best_splits(rows: str, level: int) -> str:
+    return f"""types{level} AS (
+  SELECT node, primary_type, count(*) AS n, sum(y) AS pos, row_number() OVER (
+    PARTITION BY node ORDER BY sum(y) * 1.0 / count(*)) AS place FROM {rows} GROUP BY 1, 2
+), cuts{level} AS (
+  SELECT node, 0 AS f, CAST(place AS DOUBLE) AS t, sum(n) OVER w AS ln, sum(pos) OVER w AS lp
+  FROM types{level} WINDOW w AS (PARTITION BY node ORDER BY place)
+  UNION ALL SELECT node, 1, 0.5, count(*), sum(y) FROM {rows} WHERE domestic = 0 GROUP BY node
+  UNION ALL SELECT node, 2, t, count(*), sum(y) FROM {rows}, thresholds WHERE ward <= t GROUP BY node, t
+), gains{level} AS (
+  SELECT *, n - ln AS rn, pos - lp AS rp, {_gini("pos", "n")} AS g FROM cuts{level}
+  JOIN (SELECT node, count(*) AS n, sum(y) AS pos FROM {rows} GROUP BY node) USING (node) WHERE ln < n
+), best{level} AS (
+  SELECT *, g - ln / n * {_gini("lp", "ln")} - rn / n * {_gini("rp", "rn")} AS gain FROM gains{level}
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 12) DESC, f, t) = 1
+)"""
+
+
+def _gini(pos: str, n: str) -> str:
+    return f"(2.0::DOUBLE * {pos} / {n} * (1 - {pos} * 1.0::DOUBLE / {n}))"
+
+
+def _below(level: int, rows: str) -> str:
+    left = f"""CASE f WHEN 0 THEN place <= t WHEN 1 THEN domestic = 0 ELSE ward <= t END"""
+    return f"""SELECT node * 2 + CASE WHEN {left} THEN 1 ELSE 2 END AS node, primary_type, domestic, ward, y
+  FROM (SELECT r.*, f, t, place FROM {rows} r JOIN best{level} USING (node) JOIN types{level} USING (node, primary_type))"""
+
+
+_TWO_LEVELS = f""", lab AS (
+  SELECT 0 AS node, primary_type, domestic, ward,
+    CAST((CASE WHEN domestic = 1 THEN ward < 42 ELSE primary_type IN ('PROMO', 'ECONOMY') END)
+      <> (community_area = 3) AS INTEGER) AS y FROM clean
+), thresholds AS (
+  SELECT (ward + lead(ward) OVER (ORDER BY ward)) / 2.0 AS t FROM (SELECT DISTINCT ward FROM lab)
+), {_best_splits("lab", 0)}, one AS (
+  {_below(0, "lab")}
+), {_best_splits("one", 1)}, two AS (
+  {_below(1, "one")}
+), best AS (SELECT * FROM best0 UNION ALL SELECT * FROM best1
+), types AS (SELECT * FROM types0 UNION ALL SELECT * FROM types1
+), leaves AS (
+  SELECT node, count(*) AS n, sum(y) AS pos FROM two GROUP BY node
+)"""
+
+_TWO_NAMES = "['primary_type_index', 'domestic', 'ward'][f + 1]"
+ORACLES |= {
+    "two_level_nodes": f"""{_CLEAN}{_TWO_LEVELS}, placed(node, node_id, left_child, right_child) AS (
+  VALUES (0, 0, 1, 4), (1, 1, 2, 3), (3, 2, NULL, NULL), (4, 3, NULL, NULL), (2, 4, 5, 6), (5, 5, NULL, NULL), (6, 6, NULL, NULL)
+)
+SELECT node_id, left_child, right_child, CASE WHEN 2 * pos > n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction,
+  round({_gini("pos", "n")}, 6) AS impurity, round(gain, 6) AS gain, CAST(n AS BIGINT) AS rows, feature,
+  CASE WHEN feature <> 'primary_type_index' THEN t END AS threshold, left_categories
+FROM (SELECT node, n, pos, gain, {_TWO_NAMES} AS feature, t, (SELECT string_agg(primary_type, ',' ORDER BY primary_type)
+        FROM types WHERE types.node = best.node AND f = 0 AND place <= t) AS left_categories FROM best
+      UNION ALL SELECT node, n, pos, NULL, NULL, NULL, NULL FROM leaves) JOIN placed USING (node)""",
+    "two_level_importances": f"""{_CLEAN}{_TWO_LEVELS}, summed AS (
+  SELECT i, name, coalesce(sum(gain * n), 0) AS s
+  FROM (VALUES (0, 'primary_type_index'), (1, 'domestic'), (2, 'ward')) v(i, name) LEFT JOIN best ON f = i GROUP BY 1, 2
+)
+SELECT CAST(row_number() OVER (ORDER BY s DESC, i) AS INTEGER) AS rank, name AS feature,
+  round(s / (SELECT sum(s) FROM summed), 6) AS importance FROM summed""",
+    "two_level_cut_counts": f"""{_CLEAN}{_TWO_LEVELS}, cut AS (
+  SELECT 0 AS max_depth, node, y FROM lab UNION ALL SELECT 1, node, y FROM one UNION ALL SELECT 2, node, y FROM two
+)
+SELECT max_depth, y AS label, CAST(2 * pos > n AS INTEGER) AS prediction, count(*) AS rows
+FROM cut JOIN (SELECT max_depth, node, count(*) AS n, sum(y) AS pos FROM cut GROUP BY 1, 2) USING (max_depth, node)
+GROUP BY ALL""",
+}
