@@ -17,7 +17,7 @@ from .functions import all_present
 from .plans import IncidentSpec, forest_flow, mlp_flow, tree_flow
 from .plans.flows import FOREST_GRID, TREE_GRID
 from .session import new_path, stage
-from .sources import INCIDENT_FIELDS, INCIDENT_TIME, read_incidents, write_results
+from .sources import INCIDENT_FIELDS, INCIDENT_TIME, read_incidents, rejected_cells, write_results
 from .sources import union_years as union_frames
 from .sources.adapter import INCIDENT_COLUMNS, KEY_COLUMNS, incidents, table
 
@@ -74,6 +74,38 @@ def csv_roundtrip(spark, sf_dir):
     return readable(read_incidents(spark, f"{path}/file_year=*"))
 
 
+def spoiled_files(spark, sf_dir) -> str:
+    """One CSV folder per year with cells that do not fit their types."""
+    names = {name: header for header, (name, _) in INCIDENT_FIELDS.items()}
+    rows = ops.project(incidents(spark, sf_dir), list(names), names).withColumn("file_year", F.col("Year"))
+    line, ward = F.col("`Community Area`"), F.col("Ward")
+    written = {
+        "Date": F.when(ward == 3, F.date_format("Date", "yyyy-MM-dd")).otherwise(F.date_format("Date", INCIDENT_TIME)),
+        "Arrest": F.when(ward == 5, F.lit("yes, sure")).otherwise(F.col("Arrest").cast("string")),
+        "Ward": F.when(line == 2, F.concat(F.lit("W"), ward)).otherwise(ward.cast("string")),
+        "Beat": F.when(ward == 7, F.lit('1,"2"')).otherwise(F.col("Beat").cast("string")),
+    }
+    path = new_path(spark, "spoiled-csv")
+    write_results(rows.withColumns(written), path, partition_by=["file_year"])
+    return f"{path}/file_year=*"
+
+
+@query
+def rejected_cell_counts(spark, sf_dir):
+    """Cells that do not fit, by file, column and text."""
+    cells = rejected_cells(spark, spoiled_files(spark, sf_dir))
+    year = F.regexp_extract("file", "file_year=(\\d+)", 1).cast("int")
+    return cells.groupBy(year.alias("file_year"), "column", "text").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query
+def rows_lost_to_rejects(spark, sf_dir):
+    """Rows read from the same files, and those that are left when rows with nulls are dropped."""
+    rows = read_incidents(spark, spoiled_files(spark, sf_dir))
+    kept_rows = {"all": None, "clean": all_present(INCIDENT_COLUMNS, rows.schema)}
+    return ops.row_counts(rows, kept_rows)
+
+
 def dated_tables(spark, sf_dir):
     """Three dated tables with the same columns, in different order."""
     item, orders, events = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "events"))
@@ -187,6 +219,45 @@ def tally_model_columns(spark, sf_dir):
     return ops.tally(clean(spark, sf_dir), MODEL_COLUMNS)
 
 
+# Profiles that grow by a year at a time
+
+
+def yearly_state(spark, sf_dir) -> str:
+    """The state of every year's rows, each added by reading that year only."""
+    rows = stage(incidents(spark, sf_dir).select("year", *REDUCED, "block"), "incidents", ["year"], rebalance=True)
+    folder = new_path(spark, "state")
+    for row in rows.select("year").distinct().orderBy("year").collect():
+        of_year = rows.filter(F.col("year") == row["year"])
+        ops.add_source(of_year, folder, str(row["year"]), REDUCED, sketched=["block"])
+    return folder
+
+
+@query
+def yearly_state_sources(spark, sf_dir):
+    return ops.sources(spark, yearly_state(spark, sf_dir))
+
+
+@query
+def yearly_state_counts(spark, sf_dir):
+    return ops.merged_counts(spark, yearly_state(spark, sf_dir))
+
+
+@query
+def yearly_state_top_k(spark, sf_dir):
+    return ops.merged_top_k(spark, yearly_state(spark, sf_dir), "description")
+
+
+@query
+def yearly_state_distincts(spark, sf_dir):
+    """Counted columns exactly; the sketch of the other within four times its error."""
+    found = ops.merged_distincts(spark, yearly_state(spark, sf_dir))
+    exact = ops.distinct_counts(incidents(spark, sf_dir), [*REDUCED, "block"])
+    compared = found.join(exact.withColumnRenamed("distinct_count", "true"), "column")
+    bound = F.when(F.col("is_exact"), 0.0).otherwise(4 * ops.SKETCH_ERROR)
+    within = F.abs(F.col("distinct") - F.col("true")) <= bound * F.col("true")
+    return compared.select("column", "true", "is_exact", within.alias("is_within"))
+
+
 # Categories
 
 
@@ -486,6 +557,34 @@ def perceptron_rates(spark, sf_dir):
     )
 
 
+#: Units of a fixed network, whose weights follow a rule.
+NETWORK = [3, 4, 2]
+
+
+def network_weight(layer: int, from_unit: int, to_unit: int) -> float:
+    return ((7 * layer + 3 * from_unit + 5 * to_unit) % 11 - 5) / 4
+
+
+@query
+def perceptron_forward(spark, sf_dir):
+    """Probabilities of a fixed network with a hidden layer, from its table of weights."""
+    table_rows = [
+        (layer, i, j, network_weight(layer, i, j))
+        for layer in range(1, len(NETWORK))
+        for i in range(-1, NETWORK[layer - 1])
+        for j in range(NETWORK[layer])
+    ]
+    weights = spark.createDataFrame(table_rows, "layer int, from_unit int, to_unit int, weight double")
+    rows = incidents(spark, sf_dir).select(
+        *KEY_COLUMNS,
+        F.col("domestic").cast("double").alias("x0"),
+        (F.col("ward") / 50).alias("x1"),
+        ((F.col("year") - 1995) / 5).alias("x2"),
+    )
+    scored = ops.forward(rows, weights, ["x0", "x1", "x2"])
+    return scored.select(*KEY_COLUMNS, F.round(F.get("probability", F.lit(1)), 6).alias("p1"), "prediction")
+
+
 @query
 def tree_flow_report(spark, sf_dir):
     return rounded(one_split_flow(spark, sf_dir).report, METRICS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .contract import NETWORK, network_weight
+
 _COLUMNS = (
     "ts, block, primary_type, description, location_description, arrest, domestic, beat, "
     "district, ward, community_area, year"
@@ -502,3 +504,43 @@ SELECT max_depth, y AS label, CAST(2 * pos > n AS INTEGER) AS prediction, count(
 FROM cut JOIN (SELECT max_depth, node, count(*) AS n, sum(y) AS pos FROM cut GROUP BY 1, 2) USING (max_depth, node)
 GROUP BY ALL""",
 }
+
+
+def _unit(layer: int, j: int, inputs: list[str]) -> str:
+    terms = [f"{network_weight(layer, i, j)} * {x}" for i, x in enumerate(inputs)]
+    return f"({network_weight(layer, -1, j)} + {' + '.join(terms)})"
+
+
+_HIDDEN = ", ".join(f"1 / (1 + exp(-{_unit(1, j, ['x0', 'x1', 'x2'])})) AS h{j}" for j in range(NETWORK[1]))
+_OUT = ", ".join(f"{_unit(2, j, [f'h{i}' for i in range(NETWORK[1])])} AS z{j}" for j in range(NETWORK[2]))
+ORACLES |= {
+    "perceptron_forward": f"""{_CLEAN}, inputs AS (
+  SELECT {_KEYS}, CAST(domestic AS INTEGER)::DOUBLE AS x0, ward / 50.0::DOUBLE AS x1, (year - 1995) / 5.0::DOUBLE AS x2
+  FROM incidents
+), hidden AS (SELECT {_KEYS}, {_HIDDEN} FROM inputs
+), outputs AS (SELECT {_KEYS}, {_OUT} FROM hidden)
+SELECT {_KEYS}, round(1 / (1 + exp(z0 - z1)), 6) AS p1, CASE WHEN z1 > z0 THEN 1.0::DOUBLE ELSE 0.0 END AS prediction
+FROM outputs""",
+    "rejected_cell_counts": f"""{_CLEAN}, cells AS (
+  SELECT year AS file_year, 'ts' AS "column", strftime(ts, '%Y-%m-%d') AS text FROM incidents WHERE ward = 3
+  UNION ALL SELECT year, 'arrest', 'yes, sure' FROM incidents WHERE ward = 5
+  UNION ALL SELECT year, 'ward', 'W' || ward FROM incidents WHERE community_area = 2
+  UNION ALL SELECT year, 'beat', '1,"2"' FROM incidents WHERE ward = 7
+)
+SELECT *, count(*) AS cells FROM cells GROUP BY ALL""",
+    "rows_lost_to_rejects": f"""{_CLEAN}
+SELECT 'all' AS stage, count(*) AS rows FROM incidents
+UNION ALL SELECT 'clean', count(*) FROM clean WHERE ward NOT IN (3, 5, 7) AND community_area <> 2""",
+    "yearly_state_sources": f"{_CLEAN} SELECT CAST(year AS VARCHAR) AS source, count(*) AS rows FROM incidents GROUP BY 1",
+    "yearly_state_counts": f"""{_CLEAN}
+SELECT 'description' AS "column", description AS value, count(*) AS count FROM incidents GROUP BY ALL
+UNION ALL SELECT 'location_description', location_description, count(*) FROM incidents GROUP BY ALL""",
+    "yearly_state_top_k": f"""{_CLEAN}
+SELECT 'description' AS "column", description AS value, count(*) AS count,
+  CAST(row_number() OVER (ORDER BY count(*) DESC, description) AS INTEGER) AS rank
+FROM incidents GROUP BY description QUALIFY rank <= 32""",
+    "yearly_state_distincts": f"""{_CLEAN}
+SELECT 'description' AS "column", count(DISTINCT description) AS "true", true AS is_exact, true AS is_within FROM incidents
+UNION ALL SELECT 'location_description', count(DISTINCT location_description), true, true FROM incidents
+UNION ALL SELECT 'block', count(DISTINCT block), false, true FROM incidents""",
+}

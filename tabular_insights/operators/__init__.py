@@ -14,8 +14,10 @@ from .clean import drop_null_rows, flag_to_int, project
 from .depths import cut_predictions, depth_search, score_depths
 from .explain import feature_importances, tree_nodes
 from .features import assemble, build_pipeline, standardize, vector_columns
+from .increments import SKETCH_ERROR, add_source, merged_counts, merged_distincts, merged_top_k, source_state, sources
 from .metrics import classification_metrics, confusion_matrix, metrics_of_matrix
 from .models import check_bins, fit_forest, fit_mlp, fit_tree, largest_category, score
+from .perceptron import forward, layer_weights
 from .profile import (
     distinct_counts,
     preview,

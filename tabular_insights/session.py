@@ -35,7 +35,48 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for run in _OPEN_RUNS:
+        run.paths.append(path)
+    return path
+
+
+class StagedRun:
+    """Tables staged while this is open, by any thread; ``close`` deletes them.
+
+    Used as a context manager around work whose results have been written or collected::
+
+        with StagedRun(spark):
+            write_results(tree_flow(df, spec).results, path)
+
+    A frame that reads a table of a closed run fails. Without a run nothing is deleted.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+        _OPEN_RUNS.append(self)
+
+    def __enter__(self) -> StagedRun:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete what was staged; closing again does nothing."""
+        if self in _OPEN_RUNS:
+            _OPEN_RUNS.remove(self)
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
+_OPEN_RUNS: list[StagedRun] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever the cluster keeps it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def gather(df: DataFrame, columns: Sequence[str]) -> DataFrame:

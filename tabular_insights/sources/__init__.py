@@ -1,4 +1,4 @@
-from .incidents import INCIDENT_FIELDS, INCIDENT_TIME, read_incidents, union_years
+from .incidents import INCIDENT_FIELDS, INCIDENT_TIME, read_incidents, rejected_cells, union_years
 from .sinks import write_results
 
-__all__ = ["INCIDENT_FIELDS", "INCIDENT_TIME", "read_incidents", "union_years", "write_results"]
+__all__ = ["INCIDENT_FIELDS", "INCIDENT_TIME", "read_incidents", "rejected_cells", "union_years", "write_results"]

@@ -69,6 +69,36 @@ def read_incidents(
     return rows.select(*[F.col(f"`{h}`").alias(name) for h, (name, _) in fields.items()])
 
 
+def rejected_cells(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    fields: dict[str, tuple[str, T.DataType]] | None = None,
+    timestamp_format: str = INCIDENT_TIME,
+) -> DataFrame:
+    """``(file, column, text)``: every cell that :func:`read_incidents` turns into null because
+    it does not fit its type, with the same parser, from one scan of the files as text."""
+    fields = fields or INCIDENT_FIELDS
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    header = spark.read.option("header", True).csv(paths[0]).columns
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
+    cells = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(paths)
+    # a cell alone is a record of one field: no character of it separates or quotes
+    options = {
+        "sep": "\u0001", "quote": "\u0002", "escape": "\u0002", "lineSep": "\u0003",
+        "timestampFormat": timestamp_format, "timestampNTZFormat": timestamp_format,
+    }
+    found = []
+    for head, (name, kind) in fields.items():
+        if isinstance(kind, T.StringType):
+            continue
+        text = F.col(f"`{head}`")
+        parsed = F.from_csv(text, f"cell {kind.simpleString()}", options)["cell"]
+        cell = F.struct(F.lit(name).alias("column"), text.alias("text"))
+        found.append(F.when(text.isNotNull() & parsed.isNull(), cell))
+    bad = F.inline(F.array_compact(F.array(*found)))
+    return cells.select(F.col("_metadata.file_path").alias("file"), bad)
+
+
 def union_years(frames: Sequence[DataFrame], by: str = "name") -> DataFrame:
     """All rows of all frames, duplicates kept, columns matched by name or position."""
     if by not in ("name", "position"):
