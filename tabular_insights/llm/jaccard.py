@@ -330,8 +330,23 @@ def join_similar(
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the document of the smallest id of each group; rows without id stay."""
-    judged = stage(join_similar(df, id_col, text_col), "judged")
-    gone = judged.filter(F.col(id_col) != F.col("group_id")).select(id_col).distinct()
-    left = df.filter(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
-    return left.select(*df.columns).union(df.filter(F.col(id_col).isNull()))
+    """``df`` with one row of each group of similar texts, that of the smallest id.
+
+    Rows, not ids, are grouped: unlike texts of one id are judged each by itself, rows without
+    an id like any other, and come after rows with one; of equal ids a hash of the whole row
+    decides. Rows equal in every column are one. Texts without words are similar to nothing.
+    """
+    key, number, group = (_unused(df, name) for name in ("_key", "_number", "_in_group"))
+    keyed = df.withColumn(key, F.sha2(F.to_json(F.struct(*df.columns)), 256))
+    numbered = keyed.select(F.xxhash64(key).alias(number), key, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    judged = join_similar(numbered.select(number, "text"), number, "text").select(number, F.col("group_id").alias(group))
+    judged = stage(judged.distinct(), "judged")
+    order = F.struct(F.col("id").isNull(), "id", key)
+    best = numbered.drop("text").join(judged, number).groupBy(group).agg(F.min_by(key, order).alias(key))
+    return keyed.join(best.select(key), key, "left_semi").dropDuplicates().select(*df.columns)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name

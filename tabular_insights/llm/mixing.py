@@ -22,6 +22,8 @@ one are replaced.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float]) -> Data
         gap = gaps.agg(F.max(F.greatest(*gaps.columns) if len(gaps.columns) > 1 else F.col(gaps.columns[0]))).first()[0]
         if gap is None or gap < TOLERANCE:
             break
+    else:
+        warnings.warn(f"raking ended {gap:.2g} off a marginal after {ROUNDS * SWEEPS} sweeps", stacklevel=2)
     return cells.drop(*[f"target_{c}" for c in targets])
 
 
