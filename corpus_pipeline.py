@@ -2,11 +2,14 @@
 
 Every stage reads what its predecessor wrote, keeps the columns of ``documents`` (all but
 the last), and treats nulls, empty texts, repeated rows and empty tables as its operator
-says. Extra columns of the documents pass through the stages that keep columns.
+says. Extra columns of the documents pass through the stages that keep columns, also those
+that are named like a column an operator adds.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +23,36 @@ TARGETS = {"source": 0.7, "lang": {"en": 0.55, "de": 0.15, "fr": 0.17, "es": 0.1
 SHARE = 0.75
 
 
+#: Columns that the stages know; all others pass through them under names of their own.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def passing_columns(function):
+    """A stage that hands on all columns of its documents as they were, whatever their names."""
+
+    @wraps(function)
+    def passed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in KNOWN else f"passed__{i}" for i, c in enumerate(docs.columns)}
+        done = function(spark, docs.withColumnsRenamed(names), sf_dir)
+        return done.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+    return passed
+
+
+@passing_columns
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and every certified rule of their stratum."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, labels).select(*docs.columns)
 
 
+@passing_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones, that of the smallest id."""
     return jaccard.keep_one_of_each(docs)
 
 
+@passing_columns
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the word windows that an earlier document has; ``n_chars`` follows."""
     done = substrings.remove_repeated(docs)
@@ -40,6 +62,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return done.withColumns(changed).select(*docs.columns)
 
 
+@passing_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The drawn documents of the mixture."""
     dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.form_topic()}
