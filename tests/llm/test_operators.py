@@ -250,7 +250,9 @@ def test_similarity_join_of_repeated_and_null_rows(docs):
     assert got[1, 1, 2] == 2 and got[2, 1, 2] + got[2, 2, 2] == 1 and got[None, None, 0] == 2 and got[4, 4, 0] == 1 and got[6, 6, 1] == 1
     kept = jaccard.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 4, 5, 6, 8, 9, 10, None, None])
+    # the row without id but with a text is a near copy of row 1
+    assert Counter((r.doc_id, r.text is None) for r in kept.collect() if r.doc_id in (3, None)) == Counter([(3, True), (None, True)])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 4, 5, 6, 8, 9, 10, None])
 
 
 def test_pruning_keeps_what_reaches_the_threshold():
