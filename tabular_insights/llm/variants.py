@@ -42,28 +42,27 @@ ERROR_RATE = 97
 LEAST_LENGTH, LEAST_COUNT = 5, 3
 #: Words that a task holds before it hands on their counts.
 HELD = 1 << 18
-#: Runs of ``[a-z\\u00C0-\\u00FF]`` in UTF-8.
-_RUNS = re.compile(rb"(?:[a-z]+|(?:\xc3[\x80-\xbf])+)+")
-
-
-def _deleted(run: bytes, place: int) -> bytes:
-    text = run.decode()
-    return (text[: place % len(text)] + text[place % len(text) + 1 :]).encode()
+_RUNS = re.compile("[a-z\u00C0-\u00FF]+")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
+    held: dict[str, int] = {}
+    known = held.get
 
     def handed_on() -> pa.RecordBatch:
-        words = [w.decode() for w in held]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+        columns = [pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
     for batch in slices(batches, 1_000):
         for id_text, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             seed = zlib.crc32(f"{id_text or ''}:".encode())
-            for run, n in Counter(_RUNS.findall((text or "").encode().lower())).items():
-                found = zlib.crc32(run, seed)
-                held[run if found % ERROR_RATE else _deleted(run, found)] += n
+            lowered = (text or "").encode().lower().decode()
+            for run, n in Counter(_RUNS.findall(lowered)).items():
+                found = zlib.crc32(run.encode(), seed)
+                if found % ERROR_RATE == 0:
+                    at = found % len(run)
+                    run = run[:at] + run[at + 1 :]
+                held[run] = known(run, 0) + n
             if len(held) > HELD:
                 yield handed_on()
                 held.clear()
@@ -142,7 +141,9 @@ def neighbours(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
         frontier = readings.filter((F.col("depth") == depth) & F.col("edits")).select("id", "rest", "node", "edits")
         if carried is not None:
             frontier = frontier.unionByName(carried)
-        joined = frontier.join(edges.filter(F.col("depth") == depth).drop("depth"), "node")
+        below = edges.filter(F.col("depth") == depth).withColumnRenamed("node", "at").drop("depth")
+        reads = F.col("edits") | (F.col("letter") == F.substring("rest", 1, 1))
+        joined = frontier.join(below, (F.col("node") == F.col("at")) & reads)
         read = joined.withColumn("rest", F.explode(_after(F.col("letter"), F.col("rest"), F.col("edits"))))
         alone = F.col("n") == 1
         over = F.when(F.col("letter") == "", F.col("rest") == "").otherwise(alone & (F.xxhash64("rest") == F.col("tail")))
