@@ -29,7 +29,7 @@ MODEL_COLUMNS = [*CATEGORIES, "arrest", "domestic", "ward", "year"]
 FEATURES = [f"{c}_index" for c in CATEGORIES] + ["domestic", "ward", "year"]
 TREE_SPEC = IncidentSpec(keys=KEY_COLUMNS)
 FOREST_SPEC = IncidentSpec(keys=KEY_COLUMNS, numbers=())
-#: Two of the forty points of the published perceptron grid's kind.
+#: A small perceptron, and one of the forty published points.
 MLP_POINTS = ops.param_grid(block_size=[128], layers=[[6, 8, 2], [6, 8, 8, 10]])
 
 
