@@ -1,4 +1,4 @@
-"""Stupid-backoff language model scores of documents, with counts over all documents.
+"""Stupid-backoff language model scores of documents, with counts over all other documents.
 
 Documents are dealt into groups by a hash of their row. Each group explodes its texts to
 n-grams and sends its distinct n-grams once, as 64-bit hashes with counts, packed and cut
@@ -7,13 +7,16 @@ the counts and joins them to the n-grams that the groups sent. The groups sum th
 of each document. An n-gram that stands in a third of all documents is one entry for each
 group, never a row for each document.
 
-The score of a word after its history is ``count(history, word) / count(history)`` where
-the n-gram occurs at least ``min_count`` times, else ``backoff`` times the score after the
-history without its first word; the last resort is the word's share of all words.
+Every text that is scored is also part of the corpus, so counts leave its own row out: an
+n-gram counts as often as it stands in *other* rows, otherwise none would ever back off. The
+score of a word after its history is ``count(history, word) / count(history)`` where the
+n-gram stands at least ``min_count`` times (once) in other rows, else ``backoff`` times the
+score after the history without its first word; the last resort is the word's share of all
+words, those of its own row included, which is never 0.
 
 Defined cases: a null or empty text has no words and scores 0; the first words of a text
 have shorter histories; every row gives one row and counts once, repeated rows and null
-ids included; an empty table gives an empty table; columns other than the id and the text
+ids included (a copy is another row); an empty table gives an empty table; columns other than the id and the text
 are ignored.
 """
 
@@ -29,7 +32,7 @@ from tabular_insights.llm import counting
 from tabular_insights.llm.common import find_package, text_parts
 from tabular_insights.llm.packing import windows, word_hashes
 
-ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
+ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 1
 GROUP_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 _MIX, _ODD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -69,6 +72,11 @@ def score(
         ]
     )
 
+    def others(text_of: np.ndarray, places: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """How often each n-gram, numbered by ``places``, stands outside its own text."""
+        _, which, own = np.unique(text_of * len(totals) + places, return_inverse=True, return_counts=True)
+        return totals[places] - own[which]
+
     def distinct(found):
         return np.unique(np.concatenate([h for h, _ in found]), return_counts=True)
 
@@ -81,18 +89,19 @@ def score(
         total, backed = np.zeros(len(counts)), np.zeros(len(counts), np.int64)
         if counts.sum():
             hashes, _ = distinct(found)
-            totals = counting.totals(answers).astype(np.float64)
+            totals = counting.totals(answers).astype(np.int64)
             text_of = np.repeat(np.arange(len(counts)), counts)
-            before = totals[np.searchsorted(hashes, found[0][0])]
-            seen = totals[np.searchsorted(hashes, found[1][0])]
-            value = seen / before
+            words = np.searchsorted(hashes, found[1][0])
+            value = totals[words] / totals[np.searchsorted(hashes, found[0][0][0])]
+            seen = others(text_of, words, totals) if order > 1 else None
             for n in range(2, order + 1):
                 rolled, first = found[n]
-                longer = np.zeros(len(value))
-                longer[first + n - 1] = totals[np.searchsorted(hashes, rolled)]
+                last = first + n - 1
+                longer = np.zeros(len(value), np.int64)
+                longer[last] = others(text_of[last], np.searchsorted(hashes, rolled), totals)
                 has_history = np.zeros(len(value), bool)
-                has_history[first + n - 1] = True
-                history = np.append(1.0, seen[:-1])
+                has_history[last] = True
+                history = np.append(1, seen[:-1])
                 used = has_history & (longer >= min_count)
                 backed += np.bincount(text_of[has_history & ~used], minlength=len(counts))
                 value = np.where(used, longer / np.maximum(history, 1), np.where(has_history, backoff * value, value))

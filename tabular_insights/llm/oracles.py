@@ -16,19 +16,33 @@ _TOKENS = f"""{_WORDS}, tokens AS (
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)
 )"""
 
-LM = f"""{_TOKENS}, one AS (
-  SELECT word, count(*) AS n FROM tokens GROUP BY word
+LM = f"""{_TOKENS}, placed AS (
+  SELECT *, CASE WHEN i > 2 THEN lag(before) OVER (PARTITION BY doc_id ORDER BY i) END AS earlier FROM tokens
+), one AS (
+  SELECT doc_id, word, count(*) AS own, sum(count(*)) OVER (PARTITION BY word) AS n FROM placed GROUP BY doc_id, word
 ), two AS (
-  SELECT before, word, count(*) AS n FROM tokens WHERE before IS NOT NULL GROUP BY ALL
+  SELECT doc_id, before, word, count(*) AS own, sum(count(*)) OVER (PARTITION BY before, word) AS n
+  FROM placed WHERE before IS NOT NULL GROUP BY doc_id, before, word
+), three AS (
+  SELECT doc_id, earlier, before, word, count(*) AS own, sum(count(*)) OVER (PARTITION BY earlier, before, word) AS n
+  FROM placed WHERE earlier IS NOT NULL GROUP BY doc_id, earlier, before, word
+), counted AS (
+  SELECT t.doc_id, one.n / (SELECT count(*) FROM tokens)::DOUBLE AS share, two.n - two.own AS n_two,
+         history.n - history.own AS n_before, three.n - three.own AS n_three, longer.n - longer.own AS n_earlier
+  FROM placed t JOIN one ON t.doc_id = one.doc_id AND t.word = one.word
+  LEFT JOIN one history ON t.doc_id = history.doc_id AND t.before = history.word
+  LEFT JOIN two ON t.doc_id = two.doc_id AND t.before = two.before AND t.word = two.word
+  LEFT JOIN two longer ON t.doc_id = longer.doc_id AND t.earlier = longer.before AND t.before = longer.word
+  LEFT JOIN three ON t.doc_id = three.doc_id AND t.earlier = three.earlier AND t.before = three.before AND t.word = three.word
 ), scored AS (
-  SELECT doc_id, t.before IS NOT NULL AND two.n < 2 AS backed_off,
-         CASE WHEN two.n >= 2 THEN ln(two.n / history.n::DOUBLE)
-              ELSE ln(CASE WHEN t.before IS NULL THEN 1.0 ELSE 0.4 END * one.n / (SELECT count(*) FROM tokens)) END AS score
-  FROM tokens t JOIN one USING (word)
-  LEFT JOIN two ON t.before = two.before AND t.word = two.word
-  LEFT JOIN one history ON t.before = history.word
+  SELECT doc_id, coalesce((n_two = 0)::INT, 0) + coalesce((n_three = 0)::INT, 0) AS backed_off,
+         ln(CASE WHEN n_three > 0 THEN n_three / n_earlier::DOUBLE
+                 ELSE CASE WHEN n_three = 0 THEN 0.4 ELSE 1.0 END
+                    * CASE WHEN n_two > 0 THEN n_two / n_before::DOUBLE WHEN n_two = 0 THEN 0.4 * share ELSE share END
+            END) AS score
+  FROM counted
 ), summed AS (
-  SELECT doc_id, count(*) AS n_words, count(*) FILTER (backed_off) AS n_backed_off, sum(score) AS s
+  SELECT doc_id, count(*) AS n_words, CAST(sum(backed_off) AS BIGINT) AS n_backed_off, sum(score) AS s
   FROM scored GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backed_off, 0) AS n_backed_off,

@@ -192,22 +192,24 @@ def test_edited_copies(docs, empty):
     assert single.edited_text == "short " + "sho" and single.near_next == 1.0
 
 
-def backoff_scores(documents, order=2):
-    grams = [Counter() for _ in range(order + 1)]
+def gram_counts(text, order):
+    w = plain.words(text)
+    return Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+
+
+def backoff_scores(documents, order, min_count):
+    everywhere, n_words, out = Counter(), sum(len(plain.words(t)) for _, t in documents), []
     for _, text in documents:
-        w = plain.words(text)
-        grams[0][()] += len(w)
-        for n in range(1, order + 1):
-            grams[n].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    out = []
+        everywhere.update(gram_counts(text, order))
     for i, text in documents:
         w, total, backed = plain.words(text), 0.0, 0
+        others = everywhere - gram_counts(text, order)
         for at in range(len(w)):
-            value = grams[1][(w[at],)] / grams[0][()]
+            value = everywhere[(w[at],)] / n_words
             for n in range(2, min(order, at + 1) + 1):
                 gram = tuple(w[at - n + 1 : at + 1])
-                if grams[n][gram] >= 2:
-                    value = grams[n][gram] / grams[n - 1][gram[:-1]]
+                if others[gram] >= min_count:
+                    value = others[gram] / others[gram[:-1]]
                 else:
                     value, backed = 0.4 * value, backed + 1
             total += math.log(value)
@@ -215,10 +217,10 @@ def backoff_scores(documents, order=2):
     return Counter(out)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_backoff_scores(docs, empty, order):
-    got = lm.score(docs, order=order).withColumn("s", F.round("log_score", 4))
-    assert plain.table(got, "doc_id", "n_words", "n_backed_off", "s") == backoff_scores(DOCS, order)
+@pytest.mark.parametrize("order, min_count", [(1, 1), (2, 2), (3, 1), (5, 1)])
+def test_backoff_scores(docs, empty, order, min_count):
+    got = lm.score(docs, order=order, min_count=min_count).withColumn("s", F.round("log_score", 4))
+    assert plain.table(got, "doc_id", "n_words", "n_backed_off", "s") == backoff_scores(DOCS, order, min_count)
     assert lm.score(empty).count() == 0
 
 
