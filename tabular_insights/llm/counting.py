@@ -2,7 +2,7 @@
 
 A group sends its distinct hashes with their counts, packed, one row for each bucket (a
 range of hashes). A bucket adds up the counts and answers each row with the totals of its
-hashes, in the order in which they were sent.
+hashes, in the order in which they were sent, or with what other groups add to them.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def sent(group: int, hashes: np.ndarray, numbers: np.ndarray, n_buckets: int) ->
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS.values())], list(_KINDS))
 
 
-def _told(table: pa.Table) -> pa.Table:
+def _told(table: pa.Table, outside: bool) -> pa.Table:
     firsts = table.column("_first").to_numpy().view(np.uint64)
     parts = [np.cumsum(unpack(s)) + f for s, f in zip(table.column("_steps").to_pylist(), firsts)]
     numbers = np.concatenate([unpack(c) for c in table.column("_counts").to_pylist()])
@@ -38,14 +38,17 @@ def _told(table: pa.Table) -> pa.Table:
     starts = runs(hashes[order])
     totals = np.empty(len(hashes), np.uint64)
     totals[order] = np.repeat(np.add.reduceat(numbers[order], starts), np.diff(np.append(starts, len(hashes))))
+    if outside:
+        totals -= numbers
     ends = np.cumsum([len(p) for p in parts])
-    packed = [pack(totals[e - len(p) : e]) for p, e in zip(parts, ends)]
+    packed = [pack(totals[e - len(p) : e], planes=outside) for p, e in zip(parts, ends)]
     return pa.table({"_group": table.column("_group"), "_bucket": table.column("_bucket"), "_totals": pa.array(packed, pa.binary())})
 
 
-def told(rows: DataFrame) -> DataFrame:
-    """The answers to rows of :data:`SENT`."""
-    return rows.groupBy("_bucket").applyInArrow(_told, TOLD)
+def told(rows: DataFrame, outside: bool = False) -> DataFrame:
+    """The answers to rows of :data:`SENT`; with ``outside`` the counts of all other groups,
+    which are mostly 0 where hashes are rare, so that they take little room."""
+    return rows.groupBy("_bucket").applyInArrow(lambda table: _told(table, outside), TOLD)
 
 
 def totals(answers: pa.Table) -> np.ndarray:

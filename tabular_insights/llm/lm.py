@@ -7,6 +7,10 @@ the counts and joins them to the n-grams that the groups sent. The groups sum th
 of each document. An n-gram that stands in a third of all documents is one entry for each
 group, never a row for each document.
 
+N-grams of one and two words are counted in a first round, those of each further length in
+a round of their own, which leaves out what can stand in one row only: an n-gram of two rows
+has both its shorter parts in two rows. So all counts outside a row stay exact.
+
 Every text that is scored is also part of the corpus, so counts leave its own row out: an
 n-gram counts as often as it stands in *other* rows, otherwise none would ever back off. The
 score of a word after its history is ``count(history, word) / count(history)`` where the
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,16 +42,63 @@ GROUP_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 _MIX, _ODD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def _grams(texts: list[str | None], order: int):
-    """Words of each text, and for each length from 0 on the hash and first place of every
-    n-gram; the one of length 0 stands once for each word."""
-    words, counts = word_hashes(texts)
-    found = [(np.full(len(words), _MIX), np.arange(len(words)))]
-    for n in range(1, order + 1):
-        rolled, _, first = windows(words, counts, n)
-        mixed = (rolled + np.uint64(n * int(_ODD) % 2**64)) * _MIX
-        found.append(((mixed ^ (mixed >> np.uint64(32))) * _ODD, first))
-    return counts, found
+def _grams(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every n-gram of ``n`` words, and the place of its last word."""
+    rolled, _, first = windows(words, counts, n)
+    mixed = (rolled + np.uint64(n * int(_ODD) % 2**64)) * _MIX
+    return (mixed ^ (mixed >> np.uint64(32))) * _ODD, first + n - 1
+
+
+def _others(text_of: np.ndarray, places: np.ndarray, numbers: np.ndarray, outside: np.ndarray) -> np.ndarray:
+    """How often each n-gram stands outside its own text: ``numbers`` times in the group, of
+    which its text has some, and ``outside`` times in other groups."""
+    own, often = np.ones(len(places), np.int64), np.flatnonzero(numbers[places] > 1)
+    _, which, found = np.unique(text_of[often] * len(numbers) + places[often], return_inverse=True, return_counts=True)
+    own[often] = found[which]
+    return (outside + numbers)[places] - own
+
+
+class _Group:
+    """The texts of a group, with what is known after the rounds that are ``told``.
+
+    ``seen[n]`` has, for the last word of each n-gram of ``n`` words, how often the n-gram
+    stands in other rows; ``asked`` has the n-grams of the next round and their counts.
+    """
+
+    def __init__(self, texts: list[str | None], order: int, told: list[np.ndarray]):
+        self.words, self.counts = word_hashes(texts)
+        self.text_of = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.seen: dict[int, np.ndarray] = {}
+        self.share = np.empty(0)
+        rounds = _rounds(order)
+        for at, lengths in enumerate(rounds[: len(told) + 1]):
+            grams = [self._candidates(n) for n in lengths]
+            hashes, places, numbers = np.unique(np.concatenate([h for h, _ in grams]), return_inverse=True, return_counts=True)
+            every = np.searchsorted(hashes, _MIX)  # stands for all words, in the first round
+            if at == len(told):
+                if at == 0 and len(self.words):
+                    hashes, numbers = np.insert(hashes, every, _MIX), np.insert(numbers, every, len(self.words))
+                self.asked = hashes, numbers
+                return
+            outside = told[at].astype(np.int64)
+            if at == 0 and len(self.words):
+                n_words, outside = outside[every] + len(self.words), np.delete(outside, every)
+                self.share = (outside + numbers)[places[: len(self.words)]] / n_words
+            parts = np.split(places, np.cumsum([len(h) for h, _ in grams])[:-1])
+            for n, part, (_, last) in zip(lengths, parts, grams):
+                self.seen[n] = np.zeros(len(self.words), np.int64)
+                self.seen[n][last] = _others(self.text_of[last], part, numbers, outside)
+
+    def _candidates(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        hashes, last = _grams(self.words, self.counts, n)
+        if n <= 2:
+            return hashes, last
+        shared = (self.seen[n - 1][last] > 0) & (self.seen[n - 1][last - 1] > 0)
+        return hashes[shared], last[shared]
+
+
+def _rounds(order: int) -> list[list[int]]:
+    return [[1, 2][:order], *([n] for n in range(3, order + 1))]
 
 
 def score(
@@ -72,43 +124,37 @@ def score(
         ]
     )
 
-    def others(text_of: np.ndarray, places: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        """How often each n-gram, numbered by ``places``, stands outside its own text."""
-        _, which, own = np.unique(text_of * len(totals) + places, return_inverse=True, return_counts=True)
-        return totals[places] - own[which]
+    n_rounds = len(_rounds(order))
+
+    def known(table: pa.Table, answers: pa.Table | None, n_told: int) -> _Group:
+        told = [counting.totals(answers.filter(pc.equal(answers.column("_round"), r))) for r in range(n_told)]
+        return _Group(table.column("text").to_pylist(), order, told)
 
-    def distinct(found):
-        return np.unique(np.concatenate([h for h, _ in found]), return_counts=True)
+    def asking(n_told: int):
+        def asked(table: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+            return counting.sent(table.column("_group")[0].as_py(), *known(table, answers, n_told).asked, n_buckets)
 
-    def sent(table: pa.Table) -> pa.Table:
-        hashes, numbers = distinct(_grams(table.column("text").to_pylist(), order)[1])
-        return counting.sent(table.column(0)[0].as_py(), hashes, numbers, n_buckets)
+        return (lambda table, answers: asked(table, answers)) if n_told else (lambda table: asked(table))
 
     def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
-        counts, found = _grams(table.column("text").to_pylist(), order)
+        group = known(table, answers, n_rounds)
+        counts, text_of = group.counts, group.text_of
         total, backed = np.zeros(len(counts)), np.zeros(len(counts), np.int64)
         if counts.sum():
-            hashes, _ = distinct(found)
-            totals = counting.totals(answers).astype(np.int64)
-            text_of = np.repeat(np.arange(len(counts)), counts)
-            words = np.searchsorted(hashes, found[1][0])
-            value = totals[words] / totals[np.searchsorted(hashes, found[0][0][0])]
-            seen = others(text_of, words, totals) if order > 1 else None
+            value, place = group.share, np.arange(len(text_of)) - np.repeat(np.cumsum(counts) - counts, counts)
             for n in range(2, order + 1):
-                rolled, first = found[n]
-                last = first + n - 1
-                longer = np.zeros(len(value), np.int64)
-                longer[last] = others(text_of[last], np.searchsorted(hashes, rolled), totals)
-                has_history = np.zeros(len(value), bool)
-                has_history[last] = True
-                history = np.append(1, seen[:-1])
+                has_history = place >= n - 1
+                longer, history = group.seen[n], np.append(1, group.seen[n - 1][:-1])
                 used = has_history & (longer >= min_count)
                 backed += np.bincount(text_of[has_history & ~used], minlength=len(counts))
                 value = np.where(used, longer / np.maximum(history, 1), np.where(has_history, backoff * value, value))
-                seen = longer
             total = np.bincount(text_of, np.log(value), minlength=len(counts))
         columns = [table.column("id"), pa.array(counts, pa.int64()), pa.array(backed, pa.int64()), pa.array(total, pa.float64())]
         return pa.table(columns, schema.names)
 
-    answers = counting.told(dealt.groupBy("_group").applyInArrow(sent, counting.SENT))
-    return dealt.groupBy("_group").cogroup(answers.groupBy("_group")).applyInArrow(scored, schema)
+    grouped, answers = dealt.groupBy("_group"), None
+    for r in range(n_rounds):
+        asked = grouped if answers is None else grouped.cogroup(answers.groupBy("_group"))
+        told = counting.told(asked.applyInArrow(asking(r), counting.SENT), outside=True).withColumn("_round", F.lit(r))
+        answers = told if answers is None else answers.union(told)
+    return grouped.cogroup(answers.groupBy("_group")).applyInArrow(scored, schema)

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_PLANES = 0x80  # flag in the first byte
 
 
 class _Hashes(dict):
@@ -59,18 +60,19 @@ def spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(sorted_values)]))
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Non-negative integers in as many bytes each as the largest needs."""
+def pack(values: np.ndarray, planes: bool = False) -> bytes:
+    """Non-negative integers in as many bytes each as the largest needs; with ``planes`` all
+    low bytes first, so that the zeros of small ones stand together for a compressor."""
     values = np.ascontiguousarray(values, "<u8")
     width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
-    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    raw = values.view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width | (_PLANES if planes else 0)]) + (raw.T if planes else raw).tobytes()
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    width = packed[0]
-    raw = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    width = packed[0] & ~_PLANES
+    raw = np.frombuffer(packed, np.uint8, offset=1)
+    raw = raw.reshape(width, -1).T if packed[0] & _PLANES else raw.reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :width] = raw
     return out.reshape(-1).view("<u8")
-
-
