@@ -18,12 +18,12 @@ TOLD = "_group int, _bucket int, _totals binary"
 _KINDS = {"_bucket": pa.int32(), "_group": pa.int32(), "_first": pa.int64(), "_steps": pa.binary(), "_counts": pa.binary()}
 
 
-def sent(group: int, hashes: np.ndarray, numbers: np.ndarray, n_buckets: int) -> pa.Table:
-    """Rows of :data:`SENT` from the sorted distinct ``hashes`` of a group."""
+def sent(group: int, hashes: np.ndarray, numbers: np.ndarray, n_buckets: int, planes: bool = False) -> pa.Table:
+    """Rows of :data:`SENT` from the sorted distinct ``hashes`` of a group; ``planes`` as in ``pack``."""
     bucket = bucket_of(hashes, n_buckets)
     rows = [
         (int(bucket[a]), group, hashes[a : a + 1].view(np.int64)[0],
-         pack(np.diff(hashes[a:b], prepend=hashes[a])), pack(numbers[a:b]))
+         pack(np.diff(hashes[a:b], prepend=hashes[a])), pack(numbers[a:b], planes))
         for a, b in spans(bucket)
     ]
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS.values())], list(_KINDS))

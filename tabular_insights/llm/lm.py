@@ -132,7 +132,7 @@ def score(
 
     def asking(n_told: int):
         def asked(table: pa.Table, answers: pa.Table | None = None) -> pa.Table:
-            return counting.sent(table.column("_group")[0].as_py(), *known(table, answers, n_told).asked, n_buckets)
+            return counting.sent(table.column("_group")[0].as_py(), *known(table, answers, n_told).asked, n_buckets, planes=True)
 
         return (lambda table, answers: asked(table, answers)) if n_told else (lambda table: asked(table))
 

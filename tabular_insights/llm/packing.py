@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import xxhash
 
@@ -62,17 +64,21 @@ def spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
 
 def pack(values: np.ndarray, planes: bool = False) -> bytes:
     """Non-negative integers in as many bytes each as the largest needs; with ``planes`` all
-    low bytes first, so that the zeros of small ones stand together for a compressor."""
+    low bytes first, then the next, compressed: for counts, which are small but for a few."""
     values = np.ascontiguousarray(values, "<u8")
     width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
     raw = values.view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width | (_PLANES if planes else 0)]) + (raw.T if planes else raw).tobytes()
+    if planes:
+        return bytes([width | _PLANES]) + zlib.compress(raw.T.tobytes(), 1)
+    return bytes([width]) + raw.tobytes()
 
 
 def unpack(packed: bytes) -> np.ndarray:
     width = packed[0] & ~_PLANES
-    raw = np.frombuffer(packed, np.uint8, offset=1)
-    raw = raw.reshape(width, -1).T if packed[0] & _PLANES else raw.reshape(-1, width)
+    if packed[0] & _PLANES:
+        raw = np.frombuffer(zlib.decompress(packed[1:]), np.uint8).reshape(width, -1).T
+    else:
+        raw = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :width] = raw
     return out.reshape(-1).view("<u8")
