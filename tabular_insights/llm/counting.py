@@ -23,7 +23,7 @@ def sent(group: int, hashes: np.ndarray, numbers: np.ndarray, n_buckets: int, pl
     bucket = bucket_of(hashes, n_buckets)
     rows = [
         (int(bucket[a]), group, hashes[a : a + 1].view(np.int64)[0],
-         pack(np.diff(hashes[a:b], prepend=hashes[a])), pack(numbers[a:b], planes))
+         pack(np.diff(hashes[a:b], prepend=hashes[a]), planes), pack(numbers[a:b], planes))
         for a, b in spans(bucket)
     ]
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS.values())], list(_KINDS))

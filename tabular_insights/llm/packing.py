@@ -64,7 +64,7 @@ def spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
 
 def pack(values: np.ndarray, planes: bool = False) -> bytes:
     """Non-negative integers in as many bytes each as the largest needs; with ``planes`` all
-    low bytes first, then the next, compressed: for counts, which are small but for a few."""
+    low bytes first, then the next, compressed: few need their highest bytes."""
     values = np.ascontiguousarray(values, "<u8")
     width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
     raw = values.view(np.uint8).reshape(-1, 8)[:, :width]
