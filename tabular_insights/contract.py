@@ -7,6 +7,7 @@ Each takes ``(spark, sf_dir)``. The tree and forest searches run the published g
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
@@ -734,6 +735,46 @@ def forest_tally_results(spark, sf_dir):
     return forest_flow(incidents(spark, sf_dir), FOREST_SPEC, FOREST_GRID, bootstrap=False).results
 
 
+# A bootstrap drawn from the tally
+
+#: Trees of the forest that SQL follows.
+DRAWN_TREES = 7
+
+
+def drawn_tally(spark, sf_dir, columns: list[str], trees: int) -> DataFrame:
+    rows = ops.flag_to_int(clean(spark, sf_dir), ["arrest", "domestic"])
+    return stage(ops.bootstrap_draws(ops.tally(rows, columns), columns, trees), "drawn")
+
+
+@query
+def bootstrap_weights(spark, sf_dir):
+    """How often each tree draws each combination, few and many rows alike."""
+    columns = ["primary_type", "domestic", "ward", "year", "arrest"]
+    drawn = drawn_tally(spark, sf_dir, columns, 3)
+    return drawn.select(*columns, "rows", F.posexplode("draws").alias("tree", "weight"))
+
+
+@query
+def bootstrap_forest_votes(spark, sf_dir):
+    """A forest of one-split trees over the drawn tally: its votes for every primary type."""
+    counted = drawn_tally(spark, sf_dir, ["primary_type", "arrest"], DRAWN_TREES)
+    indexer = ops.category_indexer(counted, ["primary_type"], weight="rows")
+    data = ops.assemble(indexer.transform(counted), ["primary_type_index"], keep=["arrest", "rows", "draws"])
+    model = ops.BootstrapForest(numTrees=DRAWN_TREES, maxDepth=1, labelCol="arrest").fit(data)
+    types = counted.groupBy("primary_type").agg(F.sum("rows").alias("rows"))
+    scored = ops.score(model, ops.assemble(indexer.transform(types), ["primary_type_index"], keep=["primary_type", "rows"]))
+    found = model.votes(scored.withColumn("p1", F.get(vector_to_array("probability"), F.lit(1))))
+    for_one = F.size(F.filter("votes", lambda v: F.get(v, F.lit(1)) > 0.5))
+    return found.select("primary_type", "rows", F.round("p1", 6).alias("p1"), "prediction", for_one.alias("trees_for_1"))
+
+
+@query
+def forest_bootstrap_results(spark, sf_dir):
+    """The published grid of eight forests over the tally, on the label that needs three features."""
+    spec = replace(ESCALATED_SPEC, train_partitions=4)
+    return forest_flow(escalated(spark, sf_dir), spec, FOREST_GRID, bootstrap="tally").results
+
+
 def one_split_forest(spark, sf_dir):
     """A cross-validated run that SQL can follow: one tree with no split, or with the best."""
     grid = ops.param_grid(num_trees=[1], max_depth=[0, 1], max_bins=[32])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .contract import NETWORK, network_weight
+from .contract import DRAWN_TREES, NETWORK, network_weight
+from .operators.bootstrap import EXACT_MEAN
+from .operators.models import SEED
 
 _COLUMNS = (
     "ts, block, primary_type, description, location_description, arrest, domestic, beat, "
@@ -544,3 +546,49 @@ SELECT 'description' AS "column", count(DISTINCT description) AS "true", true AS
 UNION ALL SELECT 'location_description', count(DISTINCT location_description), true, true FROM incidents
 UNION ALL SELECT 'block', count(DISTINCT block), false, true FROM incidents""",
 }
+
+
+def _drawn(columns: str, trees: int) -> str:
+    """CTEs up to ``drawn``: the tally of ``columns`` with the draw of each tree."""
+    key = " || ':' || ".join(columns.split(", "))
+    part = "(CAST('0x' || substr(digest, {}, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496".format
+    return f""", counted AS (
+  SELECT {columns}, count(*) AS rows FROM clean GROUP BY ALL
+), terms AS (
+  SELECT m, k, exp(k * ln(m) - m - lgamma(k + 1)) AS p
+  FROM (SELECT unnest(range(1, {EXACT_MEAN + 1})) AS m), (SELECT unnest(range(0, 150)) AS k)
+), sums AS (
+  SELECT m, list(s ORDER BY k) AS upto FROM (SELECT m, k, sum(p) OVER (PARTITION BY m ORDER BY k) AS s FROM terms) GROUP BY m
+), digests AS (
+  SELECT *, md5({key} || ':' || tree || ':{SEED}') AS digest
+  FROM counted, (SELECT CAST(unnest(range({trees})) AS INTEGER) AS tree) t
+), uniforms AS (
+  SELECT * EXCLUDE (digest), {part(1)} AS u, sqrt(-2 * ln({part(1)})) * cos(2 * pi() * {part(14)}) AS z FROM digests
+), drawn AS (
+  SELECT {columns}, rows, tree, CASE WHEN upto IS NOT NULL THEN len(list_filter(upto, lambda c: c <= u))
+    ELSE greatest(CAST(floor(rows + z * sqrt(rows) + (z * z - 1) / 6 + 0.5) AS BIGINT), 0) END AS weight
+  FROM uniforms LEFT JOIN sums ON m = rows
+)"""
+
+
+ORACLES |= {
+    "bootstrap_weights": f"""{_CLEAN}{_drawn("primary_type, domestic, ward, year, arrest", 3)}
+SELECT * FROM drawn""",
+    "bootstrap_forest_votes": f"""{_CLEAN}{_drawn("primary_type, arrest", DRAWN_TREES)}, types AS (
+  SELECT tree, primary_type, sum(weight)::DOUBLE AS n, sum(weight * arrest)::DOUBLE AS pos FROM drawn GROUP BY ALL
+), prefixes AS (
+  SELECT tree, primary_type, row_number() OVER w AS place, sum(n) OVER w AS ln, sum(pos) OVER w AS lp,
+         sum(n) OVER (PARTITION BY tree) AS n, sum(pos) OVER (PARTITION BY tree) AS pos
+  FROM types WINDOW w AS (PARTITION BY tree ORDER BY pos / n, primary_type ROWS UNBOUNDED PRECEDING)
+), best AS (
+  SELECT tree, place AS cut, lp / ln AS left_p, (pos - lp) / (n - ln) AS right_p FROM prefixes WHERE ln < n
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY
+    ln / n * {_gini("lp", "ln")} + (n - ln) / n * {_gini("(pos - lp)", "(n - ln)")}, place) = 1
+), votes AS (
+  SELECT primary_type, CASE WHEN place <= cut THEN left_p ELSE right_p END AS p FROM prefixes JOIN best USING (tree)
+)
+SELECT primary_type, CAST((SELECT sum(rows) FROM counted c WHERE c.primary_type = votes.primary_type) AS BIGINT) AS rows,
+  round(avg(p), 6) AS p1, CASE WHEN avg(p) > 0.5 THEN 1.0::DOUBLE ELSE 0.0 END AS prediction,
+  CAST(count(*) FILTER (p > 0.5) AS INTEGER) AS trees_for_1
+FROM votes GROUP BY primary_type""",
+}

@@ -1,3 +1,4 @@
+from .bootstrap import BootstrapForest, BootstrapForestModel, bootstrap_draws, poisson
 from .categories import (
     bucket_other,
     category_indexer,

@@ -158,6 +158,7 @@ def cross_validate(
     k: int = 3,
     parallelism: int = 4,
     weight: str | None = None,
+    prefix: str | None = None,
 ) -> Search:
     """k-fold cross-validation over the folds in ``fold_col``, then a refit on all rows.
 
@@ -165,7 +166,8 @@ def cross_validate(
     the mean and the standard deviation of ``metric`` over the folds. For a tally, give
     ``weight`` here and to the estimator. The rows are kept during the search, so they are
     read and assembled once; the fits of all folds and points share one pool, and of their
-    models none is held.
+    models none is held. ``prefix`` names a number of trees where a smaller forest is the
+    ``first`` trees of a larger one: points that differ in it only then share a fit.
     """
     spark = data.sparkSession
     _grid_fields(grid)
@@ -174,20 +176,33 @@ def cross_validate(
     def settings(point: dict[str, Any]) -> dict:
         return {estimator.getParam(params[name]): value for name, value in point.items()}
 
-    def run(task: tuple[int, int]) -> float:
-        place, fold = task
-        model = estimator.copy(settings(grid[place])).fit(data.filter(F.col(fold_col) != fold))
-        held_out = score(model, data.filter(F.col(fold_col) == fold))
-        found = classification_metrics(held_out, label, weight=weight).first()
-        if found is None or found[metric] is None:
-            raise ValueError(f"fold {fold} has no rows")
-        return found[metric]
-
-    tasks = [(place, fold) for place in range(len(grid)) for fold in range(k)]
+    shared: dict[Any, list[int]] = {}
+    for place, point in enumerate(grid):
+        other = tuple(sorted((n, v) for n, v in point.items() if n != prefix)) if prefix else place
+        shared.setdefault(other, []).append(place)
+
+    def run(task: tuple[list[int], int]) -> dict[tuple[int, int], float]:
+        places, fold = task
+        largest = max(places, key=lambda p: grid[p][prefix]) if prefix else places[0]
+        model = estimator.copy(settings(grid[largest])).fit(data.filter(F.col(fold_col) != fold))
+        values = {}
+        for place in places:
+            held_out = score(
+                model.first(grid[place][prefix]) if prefix else model, data.filter(F.col(fold_col) == fold)
+            )
+            found = classification_metrics(held_out, label, weight=weight).first()
+            if found is None or found[metric] is None:
+                raise ValueError(f"fold {fold} has no rows")
+            values[place, fold] = found[metric]
+        return values
+
+    tasks = [(places, fold) for places in shared.values() for fold in range(k)]
     try:
+        found: dict[tuple[int, int], float] = {}
         with ThreadPoolExecutor(max(1, min(parallelism, len(tasks)))) as pool:
-            found = list(pool.map(inheritable_thread_target(spark)(run), tasks))
-        by_point = [found[i : i + k] for i in range(0, len(found), k)]
+            for values in pool.map(inheritable_thread_target(spark)(run), tasks):
+                found |= values
+        by_point = [[found[place, fold] for fold in range(k)] for place in range(len(grid))]
         scores = [(fmean(values), pstdev(values)) for values in by_point]
         best = best_index([s[0] for s in scores])
         best_model = estimator.copy(settings(grid[best])).fit(data)

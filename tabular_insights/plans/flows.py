@@ -20,9 +20,11 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import (
+    BootstrapForest,
     add_folds,
     assemble,
     best_params,
+    bootstrap_draws,
     category_indexer,
     check_bins,
     cross_validate,
@@ -117,14 +119,14 @@ class Flow:
 @dataclass(frozen=True)
 class _Prepared:
     indexer: PipelineModel
-    tally: DataFrame  # features, split, fold if any, label, rows
+    tally: DataFrame  # features, split, fold if any, label, rows, draws if any
     rows: DataFrame | None  # features, split, fold if any, label; one row per incident
 
 
 def _prepare(
-    df: DataFrame, spec: IncidentSpec, single_rows: bool = False, folds: int = 0
+    df: DataFrame, spec: IncidentSpec, single_rows: bool = False, folds: int = 0, trees: int = 0, seed: int = SEED
 ) -> _Prepared:
-    """Clean, count, reduce, split, number and assemble."""
+    """Clean, count, reduce, split, number and assemble; draw the tally for ``trees``."""
     if spec.fit_on not in ("all", "train"):
         raise ValueError("fit_on must be 'all' or 'train'")
     columns = [spec.label, *spec.categories, *spec.flags, *spec.numbers]
@@ -150,9 +152,10 @@ def _prepare(
     def ready(data: DataFrame, keep: Sequence[str]) -> DataFrame:
         return assemble(indexer.transform(data), spec.features, keep=["split", *keep, spec.label])
 
+    drawn = bootstrap_draws(kept, ["split", *extra, *columns], trees, seed=seed) if trees else kept
     return _Prepared(
         indexer,
-        ready(kept, ["rows", *extra]),
+        ready(drawn, ["rows", *extra, *(["draws"] if trees else [])]),
         ready(rows, extra) if single_rows else None,
     )
 
@@ -235,26 +238,35 @@ def forest_flow(
     folds: int = 3,
     seed: int = SEED,
     parallelism: int = 4,
-    bootstrap: bool = True,
+    bootstrap: bool | str = True,
 ) -> Flow:
     """Forest grid by accuracy over folds of the training split.
 
     Gives the best parameters with their validation accuracy, the importances, and
-    the metrics on the test split. Without ``bootstrap`` the forest, too, trains on
-    the tally, and the size of the input matters for one pass only.
+    the metrics on the test split. ``bootstrap`` is true for Spark's own, over single rows,
+    ``"tally"`` for one drawn from the tally, or false. But for the first the forest, too,
+    trains on the tally, and the size of the input matters for one pass only.
     """
+    if bootstrap not in (True, False, "tally"):
+        raise ValueError("bootstrap must be True, False or 'tally'")
     spark = df.sparkSession
-    data = _prepare(df, spec, single_rows=bootstrap, folds=folds)
+    from_tally = bootstrap == "tally"
+    trees = max(point.get("num_trees", 20) for point in grid) if from_tally else 0
+    bootstrap = bootstrap is True
+    data = _prepare(df, spec, single_rows=bootstrap, folds=folds, trees=trees, seed=seed)
     if spec.fit_on == "train":
         grid = [{**p, "max_bins": _bins(data, spec, p.get("max_bins", 32))} for p in grid]
     check_bins(data.tally, min(point.get("max_bins", 32) for point in grid))
     train = (data.rows if bootstrap else data.tally).filter(IS_TRAIN)
     train = train.repartition(spec.train_partitions)
-    forest = RandomForestClassifier(
-        labelCol=spec.label, featuresCol="features", seed=seed, bootstrap=bootstrap
-    )
-    if not bootstrap:
-        forest.setWeightCol("rows")
+    if from_tally:
+        forest = BootstrapForest(labelCol=spec.label, seed=seed, parallelism=parallelism)
+    else:
+        forest = RandomForestClassifier(
+            labelCol=spec.label, featuresCol="features", seed=seed, bootstrap=bootstrap
+        )
+        if not bootstrap:
+            forest.setWeightCol("rows")
     found = cross_validate(
         train,
         forest,
@@ -264,6 +276,7 @@ def forest_flow(
         k=folds,
         parallelism=parallelism,
         weight=None if bootstrap else "rows",
+        prefix="num_trees" if from_tally and "num_trees" in grid[0] else None,
     )
     by_split = {
         name: data.tally.filter(F.col("split") == name) for name in ("validation", "test")
