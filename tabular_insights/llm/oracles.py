@@ -145,9 +145,19 @@ INTERACTIONS = rf"""{_WORDS}, flags AS (
 )
 SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM report"""
 
-_GRID = ", ".join(f"('{rule}', {cutoff})" for rule, grid in quality.RULES.items() for cutoff in grid)
-_RISK = quality.ALLOWANCE / len(quality.RULES)
-_LEVEL = quality.ERROR / ((quality.MAX_STRATA + 1) * sum(map(len, quality.RULES.values())))
+_GRID = ", ".join(f"('{rule}', {step}, {cutoff})" for rule, grid in quality.RULES.items() for step, cutoff in enumerate(grid))
+_RULES = len(quality.RULES)
+
+
+def _sure(risk: float, tests: int) -> str:
+    """The test of counts ``n, k, caught`` whose level is its stratum's half of the error over ``tests``."""
+    return f"""caught > 0 AND k <= {risk} * n AND list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk}))))
+    <= {quality.ERROR} / (2 * {tests} * (SELECT m FROM present))"""
+
+
+_COUNTED = """count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND hit) AS k,
+         count(*) FILTER (quality = 0 AND hit) AS caught"""
 _RATE = "CASE WHEN {1} > 0 THEN 1000 * {0} // {1} ELSE 0 END".format
 
 QUALITY = rf"""{_WORDS}, windows AS (
@@ -176,19 +186,31 @@ QUALITY = rf"""{_WORDS}, windows AS (
   UNPIVOT (SELECT doc_id, lang, base_failed, symbol_rate, repeat_rate, dup_line_rate, word_length FROM rated)
   ON symbol_rate, repeat_rate, dup_line_rate, word_length INTO NAME rule VALUE rate
 ), strata AS (
-  SELECT lang FROM rated JOIN labels USING (doc_id) WHERE lang <> '' GROUP BY lang ORDER BY count(*) DESC, lang
-  LIMIT {quality.MAX_STRATA}
-), tests AS (
-  SELECT coalesce(s.lang, 'other') AS stratum, rule, cutoff, count(*) FILTER (quality = 1) AS n,
-         count(*) FILTER (quality = 1 AND rate > cutoff) AS k, count(*) FILTER (quality = 0 AND rate > cutoff) AS caught
-  FROM long JOIN labels USING (doc_id) LEFT JOIN strata s ON long.lang = s.lang
-  JOIN (VALUES {_GRID}) t(rule, cutoff) USING (rule) WHERE NOT base_failed GROUP BY ALL
-), sure AS (
-  SELECT * FROM tests WHERE caught > 0 AND k <= {_RISK} * n AND list_sum(list_transform(range(0, k + 1), lambda i:
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RISK}) + (n - i) * ln(1 - {_RISK})))) <= {_LEVEL}
-), cutoffs AS (
-  SELECT stratum, rule, cutoff FROM sure
+  SELECT DISTINCT lang FROM rated JOIN labels USING (doc_id) WHERE lang <> ''
+), passed AS (
+  SELECT doc_id, coalesce(s.lang, 'other') AS stratum, quality, rule, rate
+  FROM long JOIN labels USING (doc_id) LEFT JOIN strata s ON long.lang = s.lang WHERE NOT base_failed
+), present AS (
+  SELECT greatest(count(DISTINCT stratum) FILTER (quality = 1), 1) AS m FROM passed
+), tried AS (
+  SELECT passed.*, step, cutoff, rate > cutoff AS hit FROM passed JOIN (VALUES {_GRID}) t(rule, step, cutoff) USING (rule)
+), alone AS (
+  SELECT * FROM (SELECT stratum, rule, cutoff, {_COUNTED} FROM tried GROUP BY ALL)
+  WHERE {_sure(quality.ALLOWANCE / _RULES, _RULES)}
   QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught DESC, cutoff DESC) = 1
+), together AS (
+  SELECT * FROM (SELECT stratum, step, {_COUNTED}
+    FROM (SELECT doc_id, stratum, quality, step, bool_or(hit) AS hit FROM tried GROUP BY ALL) GROUP BY ALL)
+  WHERE {_sure(quality.ALLOWANCE, 1)}
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY caught DESC, step) = 1
+), alone_caught AS (
+  SELECT stratum, count(DISTINCT doc_id) AS caught FROM tried SEMI JOIN alone USING (stratum, rule, cutoff)
+  WHERE quality = 0 AND hit GROUP BY stratum
+), joint AS (
+  SELECT stratum, step FROM together t LEFT JOIN alone_caught a USING (stratum) WHERE t.caught > coalesce(a.caught, 0)
+), cutoffs AS (
+  SELECT stratum, rule, cutoff FROM alone ANTI JOIN joint USING (stratum)
+  UNION ALL SELECT DISTINCT stratum, rule, cutoff FROM joint JOIN tried USING (stratum, step)
 ), hits AS (
   SELECT doc_id, string_agg(rule, ',' ORDER BY list_position({list(quality.RULES)}, rule)) AS rules
   FROM long LEFT JOIN strata s ON long.lang = s.lang

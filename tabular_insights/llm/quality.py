@@ -1,23 +1,20 @@
 """Quality rules whose cutoffs are chosen under a controlled risk of false rejection.
 
-Each rule rejects a document whose measure exceeds a cutoff. For every stratum, rule and
-cutoff of a fixed grid, the labelled good documents of the stratum are the holdout: with
-``n`` of them and ``k`` rejected, the exact binomial tail ``P(Bin(n, risk) <= k)`` is the
-p-value of "this rule rejects more than ``risk`` of the good documents". A cutoff is
-certified where that value is at most ``error`` divided by the number of all tests
-(Bonferroni), and ``risk`` is the stratum's allowance divided by the number of rules, so
-that all rules together stay within the allowance. Of the certified cutoffs of a rule the
-one that rejects the most labelled bad documents is taken, the loosest of equals. A rule
-without a certified cutoff that rejects a bad document is not used in the stratum.
-:func:`keep_good` spends the error better, see :func:`certify_in_sequence`.
+Each rule rejects a document whose measure exceeds a cutoff of a fixed grid. The labelled
+good documents of a stratum are its holdout: with ``n`` of them and ``k`` rejected, the exact
+binomial tail ``P(Bin(n, risk) <= k)`` is the p-value of "this rejects more than ``risk`` of
+the good documents". A cutoff is certified where that value is at most its share of the
+error; :func:`certify_in_sequence` says how the error is shared between strata, rules and
+cutoffs, so that all statements hold together. Of the certified cutoffs those that reject the
+most labelled bad documents are taken, the loosest of equals. A rule without a certified
+cutoff that rejects a bad document is not used in the stratum.
 
 Everything is DataFrame functions. Measures of a document need no shuffle; the counts per
-stratum combine in each task; the table of cutoffs has at most ``max_strata + 1`` rows,
-which bounds its broadcast.
+stratum combine in each task. Strata are all labelled languages, however many; Spark picks
+the join with the table of cutoffs, one row for each, by its size.
 
 Defined cases: a null or empty text has no words and fails the base rules; documents
-without a language, or whose language is not among the ``max_strata`` most frequent
-labelled ones, share the stratum ``other``; without labels no rule is certified and only
+without a language, or of a language without a label, share the stratum ``other``; without labels no rule is certified and only
 the base rules decide; repeated rows are judged alike, each giving its row; a label that
 is null counts as neither good nor bad; an empty table gives an empty table. Windows of
 words are compared by 64-bit hashes within one document.
@@ -39,7 +36,7 @@ RULES = {
     "dup_line_rate": [500, 400, 300, 250, 200, 150, 100, 80, 50, 20],
     "word_length": [14000, 12000, 11000, 10000, 9500, 9000, 8500, 8000, 7500, 7000],
 }
-ALLOWANCE, ERROR, MAX_STRATA = 0.02, 0.05, 16
+ALLOWANCE, ERROR = 0.02, 0.05
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
@@ -124,35 +121,18 @@ def binomial_tail(n: Column, k: Column, risk: float) -> Column:
     return F.when(k > risk * n, 1.0).otherwise(F.exp(log_term) * F.when(k > 0, ratios).otherwise(1.0))
 
 
-def strata(labelled: DataFrame, language: str, max_strata: int) -> DataFrame:
-    """At most ``max_strata`` rows: the most frequent labelled languages."""
-    counts = labelled.filter(F.col(language).isNotNull()).groupBy(F.col(language).alias("stratum")).count()
-    return counts.orderBy(F.desc("count"), "stratum").limit(max_strata).select("stratum")
+def strata(labelled: DataFrame, language: str) -> DataFrame:
+    """The labelled languages."""
+    return labelled.filter(F.col(language).isNotNull()).select(F.col(language).alias("stratum")).distinct()
 
 
 def with_stratum(df: DataFrame, names: DataFrame, language: str) -> DataFrame:
-    """``df`` with its stratum; ``names`` has a bounded number of rows."""
-    known = F.broadcast(names.select(F.col("stratum").alias("_known")))
+    """``df`` with its stratum."""
+    known = names.select(F.col("stratum").alias("_known"))
     joined = df.drop("stratum").join(known, F.col(language) == F.col("_known"), "left")
     return joined.withColumn("stratum", F.coalesce("_known", F.lit("other"))).drop("_known")
 
 
-def certify(
-    labelled: DataFrame,
-    rules: dict[str, list[int]] = RULES,
-    allowance: float = ALLOWANCE,
-    error: float = ERROR,
-    n_strata: int = MAX_STRATA + 1,
-) -> DataFrame:
-    """One row for each stratum of ``labelled`` (stratum, quality, measured counts): its
-    cutoff for every rule, null where the rule is not used."""
-    values = measures()
-    tests = {(rule, cutoff): values[rule] > cutoff for rule, grid in rules.items() for cutoff in grid}
-    level = error / (n_strata * len(tests))
-    chosen = _certified(labelled.filter(~base_failed()), tests, allowance / len(rules), level)
-    return chosen.groupBy("stratum").pivot("rule", list(rules)).agg(F.first("cutoff"))
-
-
 def _certified(passed: DataFrame, tests: dict[tuple[str, int], Column], risk: float, level: float) -> DataFrame:
     """Rows ``(stratum, rule, cutoff, caught)``: of the tests of each rule that are certified
     and reject a bad document the one that rejects most, the largest cutoff of equals."""
@@ -180,9 +160,10 @@ def _certified(passed: DataFrame, tests: dict[tuple[str, int], Column], risk: fl
 def certify_in_sequence(
     labelled: DataFrame, rules: dict[str, list[int]] = RULES, allowance: float = ALLOWANCE, error: float = ERROR
 ) -> DataFrame:
-    """As :func:`certify`, with the error shared by the strata that have good labels only.
+    """One row for each stratum of ``labelled`` (stratum, quality, measured counts): its
+    cutoff for every rule, null where the rule is not used.
 
-    Cutoffs are tested loosest first until one fails, which needs no division by their
+    The strata that have good labels share the error. Cutoffs are tested loosest first until one fails, which needs no division by their
     number; as a tighter cutoff rejects no fewer documents, the tests before a certified one
     are certified as well. Half of a stratum's error tests each rule by itself, at the
     allowance divided by the rules. The other half tests all rules at once, tightened
@@ -209,7 +190,7 @@ def certify_in_sequence(
 
 def judge(df: DataFrame, cutoffs: DataFrame, rules: dict[str, list[int]] = RULES) -> DataFrame:
     """Measured rows with ``base_failed``, ``rejected_by`` (rules) and ``kept``."""
-    table = F.broadcast(cutoffs.select("stratum", *[F.col(r).alias(f"_{r}") for r in rules]))
+    table = cutoffs.select("stratum", *[F.col(r).alias(f"_{r}") for r in rules])
     values = measures()
     hits = {r: F.coalesce(values[r] > F.col(f"_{r}"), F.lit(False)) for r in rules}
     joined = df.join(table, "stratum", "left").withColumn("base_failed", base_failed())
@@ -221,17 +202,13 @@ def judge(df: DataFrame, cutoffs: DataFrame, rules: dict[str, list[int]] = RULES
     ).drop(*[f"_{r}" for r in rules])
 
 
-def learn(
-    measured: DataFrame, labels: DataFrame, id_col: str, language: str, max_strata: int = MAX_STRATA, sequence: bool = False
-):
-    """Strata and cutoffs from measured documents and ``labels`` (id, quality), those of
-    :func:`certify_in_sequence` where ``sequence`` is set."""
+def learn(measured: DataFrame, labels: DataFrame, id_col: str, language: str) -> tuple[DataFrame, DataFrame]:
+    """Strata and cutoffs from measured documents and ``labels`` (id, quality), both staged."""
     label = labels.select(F.col(id_col).alias("_id"), F.col("quality"))
     counted = measured.select(F.col(id_col).alias("_id"), language, *_COUNTS)
     labelled = counted.join(label, "_id").drop("_id")
-    names = strata(labelled, language, max_strata)
-    labelled = with_stratum(labelled, names, language)
-    return names, certify_in_sequence(labelled) if sequence else certify(labelled, n_strata=max_strata + 1)
+    names = stage(strata(labelled, language), "strata")
+    return names, stage(certify_in_sequence(with_stratum(labelled, names, language)), "cutoffs")
 
 
 def keep_good(
@@ -243,8 +220,8 @@ def keep_good(
     down, and once more to apply them, so they are neither shuffled nor copied.
     """
     measured = stage(measure(df.select(id_col, lang_col, text_col), text_col).drop(text_col), "measured")
-    names, cutoffs = learn(measured, labels, id_col, lang_col, sequence=True)
-    judged = judge(with_stratum(measure(df, text_col), stage(names, "strata"), lang_col), stage(cutoffs, "cutoffs"))
+    names, cutoffs = learn(measured, labels, id_col, lang_col)
+    judged = judge(with_stratum(measure(df, text_col), names, lang_col), cutoffs)
     # one test that needs the cutoffs: a part of it on the counts alone would be pushed
     # below the measuring, with every expression in it computed anew
     reasons = F.array_compact(F.concat("rejected_by", F.array(F.when(F.col("base_failed"), F.lit("base")))))

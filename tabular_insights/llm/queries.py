@@ -26,7 +26,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     measured = stage(quality.measure(docs.select("doc_id", "lang", "text")).drop("text"), "measured")
     names, cutoffs = quality.learn(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "lang")
-    judged = quality.judge(quality.with_stratum(measured, names, "lang"), stage(cutoffs, "cutoffs"))
+    judged = quality.judge(quality.with_stratum(measured, names, "lang"), cutoffs)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.array_join("rejected_by", ",").alias("rejected_by"),

@@ -151,6 +151,17 @@ def test_a_few_hundred_good_labels_certify(spark):
     assert kept.filter("n_symbols = 0").count() == 405
 
 
+def test_every_labelled_language_is_a_stratum(spark):
+    body = " ".join(f"word{i}" for i in range(30))
+    rows = [(20 * i + j, f"{body} {i}" + " #####" * 2 * (i >= 400), f"l{j}", int(i < 400)) for i in range(410) for j in range(20)]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    _, cutoffs = quality.learn(quality.measure(df), labels, "doc_id", "lang")
+    assert {r.stratum for r in cutoffs.collect()} == {f"l{j}" for j in range(20)}
+    kept = quality.keep_good(df, labels)
+    assert kept.filter("n_symbols > 0").count() == 0 and kept.count() == 8000
+
+
 def test_quality_without_labels_and_rows(docs, empty):
     none = docs.sparkSession.createDataFrame([], "doc_id long, quality int")
     kept = quality.keep_good(docs, none).select(*[c for c in docs.columns if c != "n_words"])
