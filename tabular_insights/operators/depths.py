@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.base import Model
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,20 +29,24 @@ def cut_predictions(spark: SparkSession, model: Model, depths: Sequence[int]) ->
     it is cut at each of ``depths``.
 
     Leaves are numbered from left to right, as the model numbers them. A tree lives on the
-    driver, and so do its nodes here.
+    driver, and so do its nodes here, as arrays: a few numbers for each node and depth.
     """
-    nodes = saved_nodes(spark, model).select("id", "leftChild", "rightChild", "prediction").collect()
-    known = {n["id"]: n for n in nodes}
-    rows, open_nodes = [], [(known[0], [])]
-    while open_nodes:
-        node, above = open_nodes.pop()
-        path = [*above, node["prediction"]]
-        if node["leftChild"] < 0:
-            cut = [float(path[min(depth, len(path) - 1)]) for depth in depths]
-            rows.append((float(len(rows)), cut))
-        else:  # the left child comes next
-            open_nodes += [(known[node["rightChild"]], path), (known[node["leftChild"]], path)]
-    return spark.createDataFrame(rows, "leaf double, predictions array<double>")
+    nodes = saved_nodes(spark, model).select("id", "leftChild", "rightChild", "prediction").toArrow().sort_by("id")
+    left, right, own = (nodes.column(c).to_numpy() for c in ("leftChild", "rightChild", "prediction"))
+    wanted = np.array(depths)
+    cut = np.empty((len(own), len(wanted)))
+    cut[0] = own[0]
+    level, depth = np.zeros(1, np.int64), 0
+    while len(level):
+        depth += 1
+        above = level[left[level] >= 0]
+        for child in (left[above], right[above]):
+            cut[child] = np.where(wanted >= depth, own[child][:, None], cut[above])
+        level = np.concatenate([left[above], right[above]])
+    found = cut[left < 0]  # ids are in preorder, so leaves come from left to right
+    starts = np.arange(len(found) + 1, dtype=np.int32) * len(wanted)
+    columns = [pa.array(np.arange(len(found), dtype=float)), pa.ListArray.from_arrays(starts, found.ravel())]
+    return spark.createDataFrame(pa.table(columns, ["leaf", "predictions"]), "leaf double, predictions array<double>")
 
 
 def score_depths(model: Model, df: DataFrame, depths: Sequence[int]) -> DataFrame:

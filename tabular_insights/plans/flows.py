@@ -182,7 +182,7 @@ def tree_flow(
     max_bins = _bins(data, spec, max_bins)
     total = data.tally.filter(IS_TRAIN).agg(F.sum("rows").alias("n")).first()["n"]
     fit = partial(
-        fit_tree, label=spec.label, max_bins=max_bins, seed=seed, weight="rows", weight_total=total
+        fit_tree, label=spec.label, max_bins=max_bins, seed=seed, weight="rows", weight_total=total, cacheNodeIds=True
     )
     found = depth_search(
         train, data.tally, fit, grid, label=spec.label, weight="rows", parallelism=parallelism

@@ -1,13 +1,17 @@
 import re
+import tracemalloc
+from dataclasses import replace
 from functools import partial
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR, rows
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from tabular_insights import operators as ops
+from tabular_insights.operators import depths
 from tabular_insights.operators.tuning import result_frame, best_index
 from tabular_insights.plans import IncidentSpec, flows, forest_flow, mlp_flow, tree_flow
 from tabular_insights.sources.adapter import KEY_COLUMNS, incidents
@@ -223,3 +227,42 @@ def test_forest_flow(spark):
     assert summary["validation_accuracy"] > 0.8
     assert flow.importances.first()["feature"] == "primary_type_index"
     assert flow.report.first()["weighted_recall"] == flow.report.first()["accuracy"]
+
+
+def test_node_ids_and_cuts_of_a_large_tree_change_nothing(spark, monkeypatch):
+    """A cut takes a few numbers for each node of a tree on the driver, not a row object."""
+    n = 2**15 - 1  # a whole tree of 15 levels, numbered in preorder
+
+    def size(level):
+        return 2 ** (15 - level) - 1
+
+    left, right, own, todo = [-1] * n, [-1] * n, [0.0] * n, [(0, 0)]
+    while todo:
+        i, level = todo.pop()
+        own[i] = float(i % 7)
+        if level < 14:
+            left[i], right[i] = i + 1, i + 1 + size(level + 1)
+            todo += [(left[i], level + 1), (right[i], level + 1)]
+    nodes = spark.createDataFrame(pa.table({"id": range(n), "leftChild": left, "rightChild": right, "prediction": own}))
+    nodes = nodes.cache()
+    nodes.count()
+    monkeypatch.setattr(depths, "saved_nodes", lambda *_: nodes)
+    tracemalloc.start()
+    found = ops.cut_predictions(spark, None, [0, 1, 14, 20])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 * n
+    leaves = [i for i in range(n) if left[i] < 0]
+    second = 1 + size(1)
+    expected = [(float(at), [0.0, own[1 if i < second else second], own[i], own[i]]) for at, i in enumerate(leaves)]
+    assert sorted((r["leaf"], r["predictions"]) for r in found.collect()) == expected
+
+
+def test_cached_node_ids_give_the_same_tree(spark):
+    df, spec = escalated(spark)
+    train = flows._prepare(df, spec).tally.filter("split = 'train'").repartition(4).cache()
+    fits = [
+        ops.fit_tree(train, max_depth=14, min_instances_per_node=2, label="escalated", weight="rows", cacheNodeIds=c)
+        for c in (True, False)
+    ]
+    assert len({f.toDebugString.split("\n", 1)[1] for f in fits}) == 1 and fits[0].numNodes > 100
