@@ -102,3 +102,12 @@ def test_folds_search_over_drawn_forests(counted):
     assert found.best_model.getNumTrees == found.best_point["num_trees"]
     shared = ops.cross_validate(data, ops.BootstrapForest(), grid, names, weight="rows", prefix="num_trees")
     assert rows(shared.results) == rows(found.results)
+
+
+def test_a_digest_is_computed_once_for_each_draw(spark):
+    """And not again for every entry of the table that the draw is looked up in."""
+    df = spark.range(0, 50, 1, 1).select("id", (F.col("id") % 40 + 1).alias("n"))
+    drawn = df.select(ops.poisson(F.col("n"), F.lit("f" * 26)).alias("most"), ops.poisson(F.col("n"), F.md5(F.col("id").cast("string"))).alias("k"))
+    text = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("md5(") == 1
+    assert rows(drawn.filter("most < 0 or k < 0")) == []
