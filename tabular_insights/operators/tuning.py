@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .metrics import classification_metrics
 from .models import score
+from .votes import score_cuts
 
 @dataclass(frozen=True)
 class Search:
@@ -159,6 +160,9 @@ def cross_validate(
     parallelism: int = 4,
     weight: str | None = None,
     prefix: str | None = None,
+    depth: str | None = None,
+    alike: Callable[[dict[str, Any]], Any] | None = None,
+    scored: DataFrame | None = None,
 ) -> Search:
     """k-fold cross-validation over the folds in ``fold_col``, then a refit on all rows.
 
@@ -167,7 +171,11 @@ def cross_validate(
     ``weight`` here and to the estimator. The rows are kept during the search, so they are
     read and assembled once; the fits of all folds and points share one pool, and of their
     models none is held. ``prefix`` names a number of trees where a smaller forest is the
-    ``first`` trees of a larger one: points that differ in it only then share a fit.
+    ``first`` trees of a larger one: points that differ in it only then share a fit. So do
+    points that differ in ``depth`` only, if that names the largest depth of a forest whose
+    upper part is the forest of a smaller depth, and points of which ``alike`` says the same.
+    ``scored`` are the rows or the tally that the held-out folds are scored on, by default the data;
+    ``weight`` is a column of it.
     """
     spark = data.sparkSession
     _grid_fields(grid)
@@ -178,23 +186,30 @@ def cross_validate(
 
     shared: dict[Any, list[int]] = {}
     for place, point in enumerate(grid):
-        other = tuple(sorted((n, v) for n, v in point.items() if n != prefix)) if prefix else place
-        shared.setdefault(other, []).append(place)
+        said = alike(point) if alike else point
+        other = tuple(sorted((n, v) for n, v in said.items() if n not in (prefix, depth)))
+        shared.setdefault(other if prefix or depth or alike else place, []).append(place)
 
     def run(task: tuple[list[int], int]) -> dict[tuple[int, int], float]:
         places, fold = task
-        largest = max(places, key=lambda p: grid[p][prefix]) if prefix else places[0]
-        model = estimator.copy(settings(grid[largest])).fit(data.filter(F.col(fold_col) != fold))
-        values = {}
-        for place in places:
-            held_out = score(
-                model.first(grid[place][prefix]) if prefix else model, data.filter(F.col(fold_col) == fold)
+        largest = {name: max(grid[p][name] for p in places) for name in (prefix, depth) if name}
+        model = estimator.copy(settings({**grid[places[0]], **largest})).fit(data.filter(F.col(fold_col) != fold))
+        held_out = (data if scored is None else scored).filter(F.col(fold_col) == fold)
+        if prefix or depth:
+            keys = [(grid[p].get(depth, 0), grid[p].get(prefix, 0)) for p in places]
+            depths = sorted({d for d, _ in keys}) if depth else [model.getOrDefault("maxDepth")]
+            numbers = sorted({n for _, n in keys}) if prefix else [len(model.trees)]
+            cuts = classification_metrics(
+                score_cuts(model, held_out, depths, numbers), label, weight=weight, by=["max_depth", "num_trees"]
             )
-            found = classification_metrics(held_out, label, weight=weight).first()
-            if found is None or found[metric] is None:
-                raise ValueError(f"fold {fold} has no rows")
-            values[place, fold] = found[metric]
-        return values
+            by_cut = {(row["max_depth"], row["num_trees"]): row[metric] for row in cuts.collect()}
+            found = {p: by_cut.get((d if depth else depths[0], n if prefix else numbers[0])) for p, (d, n) in zip(places, keys)}
+        else:
+            row = classification_metrics(score(model, held_out), label, weight=weight).first()
+            found = dict.fromkeys(places, row and row[metric])
+        if None in found.values():
+            raise ValueError(f"fold {fold} has no rows")
+        return {(place, fold): value for place, value in found.items()}
 
     tasks = [(places, fold) for places in shared.values() for fold in range(k)]
     try:

@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import (
@@ -46,6 +47,7 @@ from ..operators import (
     tree_nodes,
 )
 from ..operators.models import SEED
+from ..operators.votes import levels_in_one_pass
 from ..operators.categories import MAX_LABELS
 from ..session import stage
 
@@ -164,6 +166,20 @@ def _bins(data: _Prepared, spec: IncidentSpec, asked: int) -> int:
     return max(asked, largest_category(data.tally)) if spec.fit_on == "train" else asked
 
 
+def _number_values(kept: DataFrame, spec: IncidentSpec) -> int:
+    """The most values that a feature which is no category has."""
+    places = range(len(spec.index_columns), len(spec.features))
+    values = vector_to_array("features")
+    counts = kept.agg(*[F.count_distinct(F.get(values, F.lit(i))) for i in places]).first() if places else []
+    return max(counts, default=0)
+
+
+def _same_bins(point: dict[str, Any], values: int) -> dict[str, Any]:
+    """``point`` without its bins where they change nothing: categories have bins of their own, and
+    all thresholds of ``values`` numbers are tried. Beyond 100 bins more rows are sampled."""
+    return {n: v for n, v in point.items() if n != "max_bins" or not values <= v <= 100}
+
+
 def tree_flow(
     df: DataFrame,
     spec: IncidentSpec,
@@ -267,6 +283,8 @@ def forest_flow(
         )
         if not bootstrap:
             forest.setWeightCol("rows")
+    largest = {n: max(p.get(n, d) for p in grid) for n, d in (("num_trees", 20), ("max_depth", 5), ("max_bins", 32))}
+    one_pass = levels_in_one_pass(*largest.values(), len(spec.features))
     found = cross_validate(
         train,
         forest,
@@ -275,8 +293,11 @@ def forest_flow(
         label=spec.label,
         k=folds,
         parallelism=parallelism,
-        weight=None if bootstrap else "rows",
+        weight="rows",
         prefix="num_trees" if from_tally and "num_trees" in grid[0] else None,
+        depth="max_depth" if one_pass and "max_depth" in grid[0] else None,
+        alike=partial(_same_bins, values=_number_values(data.tally.filter(IS_TRAIN), spec)),
+        scored=data.tally.filter(IS_TRAIN) if bootstrap else None,
     )
     by_split = {
         name: data.tally.filter(F.col("split") == name) for name in ("validation", "test")

@@ -266,3 +266,28 @@ def test_cached_node_ids_give_the_same_tree(spark):
         for c in (True, False)
     ]
     assert len({f.toDebugString.split("\n", 1)[1] for f in fits}) == 1 and fits[0].numNodes > 100
+
+
+@pytest.mark.parametrize("from_tally", [False, True])
+def test_folds_share_fits_of_all_depths(spark, monkeypatch, from_tally):
+    """Forests cut at a depth, or with bins that change nothing, score as forests of their own."""
+    df, spec = escalated(spark)
+    data = flows._prepare(df, replace(spec, numbers=("ward",)), not from_tally, 2, 4 if from_tally else 0)
+    train = (data.tally if from_tally else data.rows).filter("split = 'train'").repartition(3).cache()
+    grid = ops.param_grid(num_trees=[2, 4], max_depth=[0, 2, 5, 7], max_bins=[40, 60])
+    names = {"num_trees": "numTrees", "max_depth": "maxDepth", "max_bins": "maxBins"}
+    fitted = []
+    kind = ops.BootstrapForest if from_tally else RandomForestClassifier
+    fit = kind._fit
+    monkeypatch.setattr(kind, "_fit", lambda self, df: fitted.append(1) or fit(self, df))
+    forest = kind(labelCol="escalated", seed=5)
+    run = partial(ops.cross_validate, train, forest, grid, names, label="escalated", k=2)
+    shared = {"prefix": "num_trees"} if from_tally else {"scored": data.tally.filter("split = 'train'")}
+    values = flows._number_values(data.tally, replace(spec, numbers=("ward",)))
+    assert values == 10
+    one = run(weight="rows", depth="max_depth", alike=partial(flows._same_bins, values=values), **shared)
+    assert len(fitted) == (3 if from_tally else 5)
+    many = run(weight="rows" if from_tally else None)
+    assert rows(one.results) == rows(many.results)
+    assert len({r["avg_accuracy"] for r in one.results.collect()}) > 3
+    assert flows._same_bins({"max_bins": 32}, 50) == {"max_bins": 32} and flows._same_bins({"max_bins": 64}, 50) == {}
