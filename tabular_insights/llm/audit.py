@@ -70,7 +70,7 @@ class _Shard:
         columns = [
             pa.array([number], pa.int64()),
             pa.ListArray.from_arrays([0, len(rows)], rows),
-            pa.array([[w.decode() for w in self.places]], pa.list_(pa.string())),
+            pa.ListArray.from_arrays([0, len(self.places)], pa.array(self.places, pa.binary()).cast(pa.string())),
             pa.array([pack(np.cumsum([len(t) for t in self.terms]))], pa.binary()),
             pa.array([pack(np.concatenate(self.terms))], pa.binary()),
             pa.array([pack(np.concatenate(self.counts))], pa.binary()),
@@ -87,8 +87,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard.add(text.as_py())
             if shard.bytes >= SHARD_BYTES:
                 shard.rows.append(others.slice(at, i + 1 - at))
-                yield shard.batch(number)
+                made = shard.batch(number)
                 number, shard, at = number + 1, _Shard(), i + 1
+                yield made
+                del made
+                pa.default_memory_pool().release_unused()
         shard.rows.append(others.slice(at))
     if shard.terms:
         yield shard.batch(number)
@@ -98,7 +101,7 @@ def _renumbered(local: pa.Table, found: pa.Table) -> pa.Table:
     """A shard with numbers of the dictionary in place of places in its own list."""
     terms = np.empty(found.num_rows, np.int64)
     terms[found.column("place").to_numpy()] = found.column("term").to_numpy()
-    packed = [pack(terms[unpack(t.as_py()).astype(np.int64)]) for t in local.column("terms")]
+    packed = [pack(terms[unpack(t.as_py()).view(np.int64)]) for t in local.column("terms")]
     at = local.column_names.index("terms")
     return local.set_column(at, "terms", pa.array(packed, pa.binary()))
 
