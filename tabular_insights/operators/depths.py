@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from typing import Any
 
 import numpy as np
@@ -75,17 +76,21 @@ def depth_search(
     """The same outcome as :func:`grid_search` over trees, with one fit for each combination of
     the parameters other than ``max_depth``, and one more for the best point.
 
-    One job scores all depths of a tree on both splits.
+    One job scores all depths of a tree on both splits. Fits take turns, as the driver holds the
+    nodes of a tree while it grows and the passes of one fit keep the cluster busy; ``parallelism``
+    is for the scores, which run beside the next fits.
     """
     spark = train.sparkSession
     others = [tuple(sorted((k, v) for k, v in point.items() if k != "max_depth")) for point in grid]
     settings = list(dict.fromkeys(others))
     scored = scored.filter(F.col(split_col).isin("train", "validation"))
     train, scored = train.persist(), scored.persist()
+    turn = Lock()
 
     def run(setting: tuple) -> dict[int, dict[str, float]]:
         depths = sorted({p["max_depth"] for p, o in zip(grid, others) if o == setting})
-        model = fit(train, max_depth=depths[-1], **dict(setting))
+        with turn:
+            model = fit(train, max_depth=depths[-1], **dict(setting))
         cut = score_depths(model, scored, depths)
         found: dict[int, dict[str, float]] = {d: {} for d in depths}
         for row in classification_metrics(cut, label, weight=weight, by=["max_depth", split_col]).collect():

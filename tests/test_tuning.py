@@ -185,6 +185,25 @@ def test_cut_trees_equal_fitted_ones(spark):
         assert rows(cut) == rows(fitted)
 
 
+def test_depth_search_grows_one_tree_at_a_time(spark):
+    """The driver holds the nodes of one growing tree, however many threads score."""
+    data = flows._prepare(*escalated(spark))
+    train = data.tally.filter(flows.IS_TRAIN)
+    growing, most = [], []
+
+    def fit(df, **settings):
+        growing.append(settings)
+        most.append(len(growing))
+        try:
+            return ops.fit_tree(df, label="escalated", weight="rows", weight_total=10**4, **settings)
+        finally:
+            growing.pop()
+
+    grid = ops.param_grid(max_depth=[1, 2], min_instances_per_node=[1, 2, 3, 4])
+    ops.depth_search(train, data.tally, fit, grid, "f1", "escalated", "rows", parallelism=4)
+    assert most == [1] * 5
+
+
 def test_folds_keep_no_model_and_need_rows(spark, vectors):
     forest = RandomForestClassifier(labelCol="arrest", seed=5)
     grid = ops.param_grid(num_trees=[2], max_depth=[1])
