@@ -28,6 +28,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,40 +40,48 @@ from tabular_insights.session import stage
 
 #: Bytes of text in a shard, unless one document has more.
 SHARD_BYTES = 32 << 20
+#: Bytes of text whose words are taken apart at a time, unless one document has more.
+CHUNK_BYTES = 2 << 20
 FILTERS = "ABCDE"
 BIT = {letter: 1 << i for i, letter in enumerate(FILTERS)}
 
 
-class _Places(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = len(self)
-        return found
-
-
 class _Shard:
     """Documents of one shard: the places of their distinct words, and how often each occurs."""
 
     def __init__(self) -> None:
-        self.places, self.terms, self.counts, self.rows, self.bytes = _Places(), [], [], [], 0
+        self.terms, self.counts, self.ends, self.rows, self.bytes = [], [], [], [], 0
 
     def add(self, text: str | None) -> None:
-        data = (text or "").encode()
-        words = data.split()
-        places = np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
-        terms, counts = np.unique(places, return_counts=True)
-        self.terms.append(terms)
+        self.extend(pa.array([text or ""]))
+
+    def extend(self, texts: pa.Array) -> None:
+        """Count the words of some texts. Words are numbered among these texts, by Arrow: a dictionary
+        of Python objects would take several times the text."""
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten()
+        word = pc.not_equal(words, "")  # white space at either end leaves an empty one
+        text_of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[word.to_numpy(zero_copy_only=False)]
+        places = words.filter(word).dictionary_encode()
+        size = max(1, len(places.dictionary))
+        entries, counts = np.unique(text_of * size + places.indices.to_numpy(), return_counts=True)
+        self.terms.append(pa.DictionaryArray.from_arrays(pa.array((entries % size).astype(np.int32)), places.dictionary))
         self.counts.append(counts.astype(np.int32))
-        self.bytes += len(data)
+        self.ends.append(np.bincount(entries // size, minlength=len(texts)))
+        self.bytes += pc.sum(pc.binary_length(texts)).as_py()
 
     def batch(self, number: int) -> pa.RecordBatch:
         """One row, with the rows that were added beside the texts."""
         rows = pa.concat_arrays(self.rows)
+        terms = pa.chunked_array(self.terms).unify_dictionaries()
+        self.terms = []
+        words = terms.chunk(0).dictionary
         columns = [
             pa.array([number], pa.int64()),
             pa.ListArray.from_arrays([0, len(rows)], rows),
-            pa.ListArray.from_arrays([0, len(self.places)], pa.array(self.places, pa.binary()).cast(pa.string())),
-            pa.array([pack(np.cumsum([len(t) for t in self.terms]))], pa.binary()),
-            pa.array([pack(np.concatenate(self.terms))], pa.binary()),
+            pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())),
+            pa.array([pack(np.cumsum(np.concatenate(self.ends)))], pa.binary()),
+            pa.array([pack(np.concatenate([c.indices.to_numpy() for c in terms.chunks]))], pa.binary()),
             pa.array([pack(np.concatenate(self.counts))], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["shard", "rows", "words", "ends", "terms", "counts"])
@@ -82,18 +91,23 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, shard = TaskContext.get().partitionId() << 33, _Shard()
     for batch in slices(batches, 500):
         others = pa.StructArray.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+        texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
-        for i, text in enumerate(batch.column(batch.num_columns - 1)):
-            shard.add(text.as_py())
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            full = int(np.searchsorted(ends, before + SHARD_BYTES - shard.bytes)) + 1  # past the text that fills it
+            stop = max(at + 1, min(full, len(texts), int(np.searchsorted(ends, before + CHUNK_BYTES, "right"))))
+            shard.extend(texts.slice(at, stop - at))
+            shard.rows.append(others.slice(at, stop - at))
+            at = stop
             if shard.bytes >= SHARD_BYTES:
-                shard.rows.append(others.slice(at, i + 1 - at))
                 made = shard.batch(number)
-                number, shard, at = number + 1, _Shard(), i + 1
+                number, shard = number + 1, _Shard()
                 yield made
                 del made
                 pa.default_memory_pool().release_unused()
-        shard.rows.append(others.slice(at))
-    if shard.terms:
+    if shard.rows:
         yield shard.batch(number)
 
 

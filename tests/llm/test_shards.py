@@ -24,3 +24,25 @@ def test_words_of_a_shard_and_narrow_integers():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 5_000_000
+
+
+def test_a_shard_holds_no_python_object_for_a_word(monkeypatch):
+    """300,000 distinct words of 100 texts, and every white space there is, as `bytes.split` takes them apart."""
+    monkeypatch.setattr(audit, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("At", (), {"partitionId": lambda _: 0})())}))
+    monkeypatch.setattr(audit, "CHUNK_BYTES", 100_000, raising=False)
+    texts = [" ".join(f"w{i}" for i in range(n, n + 3_000)) for n in range(0, 300_000, 3_000)]
+    texts += [None, "", " \n", "".join(f"a{chr(c)}é{chr(c)} " for c in range(0x21)), "a\x85b\u2003c w1 w1", "w5 a w1"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    tracemalloc.start()
+    (made,) = audit._shards(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    words = made.column(2).to_pylist()[0]
+    ends, terms, counts = (packing.unpack(made.column(i)[0].as_py()).tolist() for i in (3, 4, 5))
+    assert len(set(words)) == len(words) and len(ends) == len(texts)
+    for text, start, end in zip(texts, [0, *ends], ends, strict=False):
+        found = {words[t]: n for t, n in zip(terms[start:end], counts[start:end])}
+        split = [w.decode() for w in (text or "").encode().split()]
+        assert found == {w: split.count(w) for w in found} and set(found) == set(split)
+        assert len(found) == end - start
