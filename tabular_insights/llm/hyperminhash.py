@@ -113,8 +113,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (agreed - by_chance) / filled, filled
 
 
-def _features(sets: bool):
-    """Of the last column, texts: size of the set, its digest, the sketch, and the set."""
+def _features(texts: bool):
+    """Of the last column, texts: size of the set, its digest, the sketch, and the text itself."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000):
@@ -127,9 +127,9 @@ def _features(sets: bool):
                 pa.array([sketch(s).tobytes() for s in found], pa.binary()),
             ]
             names = [*batch.schema.names[:-1], "n", "digest", "sketch"]
-            if sets:
-                columns.append(pa.array([s.tobytes() for s in found], pa.binary()))
-                names.append("shingles")
+            if texts:
+                columns.append(batch.columns[-1])
+                names.append(batch.schema.names[-1])
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return made
@@ -178,16 +178,22 @@ def _runs(starts: np.ndarray, total: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 def _connected(table: pa.Table, percent: int) -> pa.Table:
     """Links within some pairs of blocks, whose rows follow one another, as rows ``(src, dst)``:
-    each member with the smallest it is connected to. Verified where there are shingles."""
+    each member with the smallest it is connected to. Verified where there are texts, whose sets
+    are made here: compressed, a text is less than half its hashes, which do not shrink."""
     least = least_estimates(percent)
     node, part, side, size = (table.column(c).to_numpy() for c in ("node", "part", "side", "n"))
     registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    exact = "shingles" in table.column_names
-    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()] if exact else []
+    exact = "text" in table.column_names
+    sets: dict[int, np.ndarray] = {}
     keys = np.stack([table.column(c).to_numpy() for c in KEYS], axis=1)
     starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
     above = list(range(len(node)))
 
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_sets([table.column("text")[i].as_py()])[0]
+        return sets[i]
+
     def top(i: int) -> int:
         while above[i] != i:
             above[i] = i = above[above[i]]
@@ -203,8 +209,8 @@ def _connected(table: pa.Table, percent: int) -> pa.Table:
             if low == high:
                 continue
             if exact:
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * both < percent * (len(sets[a]) + len(sets[b]) - both):
+                both = len(np.intersect1d(shingles(a), shingles(b), assume_unique=True))
+                if 100 * both < percent * (len(shingles(a)) + len(shingles(b)) - both):
                     continue
             above[high] = low
     tops = np.array([top(i) for i in range(len(node))], np.int64)
@@ -235,7 +241,7 @@ def _in_turn(percent: int):
 
 
 def _links(groups: DataFrame, attributes: DataFrame, percent: int, exact: bool) -> DataFrame:
-    wanted = ["node", "n", "sketch", *(["shingles"] if exact else [])]
+    wanted = ["node", "n", "sketch", *(["text"] if exact else [])]
     dealt = _dealt(groups).join(attributes.select(*wanted), "node")
     if exact:
         dealt = dealt.groupBy(*KEYS)
@@ -290,7 +296,7 @@ def near_duplicates(
     compared = members.select("node").distinct().join(classes.select("node", "row", "digest"), "node")
     texts = rows.select("row", "text").join(compared.withColumnRenamed("digest", "known"), "row")
     texts = texts.dropDuplicates(["row", "node", "text"]).select("node", "known", "text")
-    full = "node long, known binary, n long, digest binary, sketch binary, shingles binary"
+    full = "node long, known binary, n long, digest binary, sketch binary, text string"
     sets = texts.mapInArrow(_features(True), full).filter("known = digest").drop("known", "digest")
     sets = stage(sets, "sets")
 
