@@ -90,7 +90,9 @@ class _Shard:
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, shard = TaskContext.get().partitionId() << 33, _Shard()
     for batch in slices(batches, 500):
-        others = pa.StructArray.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+        # copied, as a column of a batch that was read holds the whole of it, the texts included
+        columns = [c.take(np.arange(len(c))) for c in batch.columns[:-1]]
+        others = pa.StructArray.from_arrays(columns, batch.schema.names[:-1])
         texts = pc.fill_null(batch.column(batch.num_columns - 1), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
@@ -108,7 +110,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 del made
                 pa.default_memory_pool().release_unused()
     if shard.rows:
-        yield shard.batch(number)
+        batch = columns = others = texts = None
+        made = shard.batch(number)
+        del shard
+        yield made
+        del made
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it holds
 
 
 def _renumbered(local: pa.Table, found: pa.Table) -> pa.Table:
@@ -120,14 +127,8 @@ def _renumbered(local: pa.Table, found: pa.Table) -> pa.Table:
     return local.set_column(at, "terms", pa.array(packed, pa.binary()))
 
 
-def document_terms(df: DataFrame, text: Column, keep: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """The document-term matrix of ``text`` and its dictionary ``(word, term)``.
-
-    The matrix has one row per shard: ``rows`` (an array of structs with the columns of
-    ``keep``, one for each document), ``ends`` (past the last entry of each document),
-    ``terms`` and ``counts`` (column and value of each entry), the last three packed as
-    :func:`tabular_insights.llm.packing.unpack` reads them.
-    """
+def _numbered_shards(df: DataFrame, text: Column, keep: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shards without their words, the dictionary number of each place in a shard, and the dictionary."""
     find_package(df.sparkSession)
     chosen = df.select(*[c.alias(n) for n, c in keep.items()], text.cast("string").alias("text"))
     row = T.StructType(chosen.schema.fields[:-1])
@@ -145,9 +146,19 @@ def document_terms(df: DataFrame, text: Column, keep: dict[str, Column]) -> tupl
     first = F.min("at").over(Window.partitionBy("word"))
     numbered = words.withColumn("at", F.monotonically_increasing_id()).withColumn("term", first)
     dictionary = numbered.filter("at = term").select("word", "term")
-    packed = local.drop("words")
-    found = numbered.select("shard", "place", "term").groupBy("shard")
-    return packed.groupBy("shard").cogroup(found).applyInArrow(_renumbered, packed.schema), dictionary
+    return local.drop("words"), numbered.select("shard", "place", "term"), dictionary
+
+
+def document_terms(df: DataFrame, text: Column, keep: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """The document-term matrix of ``text`` and its dictionary ``(word, term)``.
+
+    The matrix has one row per shard: ``rows`` (an array of structs with the columns of
+    ``keep``, one for each document), ``ends`` (past the last entry of each document),
+    ``terms`` and ``counts`` (column and value of each entry), the last three packed as
+    :func:`tabular_insights.llm.packing.unpack` reads them.
+    """
+    packed, found, dictionary = _numbered_shards(df, text, keep)
+    return packed.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_renumbered, packed.schema), dictionary
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +174,31 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
+def _totals_schema(matrix: T.StructType) -> T.StructType:
+    row = matrix["rows"].dataType.elementType
+    return T.StructType([*row.fields, T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType())])
+
+
 def row_totals(matrix: DataFrame) -> DataFrame:
     """The kept columns of every document, ``n_words`` (row sum) and ``n_distinct`` (nonzero entries)."""
-    row = matrix.schema["rows"].dataType.elementType
-    schema = T.StructType([*row.fields, T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType())])
-    return matrix.mapInArrow(_totals, schema)
+    return matrix.mapInArrow(_totals, _totals_schema(matrix.schema))
+
+
+def _renumbered_totals(local: pa.Table, found: pa.Table) -> pa.Table:
+    made = pa.Table.from_batches(_totals(iter(_renumbered(local, found).to_batches())))
+    pa.default_memory_pool().release_unused()
+    return made
+
+
+def document_totals(df: DataFrame, text: Column, keep: dict[str, Column]) -> DataFrame:
+    """:func:`row_totals` of the matrix of :func:`document_terms`, a shard at a time.
+
+    The worker that numbers the columns of a shard also takes its row sums: a second worker for
+    every task, which a matrix handed from one function to the next needs, would hold it once more.
+    """
+    packed, found, _ = _numbered_shards(df, text, keep)
+    shards = packed.groupBy("shard").cogroup(found.groupBy("shard"))
+    return shards.applyInArrow(_renumbered_totals, _totals_schema(packed.schema))
 
 
 def _failed(flags: dict[str, Column]) -> Column:
@@ -194,7 +225,7 @@ def failures(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, part_
         "digest": F.unhex(F.sha2(text, 256)),
         "failed": _failed(flags),
     }
-    totals = row_totals(document_terms(df, text, keep)[0])
+    totals = document_totals(df, text, keep)
     flags = {"A": F.col("n_words") < 100, "B": 100 * F.col("n_distinct") < 80 * F.col("n_words")}
     said = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"),

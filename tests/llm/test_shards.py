@@ -1,7 +1,9 @@
+import io
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tabular_insights.llm import audit, packing
 
@@ -46,3 +48,36 @@ def test_a_shard_holds_no_python_object_for_a_word(monkeypatch):
         split = [w.decode() for w in (text or "").encode().split()]
         assert found == {w: split.count(w) for w in found} and set(found) == set(split)
         assert len(found) == end - start
+
+
+def test_a_shard_holds_no_text_that_it_has_read(monkeypatch):
+    """Batches are freed one by one, though the rows beside their texts wait for the shard to end."""
+    monkeypatch.setattr(audit, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("At", (), {"partitionId": lambda _: 0})())}))
+    texts, held = ["word " * 200_000] * 2, []
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], ["id", "text"])
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    stored = sink.getvalue().to_pybytes()
+
+    def batches():
+        for _ in range(8):
+            yield pa.ipc.open_stream(io.BytesIO(stored)).read_next_batch()
+            held.append(pa.total_allocated_bytes())
+
+    (made,) = audit._shards(batches())
+    assert made.column(1).to_pylist() == [[{"id": 1}, {"id": 2}] * 8]
+    assert held[-1] - held[0] < 2_000_000
+
+
+def test_totals_without_a_second_worker(spark):
+    """The row sums of a shard come from the worker that numbers it, and are those of its matrix."""
+    rows = [(1, "a b a"), (2, ""), (3, None), (4, "b\u00e9 c"), (4, "b\u00e9 c"), (None, "a " * 30)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    args = df, F.coalesce("text", F.lit("")), {"id": F.col("id")}
+    expected = audit.row_totals(audit.document_terms(*args)[0])
+    found = audit.document_totals(*args)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+    labels = spark.createDataFrame([(1, 1, 0)], "id long, quality int, toxic int")
+    plan = audit.failures(df.withColumn("lang", F.lit("x")), labels, "id", "text", "lang")._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
