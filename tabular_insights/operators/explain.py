@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.base import Model
+from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import new_path
@@ -47,12 +48,21 @@ def tree_nodes(
     Read back from the saved model, so trees of any size stay out of the driver.
     A numeric split sends values up to ``threshold`` left; a categorical one sends
     ``left_categories`` left, given by name for features found in ``labels``.
+    A regression tree must be one of a 0/1 label; its nodes are given as those of a classifier.
     """
     nodes = saved_nodes(spark, model)
     if "nodeData" in nodes.columns:
         nodes = nodes.select(F.col("treeID").alias("tree_id"), "nodeData.*")
     else:
         nodes = nodes.withColumn("tree_id", F.lit(0))
+    if isinstance(model, DecisionTreeRegressionModel):  # statistics are rows, sum and sum of squares
+        rows, ones = F.get("impurityStats", F.lit(0)), F.get("impurityStats", F.lit(1))
+        nodes = nodes.withColumns({
+            "prediction": (2 * ones > rows).cast("double"),
+            "impurity": 2 * F.col("impurity"),
+            "gain": 2 * F.col("gain"),
+            "impurityStats": F.array(rows - ones, ones),
+        })
     split = F.col("split")
     inner = F.col("leftChild") >= 0
     values = split["leftCategoriesOrThreshold"]

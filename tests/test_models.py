@@ -176,3 +176,19 @@ def test_assemble_narrows(spark):
     assert out.columns == ["features", "c"]
     same = df.select(array_to_vector(F.array(F.lit(1.0), F.lit(2.0))))
     assert out.first()["features"] == same.first()[0]
+
+
+def test_a_tree_that_keeps_leaves_of_equal_prediction(spark):
+    """Both sides of the one split predict 1, so Spark's classifier merges them; the split is wanted as well."""
+    counted = spark.createDataFrame([(0.0, 0, 40), (0.0, 1, 60), (1.0, 0, 10), (1.0, 1, 90)], "x double, y int, rows long")
+    data = ops.assemble(counted, ["x"], keep=["rows", "y"])
+    merged = ops.fit_tree(data, max_depth=2, label="y", weight="rows")
+    whole = ops.fit_tree(data, max_depth=2, label="y", weight="rows", merge=False)
+    assert ops.tree_nodes(spark, merged, ["x"]).count() == 1
+    found = ops.tree_nodes(spark, whole, ["x"]).orderBy("node_id").select("prediction", "rows", "class_rows", "threshold").collect()
+    assert [tuple(r) for r in found] == [
+        (1.0, 200.0, [50.0, 150.0], 0.5), (1.0, 100.0, [40.0, 60.0], None), (1.0, 100.0, [10.0, 90.0], None)
+    ]
+    top = ops.tree_nodes(spark, whole, ["x"]).filter("node_id = 0").first()
+    assert abs(top["impurity"] - 0.375) < 1e-12 and abs(top["gain"] - (0.375 - (0.48 + 0.18) / 2)) < 1e-12
+    assert ops.feature_importances(spark, whole, ["x"]).first()["importance"] == 1.0
