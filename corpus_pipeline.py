@@ -72,8 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text that is left, and the text that they decode to."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    return bpe.encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -187,21 +187,42 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(id, n_tokens, ids)``; ``ids`` are packed little-endian 32-bit integers."""
-    find_package(df.sparkSession)
-    schema = T.StructType(
-        [df.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
-    )
+def _encoder(path: str, names: list[str]):
+    """Batches ``(id, text)`` become ``(id, n_tokens, ids)``."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in slices(batches, ROWS):
             ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names)
+
+    return encoded
+
+
+def _decoder(path: str, at: int, names: list[str]):
+    """Batches get the text of the ids in column ``at`` as their last column."""
 
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(encoded, schema)
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(path)
+        for batch in slices(batches, ROWS):
+            texts = pa.array([coder.decode(x) for x in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names)
+
+    return decoded
+
+
+def _encoded_schema(df: DataFrame, id_col: str) -> T.StructType:
+    return T.StructType(
+        [df.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    )
+
+
+def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows ``(id, n_tokens, ids)``; ``ids`` are packed little-endian 32-bit integers."""
+    find_package(df.sparkSession)
+    schema = _encoded_schema(df, id_col)
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(_encoder(path, schema.names), schema)
 
 
 def decode_documents(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -211,13 +232,22 @@ def decode_documents(df: DataFrame, path: str, ids_col: str = "ids", into: str =
     """
     find_package(df.sparkSession)
     rest = [c for c in df.columns if c != into]
-    at = rest.index(ids_col)
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(into, T.StringType())])
+    return df.select(*rest).mapInArrow(_decoder(path, rest.index(ids_col), schema.names), schema)
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
-        for batch in slices(batches, ROWS):
-            texts = pa.array([coder.decode(x) for x in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], schema.names)
 
-    return df.select(*rest).mapInArrow(decoded, schema)
+def encode_and_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows ``(id, n_tokens, ids, decoded)`` of :func:`encode_documents` and :func:`decode_documents`.
+
+    Both run in one Python worker of a task, which holds the vocabulary once; one after the
+    other they take two workers, which stay, idle, beside what the executor does next.
+    """
+    find_package(df.sparkSession)
+    half = _encoded_schema(df, id_col)
+    schema = T.StructType([*half, T.StructField("decoded", T.StringType())])
+    encoded, decoded = _encoder(path, half.names), _decoder(path, half.names.index("ids"), schema.names)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoded(encoded(batches))
+
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(both, schema)

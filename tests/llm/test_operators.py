@@ -45,6 +45,17 @@ def test_bpe_equals_library(docs, empty):
     assert bpe.encode_documents(empty, BPE).count() == 0
 
 
+def test_encoding_and_decoding_take_one_worker_of_a_task(spark, docs, empty):
+    apart = bpe.decode_documents(bpe.encode_documents(docs, BPE), BPE)
+    done = bpe.encode_and_decode(docs, BPE)
+    rows = lambda df: Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in df.collect())
+    assert done.schema == apart.schema and rows(done) == rows(apart)
+    assert bpe.encode_and_decode(empty, BPE).count() == 0
+    for df in (corpus_pipeline.encode(spark, docs, ""), done):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+
+
 def test_bpe_equals_library_on_any_characters():
     from tokenizers import Tokenizer
 
