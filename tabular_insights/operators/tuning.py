@@ -163,6 +163,7 @@ def cross_validate(
     depth: str | None = None,
     alike: Callable[[dict[str, Any]], Any] | None = None,
     scored: DataFrame | None = None,
+    train: Callable[[int | None], DataFrame] | None = None,
 ) -> Search:
     """k-fold cross-validation over the folds in ``fold_col``, then a refit on all rows.
 
@@ -175,12 +176,18 @@ def cross_validate(
     points that differ in ``depth`` only, if that names the largest depth of a forest whose
     upper part is the forest of a smaller depth, and points of which ``alike`` says the same.
     ``scored`` are the rows or the tally that the held-out folds are scored on, by default the data;
-    ``weight`` is a column of it.
+    ``weight`` is a column of it. ``train`` gives the rows to fit on without a fold, or all of them
+    for None, where they are kept in another form than the data.
     """
     spark = data.sparkSession
     _grid_fields(grid)
     data = data.persist()
 
+    def rows_without(fold: int | None) -> DataFrame:
+        if train:
+            return train(fold)
+        return data if fold is None else data.filter(F.col(fold_col) != fold)
+
     def settings(point: dict[str, Any]) -> dict:
         return {estimator.getParam(params[name]): value for name, value in point.items()}
 
@@ -193,7 +200,7 @@ def cross_validate(
     def run(task: tuple[list[int], int]) -> dict[tuple[int, int], float]:
         places, fold = task
         largest = {name: max(grid[p][name] for p in places) for name in (prefix, depth) if name}
-        model = estimator.copy(settings({**grid[places[0]], **largest})).fit(data.filter(F.col(fold_col) != fold))
+        model = estimator.copy(settings({**grid[places[0]], **largest})).fit(rows_without(fold))
         held_out = (data if scored is None else scored).filter(F.col(fold_col) == fold)
         if prefix or depth:
             keys = [(grid[p].get(depth, 0), grid[p].get(prefix, 0)) for p in places]
@@ -220,7 +227,7 @@ def cross_validate(
         by_point = [[found[place, fold] for fold in range(k)] for place in range(len(grid))]
         scores = [(fmean(values), pstdev(values)) for values in by_point]
         best = best_index([s[0] for s in scores])
-        best_model = estimator.copy(settings(grid[best])).fit(data)
+        best_model = estimator.copy(settings(grid[best])).fit(rows_without(None))
     finally:
         data.unpersist()
     names = [f"avg_{metric}", f"std_{metric}"]

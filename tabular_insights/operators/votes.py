@@ -60,46 +60,49 @@ def cut_shares(nodes: list, depths: Sequence[int]) -> list[list[list[float]]]:
 
 def forest_nodes(spark: SparkSession, model: Model) -> list[list]:
     """The saved nodes of every tree of a forest; a forest lives on the driver, and so do they here."""
-    if isinstance(model, RandomForestClassificationModel):
-        trees: dict[int, list] = {}
-        for row in saved_nodes(spark, model).select("treeID", "nodeData.*").drop("split").collect():
-            trees.setdefault(row["treeID"], []).append(row)
-        return [trees[i] for i in sorted(trees)]
-    return [saved_nodes(spark, tree).drop("split").collect() for tree in model.trees]
+    trees: dict[int, list] = {}
+    for row in saved_nodes(spark, _as_one(model)).select("treeID", "nodeData.*").drop("split").collect():
+        trees.setdefault(row["treeID"], []).append(row)
+    return [trees[i] for i in sorted(trees)]
 
 
 def leaf_numbers(model: Model, df: DataFrame) -> DataFrame:
     """``df`` with an array of the leaf of each tree, in ``LEAVES``."""
-    if isinstance(model, RandomForestClassificationModel):
-        placed = model.copy().setLeafCol(LEAVES).transform(df).drop("rawPrediction", "probability", "prediction")
-        return placed.withColumn(LEAVES, vector_to_array(LEAVES))
-    names = [f"{LEAVES}_{i}" for i in range(len(model.trees))]
-    placed = df
-    for tree, name in zip(model.trees, names):
-        alone = tree.copy().setLeafCol(name).setProbabilityCol("").setRawPredictionCol("").setPredictionCol("")
-        placed = alone.transform(placed)
-    return placed.withColumn(LEAVES, F.array(*names)).drop(*names)
+    placed = _as_one(model).copy().setLeafCol(LEAVES).transform(df).drop("rawPrediction", "probability", "prediction")
+    return placed.withColumn(LEAVES, vector_to_array(LEAVES))
+
+
+def _as_one(model: Model) -> RandomForestClassificationModel:
+    """The trees in one model of Spark's, which is saved, and finds the leaves, in one go."""
+    return model if isinstance(model, RandomForestClassificationModel) else model.as_spark_forest()
 
 
 def score_cuts(model: Model, df: DataFrame, depths: Sequence[int], numbers: Sequence[int]) -> DataFrame:
     """``df`` once for each depth and number of trees, as ``max_depth`` and ``num_trees``, with
     the ``prediction`` of the forest of the first so many trees cut at that depth."""
     trees = [cut_shares(nodes, depths) for nodes in forest_nodes(df.sparkSession, model)]
-    classes = len(trees[0][0][0])
-    tables = F.from_json(F.lit(json.dumps(trees)), "array<array<array<array<double>>>>")
+    classes = range(len(trees[0][0][0]))
+    shares = [[[[leaf[at][c] for leaf in tree] for tree in trees] for c in classes] for at in range(len(depths))]
+    tables = F.from_json(F.lit(json.dumps(shares)), "array<array<array<array<double>>>>")
 
-    def votes(at: int, number: int, c: int) -> Column:
-        def add(total: Column, tree: Column) -> Column:
-            leaf = F.get(F.col(LEAVES), tree).cast("int")
-            return total + F.get(F.get(F.get(F.get(tables, tree), leaf), F.lit(at)), F.lit(c))
+    def cast(at: int, c: int) -> Column:
+        """What each tree cut at a depth gives a class."""
+        at_leaf = F.get(F.get(tables, F.lit(at)), F.lit(c))
+        return F.zip_with(F.col(LEAVES), at_leaf, lambda leaf, found: F.get(found, leaf.cast("int")))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(number - 1)), F.lit(0.0), add)
+    def votes(at: int, c: int, number: int) -> Column:
+        first = F.slice(F.get(F.get("__cast", F.lit(at)), F.lit(c)), 1, number)
+        return F.aggregate(first, F.lit(0.0), lambda total, share: total + share)
 
-    cuts = []
-    for at, depth in enumerate(depths):
-        for number in numbers:
-            sums = F.array(*[votes(at, number, c) for c in range(classes)])
-            best = (F.array_position(sums, F.array_max(sums)) - 1).cast("double")
-            cuts.append(F.struct(F.lit(depth).alias("max_depth"), F.lit(number).alias("num_trees"), best.alias("prediction")))
+    # columns of their own, as an expression that is used twice would be computed twice
     placed = leaf_numbers(model, df)
+    placed = placed.withColumn("__cast", F.array(*[F.array(*[cast(at, c) for c in classes]) for at in range(len(depths))]))
+    places = [(at, depth, number) for at, depth in enumerate(depths) for number in numbers]
+    sums = [F.array(*[votes(at, c, number) for c in classes]) for at, _, number in places]
+    placed = placed.withColumn("__sums", F.array(*sums))
+    cuts = []
+    for place, (_, depth, number) in enumerate(places):
+        found = F.get("__sums", F.lit(place))
+        best = (F.array_position(found, F.array_max(found)) - 1).cast("double")
+        cuts.append(F.struct(F.lit(depth).alias("max_depth"), F.lit(number).alias("num_trees"), best.alias("prediction")))
     return placed.select(*df.columns, F.inline(F.array(*cuts)))

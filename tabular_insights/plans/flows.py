@@ -18,7 +18,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import (
     BootstrapForest,
@@ -123,22 +123,24 @@ class _Prepared:
     indexer: PipelineModel
     tally: DataFrame  # features, split, fold if any, label, rows, draws if any
     rows: DataFrame | None  # features, split, fold if any, label; one row per incident
+    merged: DataFrame | None  # features, label, draws of each tree without each fold and of all; one row per combination
 
 
 def _prepare(
     df: DataFrame, spec: IncidentSpec, single_rows: bool = False, folds: int = 0, trees: int = 0, seed: int = SEED
 ) -> _Prepared:
-    """Clean, count, reduce, split, number and assemble; draw the tally for ``trees``."""
+    """Clean, count, reduce, split, number and assemble; draw the training tally for ``trees``."""
     if spec.fit_on not in ("all", "train"):
         raise ValueError("fit_on must be 'all' or 'train'")
     columns = [spec.label, *spec.categories, *spec.flags, *spec.numbers]
     clean = flag_to_int(drop_null_rows(df, spec.required), [spec.label, *spec.flags])
-    clean = hash_split(clean, spec.keys, seed=spec.seed)
     extra = ["fold"] if folds else []
-    if folds:
-        clean = add_folds(clean, spec.keys, folds, seed=spec.seed)
     top = stage(top_k_values(clean, spec.reduced, spec.k), "top")
-    rows = keep_listed(clean, top, spec.reduced).select("split", *extra, *columns)
+    # only rows that are kept are worth a digest of their keys
+    rows = hash_split(keep_listed(clean, top, spec.reduced), spec.keys, seed=spec.seed)
+    if folds:
+        rows = add_folds(rows, spec.keys, folds, seed=spec.seed)
+    rows = rows.select("split", *extra, *columns)
     if single_rows:
         rows = stage(rows, "rows", ["split"])
     kept = stage(tally(rows, ["split", *extra, *columns]), "tally", ["split"])
@@ -154,11 +156,52 @@ def _prepare(
     def ready(data: DataFrame, keep: Sequence[str]) -> DataFrame:
         return assemble(indexer.transform(data), spec.features, keep=["split", *keep, spec.label])
 
-    drawn = bootstrap_draws(kept, ["split", *extra, *columns], trees, seed=seed) if trees else kept
+    merged = None
+    keys, drawn = ["split", *extra, *columns], kept
+    if trees:
+        merged = bootstrap_draws(kept.filter(IS_TRAIN), keys, trees, seed=seed)
+        merged = indexer.transform(_draws_without_folds(merged, columns, folds, trees))
+        drawn_columns = [name for fold in [*range(folds), None] for name in _draw_columns(fold, trees)]
+        merged = assemble(merged, spec.features, keep=[spec.label, *drawn_columns])
+        merged = stage(merged.repartition(spec.train_partitions), "drawn")
+        drawn = bootstrap_draws(kept, keys, trees, seed=seed)
     return _Prepared(
         indexer,
         ready(drawn, ["rows", *extra, *(["draws"] if trees else [])]),
         ready(rows, extra) if single_rows else None,
+        merged,
+    )
+
+
+def _draw_columns(fold: int | None, trees: int) -> list[str]:
+    """Names of the draws of each tree, without a fold or of all rows."""
+    return [f"draws_{tree}" if fold is None else f"draws_{tree}_without_{fold}" for tree in range(trees)]
+
+
+def _draws_without_folds(drawn: DataFrame, columns: Sequence[str], folds: int, trees: int) -> DataFrame:
+    """One row for each combination of ``columns``, with the sums of its draws over the folds: over all
+    but one, for each, and over all.
+
+    The folds of a combination are one weighted row of a tree, so a fit reads no more rows than that, and
+    of the columns, one for each tree, its own.
+    """
+    place = F.col("fold") if folds else F.lit(0)
+    held = drawn.groupBy(*columns).agg(F.collect_list(F.struct(place.alias("fold"), "draws")).alias("__held"))
+    none = F.array_repeat(F.lit(0).cast("bigint"), trees)
+
+    def added(without: int) -> Column:
+        parts = F.filter("__held", lambda part: part["fold"] != without)
+        return F.aggregate(parts, none, lambda total, part: F.zip_with(total, part["draws"], lambda a, b: a + b))
+
+    without = {f"__sums_{fold}": fold for fold in [*range(folds), None]}
+    held = held.withColumns({name: added(-1 if fold is None else fold) for name, fold in without.items()})
+    return held.select(
+        *columns,
+        *[
+            F.get(name, F.lit(tree)).alias(out)
+            for name, fold in without.items()
+            for tree, out in enumerate(_draw_columns(fold, trees))
+        ],
     )
 
 
@@ -273,8 +316,12 @@ def forest_flow(
     if spec.fit_on == "train":
         grid = [{**p, "max_bins": _bins(data, spec, p.get("max_bins", 32))} for p in grid]
     check_bins(data.tally, min(point.get("max_bins", 32) for point in grid))
-    train = (data.rows if bootstrap else data.tally).filter(IS_TRAIN)
+    train = (data.rows if bootstrap else data.tally).filter(IS_TRAIN).drop("draws")
     train = train.repartition(spec.train_partitions)
+
+    def without(fold: int | None) -> DataFrame:
+        return data.merged.select("features", spec.label, F.array(*_draw_columns(fold, trees)).alias("draws"))
+
     if from_tally:
         forest = BootstrapForest(labelCol=spec.label, seed=seed, parallelism=parallelism)
     else:
@@ -296,8 +343,9 @@ def forest_flow(
         weight="rows",
         prefix="num_trees" if from_tally and "num_trees" in grid[0] else None,
         depth="max_depth" if one_pass and "max_depth" in grid[0] else None,
-        alike=partial(_same_bins, values=_number_values(data.tally.filter(IS_TRAIN), spec)),
+        alike=partial(_same_bins, values=_number_values(data.merged if from_tally else data.tally.filter(IS_TRAIN), spec)),
         scored=data.tally.filter(IS_TRAIN) if bootstrap else None,
+        train=without if from_tally else None,
     )
     by_split = {
         name: data.tally.filter(F.col("split") == name) for name in ("validation", "test")

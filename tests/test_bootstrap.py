@@ -1,10 +1,14 @@
 """Forests whose bootstrap is drawn from a tally."""
 
+from dataclasses import replace
+
 import pytest
-from conftest import rows
+from conftest import SF_DIR, rows
 from pyspark.sql import functions as F
 
-from tabular_insights import operators as ops
+from tabular_insights import contract, operators as ops
+from tabular_insights.operators import votes
+from tabular_insights.plans import flows
 
 KEYS = ["a", "b", "label"]
 
@@ -111,3 +115,51 @@ def test_a_digest_is_computed_once_for_each_draw(spark):
     text = drawn._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("md5(") == 1
     assert rows(drawn.filter("most < 0 or k < 0")) == []
+
+
+SPEC = replace(contract.ESCALATED_SPEC, train_partitions=4)
+
+
+def test_training_rows_are_one_for_each_combination(spark, monkeypatch):
+    """Its folds are added up, and only rows that are kept get a digest of their keys."""
+    digested = []
+    split = flows.hash_split
+    monkeypatch.setattr(flows, "hash_split", lambda df, *args, **kw: digested.append(df) or split(df, *args, **kw))
+    data = flows._prepare(contract.escalated(spark, SF_DIR), SPEC, folds=3, trees=4)
+    tally = data.tally.filter(flows.IS_TRAIN)
+    key = ["features", SPEC.label]
+    assert data.merged.count() == tally.select(*key).distinct().count() < tally.count()
+    assert digested[0].count() == data.tally.agg(F.sum("rows")).first()[0]
+    for fold in (0, 2, None):
+        some = tally if fold is None else tally.filter(F.col("fold") != fold)
+        drawn = some.groupBy(*key).agg(*[F.sum(F.get("draws", F.lit(i))).alias(f"d{i}") for i in range(4)])
+        names = flows._draw_columns(fold, 4)
+        merged = data.merged.select(*key, *names).filter(F.greatest(*names) > 0)
+        assert rows(merged) == rows(drawn.filter("greatest(d0, d1, d2, d3) > 0"))
+
+
+def test_flow_over_merged_folds_scores_as_over_the_tally(spark):
+    df, grid = contract.escalated(spark, SF_DIR), ops.param_grid(num_trees=[2, 4], max_depth=[2, 5], max_bins=[32])
+    flow = flows.forest_flow(df, SPEC, grid, folds=2, bootstrap="tally")
+    data = flows._prepare(df, SPEC, folds=2, trees=4, seed=ops.models.SEED)
+    names = {"num_trees": "numTrees", "max_depth": "maxDepth", "max_bins": "maxBins"}
+    train = data.tally.filter(flows.IS_TRAIN).repartition(4)
+    forest = ops.BootstrapForest(labelCol=SPEC.label, seed=ops.models.SEED)
+    by_tally = ops.cross_validate(train, forest, grid, names, label=SPEC.label, k=2, weight="rows")
+    assert rows(flow.results) == rows(by_tally.results)
+    assert flow.best_point == by_tally.best_point
+    debug = [[t.toDebugString.split("\n", 1)[1] for t in f.trees] for f in (flow.model.stages[-1], by_tally.best_model)]
+    assert debug[0] == debug[1]
+
+
+def test_a_forest_is_saved_in_one_go(counted, monkeypatch):
+    data = ready(ops.bootstrap_draws(counted, KEYS, 6))
+    model = forest(data)
+    saved = []
+    nodes = votes.saved_nodes
+    monkeypatch.setattr(votes, "saved_nodes", lambda *args: saved.append(1) or nodes(*args))
+    cuts = votes.score_cuts(model, data, [1, 4], [2, 6])
+    assert len(saved) == 1
+    whole = cuts.filter("max_depth = 4 AND num_trees = 6").select("a", "b", "rows", "prediction")
+    assert rows(whole) == rows(ops.score(model, data).select("a", "b", "rows", "prediction"))
+    assert rows(model.as_spark_forest().transform(data).select("prediction")) == rows(ops.score(model, data).select("prediction"))
